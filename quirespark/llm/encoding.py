@@ -58,6 +58,7 @@ _LATIN = frozenset(LATIN_LETTERS)
 _CYR = frozenset(CYRILLIC_LETTERS)
 _HIGH = re.compile(r"[^\x00-\x7f]+")
 _WORD = re.compile(r"[^ \n\t\r]+")
+_CONTROL = re.compile(r"[\x00-\x1f]")
 
 
 # Classes of characters for the vectorised test.
@@ -222,7 +223,7 @@ def _undo(w: str, wrong: str, meant: str) -> str:
             return r[0]
 
     new = _HIGH.sub(run, w)
-    return w if any(c < " " for c in new) else new
+    return w if _CONTROL.search(new) else new
 
 
 def _better(w: str, wrong: str, meant: str) -> tuple[str, float]:
@@ -277,8 +278,15 @@ def repair(text: str | None) -> tuple[str | None, int, bool]:
         bad = [w for w in set(_WORD.findall(text)) if not w.isascii() and word_cost(w) > 0]
         if not bad:
             break
+        # All tables are tried on the likeliest words, the best of them on all words.
+        bad.sort(key=lambda w: (any(c in MISREAD for c in w), -word_cost(w), w))
+        few = bad[:10]
+        ranked = sorted(((-_trial(few, *p)[0], i) for i, p in enumerate(_PAIRS)))
         most, pair = 0.0, None
-        for p in _PAIRS:
+        for less, i in ranked[:4]:
+            if less == 0:
+                break
+            p = _PAIRS[i]
             saved, words, chars = _trial(bad, *p)
             if saved > most + 1e-9 and (p[1] == "utf-8" and saved >= 0.7 or words >= (2 if p in _SWAPPED else 3) and chars >= 2 and saved >= (1 if p in _SWAPPED else 2.5)):
                 most, pair = saved, p

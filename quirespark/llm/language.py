@@ -48,8 +48,10 @@ _MONTHS = "Januar Februar März April Mai Juni Juli August September Oktober Nov
 
 WORD = re.compile(r"[^\W\d_]+(?:[’'][^\W\d_]+)?")
 _JOIN = re.compile(r"[-­¬=‐‑]\n(?=[^\W\d_])")
-_END = re.compile(r"(?<!\bNr)(?<!\bNo)(?<!\bfol)(?<!\bn)[.!?…]+[”“\"»)’]*\s+(?=[«„“\"(‘¿¡—–-]*\s*[^\W\d_a-zà-ÿа-яёіїєѣąćęłńśźż])")
-_DATE = re.compile(r"(?<!\d)\d{1,2}\.\s+(?=" + "|".join(_MONTHS) + ")")
+_END = re.compile(r"[.!?…][”“\"»)’.!?…]*\s+(?=[«„“\"(‘¿¡—–-]*\s*[^\W\d_a-zà-ÿа-яёіїєѣąćęłńśźż])")
+# Abbreviations after which no sentence ends.
+_SHORT = re.compile(r"\b(?:Nr|No|fol|n|vol|Bd)$")
+_DATE = re.compile(r"\D?\d{1,2}\.\s+(?:" + "|".join(_MONTHS) + ")")
 
 
 def named_language(label):
@@ -61,9 +63,24 @@ def named_language(label):
 
 def sentences(text: str) -> list[list[str]]:
     """Words of each sentence, lower-case; words broken at line ends are joined."""
-    text = _JOIN.sub("", text)
-    text = _DATE.sub(" ", text)
-    return [w for s in _END.split(text) if (w := WORD.findall(s.lower()))]
+    if "\n" in text:
+        text = _JOIN.sub("", text)
+    low = text.lower()
+    out, at = [], 0
+    for m in _END.finditer(text):
+        k = m.start()
+        if text[k] == ".":
+            before = text[max(0, k - 4) : k]
+            if _SHORT.search(before) or (before[-1:].isdigit() and _DATE.match(text, max(0, k - 2), min(len(text), m.end() + 10))):
+                continue
+        if len(low) == len(text) and (w := WORD.findall(low, at, k)):
+            out.append(w)
+        elif len(low) != len(text) and (w := WORD.findall(text[at:k].lower())):
+            out.append(w)
+        at = m.end()
+    if w := WORD.findall(text[at:].lower()):
+        out.append(w)
+    return out
 
 
 def _grams(w: str) -> list[str]:
@@ -85,6 +102,7 @@ class LanguageModel:
         }
         self.cache: dict[str, int] = {}
         self.rows: list[np.ndarray] = []
+        self.matrix = None
 
     def index(self, words: list[str]) -> list[int]:
         cache = self.cache
@@ -104,7 +122,7 @@ class LanguageModel:
 
     def trim(self) -> None:
         if len(self.rows) > 400_000:
-            self.cache, self.rows = {}, []
+            self.cache, self.rows, self.matrix = {}, [], None
 
     def scores(self, groups: list[list[str]]) -> np.ndarray:
         """Log-likelihood of each group of words in each language."""
@@ -112,8 +130,9 @@ class LanguageModel:
             return np.zeros((0, len(LANGUAGES)))
         flat = [i for g in groups for i in self.index(g)]
         starts = np.cumsum([0] + [len(g) for g in groups[:-1]])
-        rows = np.array(self.rows)
-        return np.add.reduceat(rows[flat], starts, axis=0)
+        if self.matrix is None or len(self.matrix) < len(self.rows):
+            self.matrix = np.array(self.rows)
+        return np.add.reduceat(self.matrix[flat], starts, axis=0)
 
 
 def fit(labelled: list[tuple[str, str]], rounds: int = 3) -> LanguageModel:
@@ -134,7 +153,7 @@ def fit(labelled: list[tuple[str, str]], rounds: int = 3) -> LanguageModel:
             best = model.scores([s for s, _ in parts]).argmax(axis=1)
             parts = [(s, int(b)) for (s, _), b in zip(parts, best, strict=True)]
     if model is not None:
-        model.cache, model.rows = {}, []
+        model.cache, model.rows, model.matrix = {}, [], None
     return model
 
 
@@ -173,12 +192,13 @@ _OUT = T.StructType([
 ])
 
 
-def infer(model: LanguageModel, texts: list[str | None]) -> list[dict]:
+def infer(model: LanguageModel, texts: list[str | None], with_segments: bool = True) -> list[dict]:
     """Languages, proportions, confidence, number of words and segments of each text."""
     split = [sentences(t) if t else [] for t in texts]
     flat = [s for x in split for s in x]
     lik = model.scores(flat)
     best = lik.argmax(axis=1) if len(flat) else np.zeros(0, int)
+    first = best.tolist()
     e = np.exp(lik - lik.max(axis=1, keepdims=True)) if len(flat) else lik
     conf = (e.max(axis=1) / e.sum(axis=1)) if len(flat) else np.zeros(0)
     out, at = [], 0
@@ -187,10 +207,10 @@ def infer(model: LanguageModel, texts: list[str | None]) -> list[dict]:
         if not n:
             out.append({"languages": [], "proportions": [], "confidence": None, "n_words": 0, "segments": []})
             continue
-        b, c = best[at : at + n], conf[at : at + n]
+        b, c = first[at : at + n], conf[at : at + n]
         words = sum(lens)
-        if (b == b[0]).all():
-            langs, pi = [int(b[0])], [1.0]
+        if b.count(b[0]) == n:
+            langs, pi = [b[0]], [1.0]
         else:
             whole = [i for i in range(n) if lens[i] >= MIN_SENTENCE_WORDS]
             use = whole or list(range(n))
@@ -205,7 +225,7 @@ def infer(model: LanguageModel, texts: list[str | None]) -> list[dict]:
             total = sum(p for _, p in chosen) or 1.0
             langs, pi = [k for k, _ in chosen], [p / total for _, p in chosen]
         segments: list[dict] = []
-        for i in range(n):
+        for i in range(n if with_segments else 0):
             lang = LANGUAGES[int(b[i])]
             if segments and segments[-1]["lang"] == lang:
                 segments[-1]["words"] += lens[i]
@@ -214,38 +234,39 @@ def infer(model: LanguageModel, texts: list[str | None]) -> list[dict]:
                 segments.append({"words": lens[i], "lang": lang, "confidence": float(c[i])})
         out.append({
             "languages": [LANGUAGES[k] for k in langs], "proportions": pi,
-            "confidence": float(np.average(c, weights=lens)), "n_words": words, "segments": segments,
+            "confidence": float(np.dot(c, lens)) / words, "n_words": words, "segments": segments,
         })
         at += n
     return out
 
 
 def fit_on(df: DataFrame, text: str, label: str, key: str, sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
-    """Model fitted on the ``sample_rows`` labelled rows with the least hash of ``key``."""
-    rows = (
-        df.select(F.col(text).alias("t"), named_language(F.col(label)).alias("l"), F.xxhash64(F.col(key)).alias("h"))
-        .filter(F.col("l").isNotNull() & (F.length("t") > 40))
-        .orderBy("h", "t").limit(sample_rows).collect()
-    )
+    """Model fitted on about ``sample_rows`` labelled rows (at most twice as many): those whose hash of ``key`` is below a threshold."""
+    labelled = df.select(F.col(text).alias("t"), named_language(F.col(label)).alias("l"), F.pmod(F.xxhash64(F.col(key)), F.lit(1_000_000_007)).alias("h")).filter(F.col("l").isNotNull())
+    n = labelled.count()
+    limit = 1_000_000_007 if n <= sample_rows else int(1_000_000_007 * sample_rows / n)
+    rows = labelled.filter((F.col("h") < limit) & (F.length("t") > 40)).limit(2 * sample_rows).collect()
+    rows.sort(key=lambda r: (r["h"], r["t"]))
     return fit([(t, r["l"]) for r, t in zip(rows, repaired([r["t"] for r in rows]), strict=True)])
 
 
-def identify_languages(df: DataFrame, text: str = "content", label: str = "lang", key: str = "reading_id", model: LanguageModel | None = None) -> DataFrame:
+def identify_languages(df: DataFrame, text: str = "content", label: str = "lang", key: str = "reading_id", model: LanguageModel | None = None, with_segments: bool = True) -> DataFrame:
     """``df`` with ``language`` (struct of languages, proportions, confidence, n_words, segments). Garbled text counts as it should read.
 
     Narrow: one scan beside the bounded fit, no shuffle.
     """
     model = model or fit_on(df, text, label, key)
     held = df.sparkSession.sparkContext.broadcast((model.table, model.floor))
+    kind = _arrow()
 
     @F.arrow_udf(_OUT)
     def udf(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = LanguageModel.__new__(LanguageModel)
         m.table, m.floor = held.value
-        m.cache, m.rows = {}, []
+        m.cache, m.rows, m.matrix = {}, [], None
         for texts in it:
             m.trim()
-            yield pa.array(infer(m, repaired(texts.to_pylist())), _arrow())
+            yield pa.array(infer(m, repaired(texts.to_pylist()), with_segments), kind)
 
     return df.withColumn("language", udf(F.col(text)))
 
@@ -260,7 +281,7 @@ def found(df: DataFrame) -> DataFrame:
     prose = df.filter(F.col("result_format").isin("text", "markdown")).select("reading_id", "lang", "content")
     langs = F.col("language.languages")
     return (
-        identify_languages(prose)
+        identify_languages(prose, with_segments=False)
         .filter((F.col("language.n_words") >= 10) & ((F.size(langs) > 1) | named_language(F.col("lang")).isNull() | (named_language(F.col("lang")) != langs[0])))
         .select("reading_id", F.explode(langs).alias("lang_code"))
         .distinct()

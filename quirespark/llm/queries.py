@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirespark.llm import encoding, language, repetition
+from quirespark.llm import encoding, language, repetition, scans, truncation
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,10 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "p1_found": lambda s, d: repetition.found(_t(s, d, "readings")),
     "p2_found": lambda s, d: language.found(_t(s, d, "readings")),
+    "p4_found": lambda s, d: truncation.found(_t(s, d, "readings")),
+    "p4_by_source": lambda s, d: truncation.by_source(_t(s, d, "readings")),
+    "p7_found": lambda s, d: scans.found(_t(s, d, "readings")),
+    "p7_paragraphs": lambda s, d: scans.paragraphs(_t(s, d, "readings").select("reading_id", "job_id", "page_number", "result_format", "content")).select("reading_id", "clean_text"),
     "p5_found": lambda s, d: encoding.found(_t(s, d, "readings")),
 }
 ORACLES: dict[str, str] = {}
