@@ -2,5 +2,28 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quirespark.operators import drift, nested
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _nodes(s: SparkSession, d: str) -> DataFrame:
+    return nested.shred(_t(s, d, "job_records").select("record_id", "record_json"))
+
+
+QUERIES: dict = {
+    "p3_found": lambda s, d: nested.page_warnings(_t(s, d, "job_records")),
+    "p3_nodes": lambda s, d: _nodes(s, d).select("record_id", "label", "parent", "table", "ordinal", "map_key", F.to_json("fields").alias("fields")),
+    "p3_pages": lambda s, d: nested.table(_nodes(s, d), "pages", ("page_id", "page_number", "disposition", "selected_attempt", "source_sha256", "review.reviewer")),
+    "p3_attempts": lambda s, d: nested.table(_nodes(s, d), "pages.attempts", ("attempt_id", "stage", "outcome", "format", "raw_sha256", "classification.type", "classification.confidence", "usage.pages", "usage.tokens", "usage.compute_seconds", "usage.cost_usd", "failure.code", "failure.http_status")),
+    "p3_warnings": lambda s, d: nested.table(_nodes(s, d), "pages.attempts.warnings", ("value", "code", "type", "page")),
+    "p3_comparisons": lambda s, d: nested.table(_nodes(s, d), "pages.comparisons", ("agreement_ratio",)),
+    "p6_found": lambda s, d: drift.found(_t(s, d, "job_files")),
+    "p6_unified": lambda s, d: drift.unify(_t(s, d, "job_files")),
+}
 ORACLES: dict = {}
