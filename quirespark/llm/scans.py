@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from math import log2
 
 import numpy as np
@@ -62,6 +63,7 @@ _MIXED = re.compile(r"[А-яЁёІіЇїЄєҐґѢѣ][A-Za-z]|[A-Za-z][А-яЁё
 _CYR = re.compile(r"[А-яЁёІіЇїЄєҐґѢѣ]")
 
 
+@lru_cache(maxsize=200_000)
 def misread(token: str) -> bool:
     """Whether the token holds a character that can't stand in a word."""
     if token.isalpha() and token.isascii():
@@ -72,6 +74,7 @@ def misread(token: str) -> bool:
     return bool(_MISREAD.search(core) or _MIXED.search(core))
 
 
+@lru_cache(maxsize=100_000)
 def candidates(word: str, most: int = 12) -> list[tuple[str, float]]:
     """(candidate, log2 of the channel's probability), the word itself included if it could stand."""
     cyr = bool(_CYR.search(word))
@@ -85,11 +88,15 @@ def candidates(word: str, most: int = 12) -> list[tuple[str, float]]:
     return beams
 
 
-def edges(text: str) -> tuple[list[str], list[str]]:
-    """The first two and last two lines that aren't blank."""
+def edges(text: str) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
+    """(line, its inner neighbour) of the first two and last two lines that aren't blank."""
     lines = [x.strip() for x in text.split("\n")]
-    lines = [x for x in lines if x]
-    return lines[:2], lines[-2:][::-1] if len(lines) > 1 else []
+    full = [i for i, x in enumerate(lines) if x]
+    if len(full) < 2:
+        return [(lines[i], "") for i in full], []
+    tops = [(lines[i], lines[i + 1] if i + 1 < len(lines) else "") for i in full[:2]]
+    feet = [(lines[i], lines[i - 1] if i else "") for i in full[:-3:-1]]
+    return tops, feet
 
 
 def split_edge(line: str) -> tuple[bool, str]:
@@ -111,33 +118,68 @@ def head_or_foot(line: str) -> bool:
 
 
 def page_parts(text: str) -> tuple[bool, list[str]]:
-    """(page number at head or foot, possible running lines)."""
+    """(page number at head or foot, possible running lines).
+
+    A line is apart from the text if a blank line follows (at the foot: comes
+    before), if it is a title by its capitals, or if the text begins anew there
+    (at the foot: had ended).
+    """
     tops, feet = edges(text)
     if not feet:
         return False, []
     number, running = False, []
-    for side in (tops, feet):
-        has, rest = split_edge(side[0])
+    for top, side in ((True, tops), (False, feet)):
+        (line, inner), *more = side
+        has, rest = split_edge(line)
         number |= has
-        if rest and head_or_foot(rest):
+
+        def apart(line: str, inner: str, top: bool = top) -> bool:
+            words = [w for w in line.split() if w[0].isalpha()]
+            titled = len(words) <= 6 and 2 * sum(w[0].isupper() for w in words) > len(words) > 0 and len(line) <= 45
+            return not inner or titled or (not inner[0].islower() if top else closes(inner))
+
+        if rest and head_or_foot(rest) and (has or apart(rest, inner)):
             running.append(rest)
-        if len(side) > 1 and (has and not rest or rest and head_or_foot(rest)):
-            has2, rest2 = split_edge(side[1])
+        if more and (has and not rest or rest and head_or_foot(rest)):
+            line2, inner2 = more[0]
+            has2, rest2 = split_edge(line2)
             # a number on the second line counts beside a running line, not inside a list
             number |= has2 and not rest2 and not (has and not rest)
-            if rest2 and head_or_foot(rest2) and not rest:
-                running.append(rest2)
-            elif has2 and rest2 and head_or_foot(rest2):
-                number = True
+            if rest2 and head_or_foot(rest2) and (has2 or not rest and apart(rest2, inner2)):
+                number |= has2
                 running.append(rest2)
     return number, [n for x in dict.fromkeys(running) if len(n := norm_line(x)) >= 4]
 
 
+_ODD = [int(x) | 1 for x in np.random.default_rng(31_007).integers(1, 2**61, EDGE_BANDS)]
+_MASK = (1 << 63) - 1
+
+
+@lru_cache(maxsize=100_000)
 def bands(norm: str) -> list[int]:
     """Min-hash values of the line's letter trigrams."""
     s = f"  {norm} "
-    grams = {s[i : i + 3] for i in range(len(s) - 2)}
-    return [min(xxhash.xxh64_intdigest(g, seed=k) >> 1 for g in grams) ^ k for k in range(EDGE_BANDS)]
+    hashes = [xxhash.xxh3_64_intdigest(g) for g in {s[i : i + 3] for i in range(len(s) - 2)}]
+    return [min([(h * a >> 7) & _MASK for h in hashes]) ^ k for k, a in enumerate(_ODD)]
+
+
+def misread_sites(texts: list[str]) -> np.ndarray:
+    """How many places of each text may hold a misread character: one table look-up a character over the batch."""
+    from quirespark.llm.encoding import _AUP, _ALOW, _CLOW, _CUP, _IS_LETTER, _TABLE
+
+    lens = np.array([len(t) + 1 for t in texts], np.int64)
+    if not len(lens):
+        return lens
+    cp = np.frombuffer(("\n".join(texts) + "\n\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+    k = _TABLE[cp]
+    letter, plain, cyr = _IS_LETTER[k], (k == _ALOW) | (k == _AUP), (k == _CLOW) | (k == _CUP)
+    digit = (cp >= 0x30) & (cp <= 0x39)
+    sign = (cp == 0x7C) | (cp == 0x21) | (cp == 0x20AC) | (cp == 0x2020)
+    site = (digit | sign)[1:-1] & (letter[:-2] | letter[2:]) | (cp[1:-1] == 0x251)
+    site |= plain[1:-1] & (cyr[:-2] | cyr[2:])
+    counted = np.concatenate([[0], np.cumsum(np.concatenate([[False], site]))])
+    ends = np.cumsum(lens)
+    return counted[np.minimum(ends, len(counted) - 1)] - counted[ends - lens]
 
 
 def repeated_share(w: np.ndarray, e: np.ndarray) -> np.ndarray:
@@ -158,53 +200,85 @@ def repeated_share(w: np.ndarray, e: np.ndarray) -> np.ndarray:
     return np.where(lens > 0, (marked[e] - marked[e - lens]) / np.maximum(lens, 1), 0.0)
 
 
+def _cell(w: str) -> list[tuple[str, str, str, float]]:
+    """(before, candidate, after, channel) of a word."""
+    core = w.strip(_EDGE)
+    at = w.find(core) if core else 0
+    options = candidates(core) if core and misread(w) else [(core, 0.0)]
+    return [(w[:at], c, w[at + len(core) :], lp) for c, lp in options]
+
+
 def decode(model: HashModel, ids: Words, lines: list[list[str]]) -> list[list[str]]:
-    """The likeliest words of each line: Viterbi over candidates, channel times bigram likelihood."""
-    lattice = []
-    for words in lines:
-        row = []
-        for w in words:
-            core = w.strip(_EDGE)
-            at = w.find(core) if core else 0
-            row.append([(w[:at], c, w[at + len(core) :], lp) for c, lp in candidates(core)] if core and misread(w) else [(w[:at], core, w[at + len(core) :], 0.0)])
-        lattice.append(row)
-    uni_words = sorted({c[1].lower() for row in lattice for cell in row for c in cell})
-    hashes = np.array(ids(uni_words), np.uint64)
-    index = {w: i for i, w in enumerate(uni_words)}
-    uni = np.nan_to_num(model.look(1, hashes), nan=-26.0) if len(hashes) else hashes
-    back = np.nan_to_num(model.look(12, hashes), nan=0.0) if len(hashes) else hashes
-    pairs = sorted({(index[a[1].lower()], index[b[1].lower()]) for row in lattice for x, y in zip(row, row[1:]) if len(x) > 1 or len(y) > 1 for a in x for b in y})
-    pi = {p: i for i, p in enumerate(pairs)}
+    """The likeliest words of each line: Viterbi over candidates, channel times bigram likelihood.
+
+    A word without candidates cuts the lattice, so that only runs of misread
+    words with their neighbours are decoded.
+    """
+    out = [list(x) for x in lines]
+    runs: list[tuple[int, int, list]] = []
+    for n, words in enumerate(lines):
+        i = 0
+        while i < len(words):
+            if not misread(words[i]):
+                i += 1
+                continue
+            j = i
+            while j < len(words) and misread(words[j]):
+                j += 1
+            runs.append((n, i, [_cell(w) for w in words[max(0, i - 1) : j + 1]]))
+            i = j
+    vocabulary = sorted({c[1].lower() for _, _, row in runs for cell in row for c in cell})
+    if not vocabulary:
+        return out
+    hashes = np.array(ids(vocabulary), np.uint64)
+    index = {w: i for i, w in enumerate(vocabulary)}
+    uni = np.nan_to_num(model.look(1, hashes), nan=-26.0)
+    back = np.nan_to_num(model.look(12, hashes), nan=0.0)
+    coded = [[[(index[c[1].lower()], c[3]) for c in cell] for cell in row] for _, _, row in runs]
+    pairs = sorted({(a, b) for row in coded for x, y in zip(row, row[1:]) for a, _ in x for b, _ in y})
+    score: dict[tuple[int, int], float] = {}
     if pairs:
         ab = np.array(pairs)
         two = model.look(2, _mix(hashes[ab[:, 0]], hashes[ab[:, 1]]))
-        two = np.where(np.isnan(two), back[ab[:, 0]] + uni[ab[:, 1]], two)
-    out = []
-    for row in lattice:
-        if all(len(c) == 1 for c in row):
-            out.append(["".join(c[0][:3]) for c in row])
-            continue
-        best = [[(c[3] + float(uni[index[c[1].lower()]]), -1) for c in row[0]]]
+        score = dict(zip(pairs, np.where(np.isnan(two), back[ab[:, 0]] + uni[ab[:, 1]], two).tolist(), strict=True))
+    single = uni.tolist()
+    for (n, start, cells), row in zip(runs, coded, strict=True):
+        best = [[(lp + single[a], -1) for a, lp in row[0]]]
         for x, y in zip(row, row[1:]):
             step = []
-            for b in y:
-                j = index[b[1].lower()]
-                scored = [(best[-1][k][0] + (float(two[pi[(index[a[1].lower()], j)]]) if len(x) > 1 or len(y) > 1 else 0.0), k) for k, a in enumerate(x)]
-                top = max(scored, key=lambda s: (s[0], -s[1]))
-                step.append((top[0] + b[3], top[1]))
+            for b, lp in y:
+                top, k = max((best[-1][k][0] + score[(a, b)], -k) for k, (a, _) in enumerate(x))
+                step.append((top + lp, -k))
             best.append(step)
         k = max(range(len(row[-1])), key=lambda i: (best[-1][i][0], -i))
-        chosen = []
         for i in range(len(row) - 1, -1, -1):
-            chosen.append("".join(row[i][k][:3]))
+            out[n][max(0, start - 1) + i] = "".join(cells[i][k][:3])
             k = best[i][k][1]
-        out.append(chosen[::-1])
     return out
 
 
 _PAGE = "reading_id bigint, job_id string, page_number int, lines array<string>, misread int, number boolean, broken boolean, compounds array<string>, norms array<string>, bands array<array<bigint>>"
 _SCAN = f"{GRAMS}, {_PAGE}, inline array<string>"
-_INLINE = re.compile(rf"(?<![-\w])({_LETTER}+-{_LETTER}+)(?![-\w])")
+_AT_HYPHEN = re.compile(rf"(?<={_LETTER})-(?={_LETTER})")
+_AT_BREAK = re.compile(rf"(?<={_LETTER})([-¬­=‐‑])[ \t]*\n[ \t]*({_LETTER}+)")
+_BEFORE = re.compile(rf"{_LETTER}+$")
+_AFTER = re.compile(rf"{_LETTER}+")
+
+
+def breaks(text: str) -> list[tuple[str, str, str]]:
+    """(part before, mark, part after) of the words broken at a line end."""
+    return [(_BEFORE.search(text, max(0, m.start() - 40), m.start())[0], m[1], m[2]) for m in _AT_BREAK.finditer(text)]
+
+
+def compounds(text: str) -> list[str]:
+    """Words of two parts with a hyphen inside a line, lower-case."""
+    out = []
+    for m in _AT_HYPHEN.finditer(text):
+        a, b = _BEFORE.search(text, max(0, m.start() - 40), m.start())[0], _AFTER.match(text, m.end())[0]
+        out.append(f"{a}-{b}".lower())
+    return out
+
+
 _SCHEMA = pa.schema([
     ("ord", pa.int8()), ("key", pa.int64()), ("ctx", pa.int64()), ("low", pa.int64()), ("n", pa.int64()),
     ("reading_id", pa.int64()), ("job_id", pa.string()), ("page_number", pa.int32()), ("lines", pa.list_(pa.string())), ("misread", pa.int32()),
@@ -237,9 +311,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         share = repeated_share(w, e)
         keep = [i for i, f in enumerate(fixed) if not f[1] and not f[2] and share[i] < 0.25 and texts[i].strip()]
         out: dict[str, list] = {k: [] for k in ("lines", "misread", "number", "broken", "compounds", "norms", "bands")}
+        sites = misread_sites(texts)
         for i in keep:
             t = texts[i]
-            bad = [x for x in (_TOKEN.findall(t) if _ANY.search(t) else ()) if misread(x)]
+            bad = [x for x in (_TOKEN.findall(t) if sites[i] >= MIN_WORDS else ()) if misread(x)]
             out["misread"].append(len(bad))
             out["lines"].append([x for x in t.split("\n") if any(misread(y) for y in x.split())] if len(bad) >= MIN_WORDS else [])
             number, norms = page_parts(t)
@@ -247,7 +322,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out["norms"].append(norms)
             out["bands"].append([bands(n) for n in norms])
             sure, maybe = False, set()
-            for left, mark, right in _BREAK.findall(t) if "\n" in t else ():
+            for left, mark, right in breaks(t) if "\n" in t else ():
                 if right[0].isupper() and not (left[-1].isupper() and len(left) > 1):
                     continue
                 if mark in "-‐‑":
@@ -257,7 +332,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out["broken"].append(sure)
             out["compounds"].append([] if sure else sorted(maybe))
             if "-" in t:
-                inline.update(x.lower() for x in _INLINE.findall(t))
+                inline.update(compounds(t))
         at = pa.array(keep, pa.int64())
         yield _rows(reading_id=b.column(0).take(at), job_id=b.column(1).take(at), page_number=b.column(2).take(at), **out)
         if len(inline) > 100_000:
@@ -269,9 +344,6 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _rows(inline=[sorted(inline)])
 
 
-_ANY = re.compile(r"[0-9!|€†ɑ]|[А-яЁёІіЇїЄєҐґѢѣ][A-Za-z]|[A-Za-z][А-яЁёІіЇїЄєҐґѢѣ]")
-
-
 def running_lines(scanned: DataFrame) -> DataFrame:
     """(job_id, norm) of the lines that stand on ``MIN_PAGES`` pages of their job, small misreadings aside."""
     lines = scanned.select("job_id", "page_number", F.explode(F.arrays_zip("norms", "bands")).alias("x")).select("job_id", "page_number", F.col("x.norms").alias("norm"), F.explode("x.bands").alias("band"))
