@@ -79,7 +79,10 @@ _NEEDS = re.compile(
     r"(?i)\benable|\bactivate\b|\bturn(?:ed)? (?:on|off your)|\bswitched on\b|\bneeded\b|\bneed to\b|\brequire[sd]?\b|does not support|\bmust\b|\bplease allow\b|aktivier\w+|einschalten|benötig\w+|\bactive[rz]?\b|activez|habilit\w+|requier\w+|nécessaire|włącz\w*|wymaga\w*|включите|требуется|увімкніть|потрібен|необхід"
 )
 _CHECK = re.compile(r"(?i)checking (?:your|the) browser|verify(?:ing)? (?:that )?you are (?:a )?human|i am not a robot|complete the captcha|solve the captcha|unusual traffic|browser check|проверка браузера|перевірка браузера|überprüf\w+ (?:ihren|deinen|ihres) browser|vérification de votre navigateur|sprawdzanie przeglądarki|comprobando (?:su|tu) navegador")
-_TRIGGER = re.compile(r"[{}@%$#\[<]|__|&lt;|(?i:goes here|sample text|replace this|nan of nan|undefined|todo|tbd|fixme|xx[/.-]xx)")
+# Substrings without which no pattern of a kind can match: cheap to look for in long texts.
+_MARKS = ("{", "}", "@@", "%", "$", "#", "[", "<", "__", "&lt;")
+_PHRASES = ("goes here", "sample text", "replace this", "nan of nan", "undefined", "todo", "tbd", "fixme", "xx/xx", "xx.xx", "xx-xx", "dd/", "mm/", "yyyy", "dd.", "mm.", "dd-", "mm-", " nan", " null")
+_CHECKED = ("browser", "human", "robot", "captcha", "traffic", "браузер", "navigateur", "przegląd", "navegador")
 
 
 def _sentence(text: str, at: int) -> str:
@@ -90,7 +93,8 @@ def _sentence(text: str, at: int) -> str:
 
 def placeholders(text: str) -> list[str]:
     """Unfilled placeholders that the text doesn't quote, explain or hold as code."""
-    if not _TRIGGER.search(text):
+    low = text.lower()
+    if not any(x in text for x in _MARKS) and not any(x in low for x in _PHRASES):
         return []
     bare = _QUOTED.sub(" ", _INLINE.sub(" ", text))
     prose = _FENCE.sub("\n", bare)
@@ -125,7 +129,7 @@ def error_page(text: str) -> bool:
     """Whether error messages are the better part of the text."""
     if len(text) > 4000:
         return False
-    hard = bool(_HARD.search(text))
+    hard = len(text) <= 2000 and bool(_HARD.search(text))
     lines = [x.strip() for x in text.split("\n") if x.strip()]
     if not lines:
         return False
@@ -151,7 +155,7 @@ def script_notice(text: str) -> bool:
             s = _sentence(bare, m.start())
             if len(s) < 250 and _NEEDS.search(s) and not re.search(r"(?i)\breaders who\b|\bthose who\b|\bwithout\b.*\bstill\b|\bstill (?:see|work)", s):
                 return True
-    return bool(_CHECK.search(text))
+    return any(x in low for x in _CHECKED) and bool(_CHECK.search(text))
 
 
 def residue(text: str | None) -> list[str]:
