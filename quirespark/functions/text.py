@@ -202,6 +202,6 @@ def natural_key(name: Column) -> Column:
 
 def page_range(expression: Column) -> Column:
     """``1-3,7`` -> sorted distinct numbers."""
-    pieces = F.transform(F.split(expression, ","), F.trim)
+    pieces = F.transform(F.split(expression, ","), lambda p: F.trim(p))
     spans = F.transform(pieces, lambda p: F.sequence(F.split(p, "-")[0].cast("int"), F.element_at(F.split(p, "-"), -1).cast("int")))
     return F.array_sort(F.array_distinct(F.flatten(spans)))
