@@ -236,7 +236,6 @@ _TWO = f"(SELECT job_id, page_id, a.reading_id AS a_id, b.reading_id AS b_id, a.
 _CMP = f"""(SELECT job_id, page_id, CASE WHEN b_id IS NULL THEN 'only_a' WHEN a_id IS NULL THEN 'only_b' WHEN a_text IS NOT DISTINCT FROM b_text THEN 'equal' ELSE 'different' END AS status, (length(b_text) - length(a_text))::BIGINT AS length_delta, round(b_c - a_c, 6) AS confidence_delta,
  CASE WHEN a_id IS NOT NULL AND b_id IS NOT NULL THEN array_to_string(list_sort(list_distinct(list_filter(a_w, lambda x: NOT list_contains(b_w, x)))), ';') END AS resolved, CASE WHEN a_id IS NOT NULL AND b_id IS NOT NULL THEN array_to_string(list_sort(list_distinct(list_filter(b_w, lambda x: NOT list_contains(a_w, x)))), ';') END AS introduced FROM {_TWO} t)"""
 _PW = "len(list_filter(string_split(trim(regexp_replace(coalesce(content, ''), '\\s+', ' ', 'g'), ' '), ' '), lambda x: x <> ''))"
-_CER = rf"(SELECT job_id, page_id, stage, levenshtein(ref, got) AS edits, length(ref) AS chars FROM (SELECT job_id, page_id, l.stage, trim(regexp_replace(p.selected_output.text, '\s+', ' ', 'g'), ' ') AS ref, trim(regexp_replace(l.content, '\s+', ' ', 'g'), ' ') AS got FROM {_L('WHERE length(content) BETWEEN 1 AND 1500')} l JOIN {PAGES} p USING (job_id, page_id) WHERE length(p.selected_output.text) BETWEEN 1 AND 1500 AND l.stage <> p.selected_stage) q WHERE ref <> '')"
 _VIOL = f"""(SELECT 'duplicate_page_id' AS code, job_id, page_id FROM page_results GROUP BY job_id, page_id HAVING count(*) > 1
  UNION ALL SELECT 'page_number_mismatch', job_id, page_id FROM {PAGES} p WHERE try_cast(regexp_extract(page_id, '(\\d+)$', 1) AS INTEGER) <> page_number
  UNION ALL SELECT 'unknown_page_reference', job_id, page_id FROM {PAGES} p WHERE NOT EXISTS (SELECT 1 FROM readings r WHERE r.job_id = p.job_id AND r.page_id = p.page_id)
@@ -266,9 +265,6 @@ ORACLES = {
     "verify_pages": f"SELECT * FROM {_VIOL} v",
     "verify_counts": f"SELECT code, count(*) AS n FROM {_VIOL} v GROUP BY 1",
     "attempt_pairs": rf"WITH r AS (SELECT job_id, page_id, reading_id, list_distinct(regexp_extract_all(lower(content), '\p{{L}}+')) AS w, list_sort(regexp_extract_all(content, '[0-9]+')) AS d FROM {_L('WHERE content IS NOT NULL')} l) SELECT a.reading_id AS a_reading_id, b.reading_id AS b_reading_id, CASE WHEN len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)) > 0 THEN round(len(list_intersect(a.w, b.w))::DOUBLE / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), 4) END AS agreement, a.d <> b.d AS numeric_conflict FROM r a JOIN r b USING (job_id, page_id) WHERE a.reading_id < b.reading_id",
-    "cer_pages": f"SELECT job_id, page_id, stage, edits, chars, round(edits::DOUBLE / chars, 4) AS cer FROM {_CER} c",
-    "cer_summary": f"SELECT stage, job_id, count(*) AS n_pages, sum(edits)::BIGINT AS edits, sum(chars)::BIGINT AS chars, round(sum(edits)::DOUBLE / sum(chars), 4) AS cer FROM {_CER} c GROUP BY GROUPING SETS ((stage), (job_id))",
-    "worst_pages": f"SELECT job_id, page_id, stage, edits, chars, round(edits::DOUBLE / chars, 4) AS cer FROM {_CER} c ORDER BY cer DESC, edits DESC, job_id, page_id, stage LIMIT 5",
     "historical_counts": f"SELECT source_key, sum(len(regexp_extract_all(coalesce(content, ''), '[ѣѢ]')))::BIGINT AS yat, sum(len(regexp_extract_all(coalesce(content, ''), '[іІ]')))::BIGINT AS dotted_i, sum(len(regexp_extract_all(coalesce(content, ''), '[ѳѲ]')))::BIGINT AS fita, sum(len(regexp_extract_all(coalesce(content, ''), '[ѵѴ]')))::BIGINT AS izhitsa FROM {BASE} b GROUP BY 1",
     "word_changes": rf"""WITH last AS (SELECT job_id, page_id, content FROM {_L("WHERE stage = 'local_ocr' AND content IS NOT NULL")} l), sel AS (SELECT job_id, page_id, selected_output.text AS t FROM {PAGES} p WHERE selected_output.text IS NOT NULL),
  a AS (SELECT job_id, page_id, w, count(*) AS n FROM (SELECT job_id, page_id, unnest(regexp_extract_all(lower(content), '\p{{L}}+')) AS w FROM last) q GROUP BY ALL), b AS (SELECT job_id, page_id, w, count(*) AS n FROM (SELECT job_id, page_id, unnest(regexp_extract_all(lower(t), '\p{{L}}+')) AS w FROM sel) q GROUP BY ALL)
