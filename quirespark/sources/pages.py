@@ -8,7 +8,7 @@ Defined results
 * text: a byte-order mark is dropped; a last form feed followed by blanks only
   opens no page; bytes that aren't UTF-8 give an ``error`` and no page.
 * an image header that can't be read gives an ``error`` and null sizes.
-* empty files: one empty page (text), no words (ALTO, word tables).
+* files of no bytes have no rows: Spark's file sources skip them.
 """
 
 from __future__ import annotations
