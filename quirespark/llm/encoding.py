@@ -249,6 +249,26 @@ def _better(w: str, wrong: str, meant: str) -> tuple[str, float]:
     return new, drop
 
 
+def _applied(w: str, wrong: str, meant: str) -> str:
+    """The word under the table that the text was found to be garbled by: strict UTF-8 is then evidence enough."""
+    if meant == "utf-8":
+        new = _undo(w, wrong, meant)
+        if new != w and word_cost(new) <= word_cost(w):
+            return new
+    new, drop = _better(w, wrong, meant)
+    if not drop and meant in ("cp1251", "koi8-r", "koi8-u", "cp866", "mac-cyrillic") and not any(c in _CYR or "A" <= c <= "z" for c in w):
+        # single letters of a text that is Cyrillic: they cost nothing in either script
+        other = _undo(w, wrong, meant)
+        if word_cost(other) == 0 and all(c in _CYR or c in ".,;:!?-" for c in other):
+            return other
+    if not drop and wrong == "cp866" and meant == "cp1251":
+        # two Cyrillic tables that overlap in letters: their frequencies decide
+        other = _undo(w, wrong, meant)
+        if word_cost(other) == 0 and sum(c in _FREQUENT for c in other.lower()) > sum(c in _FREQUENT for c in w.lower()):
+            return other
+    return new
+
+
 def _trial(bad: list[str], wrong: str, meant: str) -> tuple[float, int, int]:
     """Over the distinct costly words: cost saved, words changed, distinct characters changed."""
     saved, words, chars, share = 0.0, 0, set(), []
@@ -292,7 +312,7 @@ def repair(text: str | None) -> tuple[str | None, int, bool]:
                 most, pair = saved, p
         if pair is None:
             break
-        text, layers = _WORD.sub(lambda m, p=pair: m[0] if m[0].isascii() else _better(m[0], *p)[0], text), layers + 1
+        text, layers = _WORD.sub(lambda m, p=pair: m[0] if m[0].isascii() else _applied(m[0], *p), text), layers + 1
     inner = len(_LOST_INNER.findall(text)) if "?" in text else 0
     lost = "�" in text or inner >= 2 or "??" in text and (inner >= 1 and bool(_LOST_WORD.search(text)) or len(_LOST_WORD.findall(text)) >= 3)
     return text, layers, bool(lost)

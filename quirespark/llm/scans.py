@@ -374,7 +374,7 @@ def _misreads(folder: str):
 
 def scan(df: DataFrame) -> tuple[DataFrame, str]:
     """(stored marks of the pages and in-line compounds of prose readings, folder of the corpus's bigram model)."""
-    prose = df.filter(F.col("result_format").isin("text", "markdown")).select("reading_id", "job_id", "page_number", "content")
+    prose = df.filter(F.col("result_format").isin("text", "markdown")).select(F.col("reading_id").cast("bigint").alias("reading_id"), "job_id", F.col("page_number").cast("int").alias("page_number"), "content")
     scanned = stored(prose.mapInArrow(_scan, _SCAN), "pages")
     return scanned, train_from(scanned.filter(F.col("ord").isNotNull()).select(*_NAMES), order=2)
 
