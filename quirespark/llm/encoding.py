@@ -249,6 +249,11 @@ def _better(w: str, wrong: str, meant: str) -> tuple[str, float]:
     return new, drop
 
 
+def _plain(w: str) -> int:
+    """Frequent letters of a word, vowels twice."""
+    return sum((c in _FREQUENT) + (c in "аеёиоуыэюяіїє") for c in w.lower())
+
+
 def _applied(w: str, wrong: str, meant: str) -> str:
     """The word under the table that the text was found to be garbled by: strict UTF-8 is then evidence enough."""
     if meant == "utf-8":
@@ -264,7 +269,7 @@ def _applied(w: str, wrong: str, meant: str) -> str:
     if not drop and wrong == "cp866" and meant == "cp1251":
         # two Cyrillic tables that overlap in letters: their frequencies decide
         other = _undo(w, wrong, meant)
-        if word_cost(other) == 0 and sum(c in _FREQUENT for c in other.lower()) > sum(c in _FREQUENT for c in w.lower()):
+        if word_cost(other) == 0 and _plain(other) > _plain(w):
             return other
     return new
 
