@@ -249,9 +249,14 @@ def _better(w: str, wrong: str, meant: str) -> tuple[str, float]:
     return new, drop
 
 
-def _plain(w: str) -> int:
-    """Frequent letters of a word, vowels twice."""
-    return sum((c in _FREQUENT) + (c in "аеёиоуыэюяіїє") for c in w.lower())
+# Cyrillic letters, most frequent first.
+_RANK = {c: i for i, c in enumerate("оеаинтсрвлкмдпуяызьбгчйхжюшцщэфъёіїєґѣѳ")}
+
+
+def _rarity(w: str) -> float:
+    """Mean rank of a word's letters by frequency."""
+    ranks = [_RANK.get(c, 40) for c in w.lower() if c.isalpha()]
+    return sum(ranks) / len(ranks) if ranks else 0.0
 
 
 def _applied(w: str, wrong: str, meant: str) -> str:
@@ -269,7 +274,7 @@ def _applied(w: str, wrong: str, meant: str) -> str:
     if not drop and wrong == "cp866" and meant == "cp1251":
         # two Cyrillic tables that overlap in letters: their frequencies decide
         other = _undo(w, wrong, meant)
-        if word_cost(other) == 0 and _plain(other) > _plain(w):
+        if word_cost(other) == 0 and _rarity(other) < _rarity(w):
             return other
     return new
 
