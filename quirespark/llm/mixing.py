@@ -107,8 +107,8 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 7, block: int = BL
     quotas, _, docs = _plan(_sized(documents, targets, seed), targets, seed, block)
     w = W.partitionBy("source", "shard").orderBy("h", "doc_id").rowsBetween(W.unboundedPreceding, W.currentRow)
     ordered = docs.withColumn("upto", F.sum("n_tokens").over(w))
-    # a quota row a mix, source and shard: bounded by mix_targets times the shards
-    joined = ordered.join(F.broadcast(quotas), ["source", "shard"])
+    # a quota row for each mix, source and shard; as shards grow with the data, the plan decides how to join
+    joined = ordered.join(quotas, ["source", "shard"])
     rounds = F.floor(F.col("quota") / F.col("shard_tokens"))
     rest = F.col("quota") - rounds * F.col("shard_tokens")
     last = (F.col("upto") - F.col("n_tokens") / 2 <= rest) & (rest > 0)
