@@ -263,7 +263,7 @@ def _applied(w: str, wrong: str, meant: str) -> str:
     """The word under the table that the text was found to be garbled by: strict UTF-8 is then evidence enough."""
     if meant == "utf-8":
         new = _undo(w, wrong, meant)
-        if new != w and word_cost(new) <= word_cost(w):
+        if new != w and (word_cost(new) <= word_cost(w) or not w.strip(".,;:!?»«“”„()").isalpha()):
             return new
     new, drop = _better(w, wrong, meant)
     if not drop and meant in ("cp1251", "koi8-r", "koi8-u", "cp866", "mac-cyrillic") and not any(c in _CYR or "A" <= c <= "z" for c in w):
