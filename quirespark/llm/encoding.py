@@ -60,6 +60,7 @@ _HIGH = re.compile(r"[^\x00-\x7f]+")
 _WORD = re.compile(r"[^ \n\t\r]+")
 # A raised figure in a long word: the Polish letters stand there in the Central European tables.
 _RAISED = re.compile(r"[^\W\d_]{3,}[³¹]|[³¹][^\W\d_]{3,}")
+_SEVERAL = re.compile(r"[^\x00-\x7f]{2}")
 _CONTROL = re.compile(r"[\x00-\x1f]")
 
 
@@ -313,7 +314,9 @@ def repair(text: str | None) -> tuple[str | None, int, bool]:
         # All tables are tried on the likeliest words, the best of them on all words.
         bad.sort(key=lambda w: (any(c in MISREAD for c in w), -word_cost(w), w))
         few = bad[:10]
-        ranked = sorted(((-_trial(few, *p)[0], i) for i, p in enumerate(_PAIRS)))
+        # a character of UTF-8 beyond ASCII shows as two signs or more
+        several = [w for w in few if _SEVERAL.search(w)]
+        ranked = sorted(((-_trial(several if p[1] == "utf-8" else few, *p)[0], i) for i, p in enumerate(_PAIRS)))
         most, pair = 0.0, None
         for less, i in ranked[:4]:
             if less == 0:

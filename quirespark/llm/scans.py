@@ -200,6 +200,7 @@ def repeated_share(w: np.ndarray, e: np.ndarray) -> np.ndarray:
     return np.where(lens > 0, (marked[e] - marked[e - lens]) / np.maximum(lens, 1), 0.0)
 
 
+@lru_cache(maxsize=100_000)
 def _cell(w: str) -> list[tuple[str, str, str, float]]:
     """(before, candidate, after, channel) of a word."""
     core = w.strip(_EDGE)
@@ -346,8 +347,9 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def running_lines(scanned: DataFrame) -> DataFrame:
     """(job_id, norm) of the lines that stand on ``MIN_PAGES`` pages of their job, small misreadings aside."""
-    lines = scanned.select("job_id", "page_number", F.explode(F.arrays_zip("norms", "bands")).alias("x")).select("job_id", "page_number", F.col("x.norms").alias("norm"), F.explode("x.bands").alias("band"))
-    seen = lines.distinct()
+    x = F.explode(F.arrays_zip("norms", "bands")).alias("x")
+    once = scanned.select("job_id", "page_number", x).groupBy("job_id", "page_number", F.col("x.norms").alias("norm")).agg(F.first("x.bands").alias("bands"))
+    seen = stored(once, "edge-lines").select("job_id", "page_number", "norm", F.explode("bands").alias("band"))
     counted = seen.groupBy("job_id", "band", "norm").agg(F.count("*").alias("n"))
     top = counted.groupBy("job_id", "band").agg(F.max(F.struct("n", "norm")).alias("top"), F.sum("n").alias("all")).filter(F.col("all") >= MIN_PAGES).select("job_id", "band", F.col("top.norm").alias("top"))
     near = seen.join(top, ["job_id", "band"]).filter(F.levenshtein("norm", "top") <= F.floor(F.length("top") / 4))
