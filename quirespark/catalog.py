@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirespark.operators import drift, nested
-from quirespark.plans import evidence, files, geometry, ledger, quality, tabular
+from quirespark.plans import evidence, files, geometry, ledger, quality, report, tabular
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -28,6 +28,6 @@ QUERIES: dict = {
     "p6_unified": lambda s, d: drift.unify(_t(s, d, "job_files")),
 }
 ORACLES: dict = {}
-for _m in (quality, tabular, ledger, geometry, files, evidence):
+for _m in (quality, tabular, ledger, geometry, files, evidence, report):
     QUERIES.update(_m.QUERIES)
     ORACLES.update(_m.ORACLES)
