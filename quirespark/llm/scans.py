@@ -381,34 +381,36 @@ def scan(df: DataFrame) -> tuple[DataFrame, str]:
     return scanned, train_from(scanned.filter(F.col("ord").isNotNull()).select(*_NAMES), order=2)
 
 
-def noise(df: DataFrame) -> DataFrame:
-    """One row a reading: ``reading_id``, ``hyphen_break``, ``misread_characters``, ``running_header``, ``page_number`` (booleans).
+KINDS = ("hyphen_break", "misread_characters", "running_header", "page_number")
+
+
+def found(df: DataFrame) -> DataFrame:
+    """p7_found: one row for each kind of noise in a prose reading.
 
     One scan counts the bigrams and marks the pages; only lines with misread
     words are decoded once the model stands. Readings that repeat or are
-    garbled have no row.
+    garbled have no row. The kinds are four narrow results and one distinct.
     """
     scanned, model = scan(df)
     pages = scanned.filter(F.col("reading_id").isNotNull())
-    headed = pages.select("reading_id", "job_id", F.explode("norms").alias("norm")).join(running_lines(pages), ["job_id", "norm"], "left_semi").select("reading_id").distinct().withColumn("running_header", F.lit(True))
-    compounds = scanned.filter(F.col("inline").isNotNull()).select(F.explode("inline").alias("compound")).distinct()
-    maybe = pages.select("reading_id", F.explode("compounds").alias("compound")).distinct()
-    broken = maybe.join(compounds, "compound", "left_anti").select("reading_id").distinct().withColumn("__b", F.lit(True))
-    read = pages.filter(F.col("misread") >= MIN_WORDS).select("reading_id", "lines").dropDuplicates(["reading_id"]).select("reading_id", (_misreads(model)("lines") >= MIN_WORDS).alias("__m"))
-    flags = pages.groupBy("reading_id").agg(F.max("number").alias("number"), F.max("broken").alias("broken"))
-    return (
-        flags.join(headed, "reading_id", "left").join(broken, "reading_id", "left").join(read, "reading_id", "left")
-        .select(
-            "reading_id", (F.col("broken") | F.coalesce("__b", F.lit(False))).alias("hyphen_break"), F.coalesce("__m", F.lit(False)).alias("misread_characters"),
-            F.coalesce("running_header", F.lit(False)).alias("running_header"), F.col("number").alias("page_number"),
-        )
-    )
+    headed = pages.select("reading_id", "job_id", F.explode("norms").alias("norm")).join(running_lines(pages), ["job_id", "norm"], "left_semi").select("reading_id")
+    inline = scanned.filter(F.col("inline").isNotNull()).select(F.explode("inline").alias("compound")).distinct()
+    broken = pages.select("reading_id", F.explode("compounds").alias("compound")).join(inline, "compound", "left_anti").select("reading_id")
+    read = pages.filter(F.col("misread") >= MIN_WORDS).select("reading_id", "lines").filter(_misreads(model)("lines") >= MIN_WORDS).select("reading_id")
+    parts = [
+        (broken, "hyphen_break"), (pages.filter("broken").select("reading_id"), "hyphen_break"), (read, "misread_characters"),
+        (headed, "running_header"), (pages.filter("number").select("reading_id"), "page_number"),
+    ]
+    out = None
+    for part, kind in parts:
+        rows = part.select("reading_id", F.lit(kind).alias("noise"))
+        out = rows if out is None else out.unionByName(rows)
+    return out.distinct()
 
 
-def found(df: DataFrame) -> DataFrame:
-    """p7_found: one row for each kind of noise in a prose reading."""
-    kinds = ("hyphen_break", "misread_characters", "running_header", "page_number")
-    return noise(df).select("reading_id", F.explode(F.array_compact(F.array(*[F.when(F.col(k), F.lit(k)) for k in kinds]))).alias("noise"))
+def noise(df: DataFrame) -> DataFrame:
+    """One row for each reading with noise: ``reading_id`` and a boolean for each of ``KINDS``."""
+    return found(df).groupBy("reading_id").agg(*[F.bool_or(F.col("noise") == k).alias(k) for k in KINDS])
 
 
 def clean(text: str | None, running: set[str], model: HashModel | None = None, ids: Words | None = None) -> str | None:
