@@ -48,6 +48,9 @@ _EXPLAINS = re.compile(
     r"(?i)\b(?:explain\w*|look like|looks like|stands? for|replaced|template|templates|writes?|marked|braces|placeholders?|syntax|for example|e\.g\.|literally|as a curiosity|sample sheet|means|escape\w*|spelled|called|variable)\b"
 )
 _FENCE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)", re.S)
+# Settings files have no template syntax of their own but ${..} and {{..}}.
+_SETTINGS = re.compile(r"```(?:ya?ml|json|toml|ini)\b(.*?)(?:```|\Z)", re.S)
+_FOREIGN = re.compile(rf"#\{{\s*{_ID}\s*\}}|<%=?\s*{_ID}\s*%>|%\({_ID}\)[sdf]|\{{%\s*{_ANYNAME}\s*%\}}|(?<![\w_])__[A-Za-z]{{3,}}(?:_[A-Za-z]+)*__(?![\w_])|\[\[\s*{_ID}\s*\]\]")
 _INLINE = re.compile(r"`[^`\n]{1,200}`")
 _QUOTED = re.compile(r"“[^“”\n]{0,160}”|«[^«»\n]{0,160}»|„[^„“”\n]{0,160}[“”]|‘[^‘’\n]{2,80}’(?!\w)")
 _CODE_LINE = re.compile(r"^\s*(?:def |class |import |from \w+ import|return\b|for \w+ in |if .*:$|print\(|[\w.]+\s*=\s*[\w\[{(\"']|\w+\(.*\)\s*[;{]?\s*(?:#.*)?$)", re.M)
@@ -56,6 +59,10 @@ _CODE_LINE = re.compile(r"^\s*(?:def |class |import |from \w+ import|return\b|fo
 _FILLER = frozenset(
     "lorem ipsum dolor sit amet consectetur consectetuer adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split()
 )
+# Names of filler text, by which it announces itself.
+_NAMED_FILLER = re.compile(
+    r"(?i)\b(?:blindtext|platzhaltertext|fülltext|dummy text|placeholder text|filler text|faux[- ]texte|texte (?:de remplissage|provisoire)|texto (?:de relleno|provisional|simulado)|tekst (?:zastępczy|przykładowy|wypełniający)|текст[- ]заполнитель|рыбный текст|текст[- ]рыба|текст[- ]заповнювач|зразок тексту)"
+)
 _MASH = re.compile(r"(?i)\b(?:asdf\w*|qwer\w*|jkl\b|sdfg\w*|zxcv\w*|hjkl\w*)")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -106,6 +113,9 @@ def placeholders(text: str) -> list[str]:
             continue
         for m in pattern.finditer(where):
             (explained.add if _EXPLAINS.search(_sentence(where, m.start())) else out.append)(m.group(0))
+    if "```" in bare:
+        for block in _SETTINGS.finditer(bare):
+            out += [m.group(0) for m in _FOREIGN.finditer(block[1])]
     for m in _TAG.finditer(prose):
         if m[1] not in _MARKUP and f"</{m[1]}>" not in prose and not _EXPLAINS.search(_sentence(prose, m.start())):
             out.append(m.group(0))
@@ -114,7 +124,7 @@ def placeholders(text: str) -> list[str]:
 
 
 def filler(text: str) -> bool:
-    """Latin filler running over eight words or more, or keyboard mash."""
+    """Latin filler running over eight words or more, keyboard mash, or a short text that is one word over and over or calls itself filler."""
     low = text.lower()
     if any(x in low for x in ("ipsum", "dolor", "aliqu", "nostrud", "veniam", "tempor", "commodo", "labore", "ullamco")):
         run = 0
@@ -122,6 +132,10 @@ def filler(text: str) -> bool:
             run = run + 1 if w in _FILLER else 0
             if run >= 8:
                 return True
+    if len(text) <= 200:
+        words = _WORD.findall(low)
+        if len(words) >= 4 and len(set(words)) == 1 or _NAMED_FILLER.search(_QUOTED.sub(" ", text)) and not _EXPLAINS.search(text):
+            return True
     return len(_MASH.findall(low)) >= 2 if ("asdf" in low or "qwer" in low or "zxcv" in low) else False
 
 

@@ -323,7 +323,7 @@ def test_mix(spark):
     [
         ("Dear {{ name }},\n\nwelcome.", ["placeholder"]), (f"{EN_} The clerk of ${{county}} wrote.", ["placeholder"]), ("Held at: [INSERT SHELFMARK]", ["placeholder"]), ("Report by __AUTHOR__", ["placeholder"]), ("The <YOUR NAME HERE> signed.", ["placeholder"]),
         ("The guide explains that ${HOME} and {{ title }} are replaced.", []), ("The name template writes `{page}` into files.", []), ("```yaml\nlang: ${LANG}\n```\nA guide.", []), ("<|endoftext|> <s> [INST] </s>", []), ("A <b>bold</b> word <title>x</title>", []),
-        ("Lorem ipsum dolor sit amet consectetur adipiscing elit sed do.", ["filler"]), ("The binder printed lorem ipsum on a sheet.", []), ("asdf asdf jkl qwer", ["filler"]), ("404 Not Found\nThe requested page could not be found.", ["error"]),
+        ("Lorem ipsum dolor sit amet consectetur adipiscing elit sed do.", ["filler"]), ("The binder printed lorem ipsum on a sheet.", []), ("asdf asdf jkl qwer", ["filler"]), ("Text text text text. ", ["filler"]), ("Hier steht ein Blindtext, er wird noch ersetzt.", ["filler"]), ("```yaml\na: 1\n #{name} b: 2\n```", ["placeholder"]), ("404 Not Found\nThe requested page could not be found.", ["error"]),
         ("Traceback (most recent call last):\n  File \"a.py\", line 1\nValueError: x", ["error"]), ("Pages 403, 404 and 500 of the volume were not found on the shelf.", []), ("Canvas 12 answered with a 404, so the fetch went on with canvas 13. " + EN_, []),
         ("Please enable JavaScript to view this page.", ["script"]), ("Readers who switch JavaScript off still see the page.", []), ("Checking your browser before accessing the scans.", ["script"]), (None, []), ("", []), ("  ", []), (EN_ * 500, []), ("{", []),
     ],
