@@ -60,6 +60,8 @@ _HIGH = re.compile(r"[^\x00-\x7f]+")
 _WORD = re.compile(r"[^ \n\t\r]+")
 # A raised figure in a long word: the Polish letters stand there in the Central European tables.
 _RAISED = re.compile(r"[^\W\d_]{3,}[³¹]|[³¹][^\W\d_]{3,}")
+# A capital or a cedilla between small letters: no engine misreads so, and no word is spelled so.
+_STRONG = re.compile(r"[a-z][À-Þ¸][a-z]")
 _SEVERAL = re.compile(r"[^\x00-\x7f]{2}")
 _CONTROL = re.compile(r"[\x00-\x1f]")
 
@@ -323,7 +325,7 @@ def repair(text: str | None) -> tuple[str | None, int, bool]:
                 break
             p = _PAIRS[i]
             saved, words, chars = _trial(bad, *p)
-            if saved > most + 1e-9 and (p[1] == "utf-8" and saved >= 0.7 or p[1] in ("cp1250", "iso8859-2") and saved >= 1 and any(_RAISED.search(w) for w in bad) or words >= (2 if p in _SWAPPED else 3) and chars >= 2 and saved >= (1 if p in _SWAPPED else 2.5)):
+            if saved > most + 1e-9 and (p[1] == "utf-8" and saved >= 0.7 or p[1] in ("cp1250", "iso8859-2") and saved >= 1 and any(_RAISED.search(w) for w in bad) or p[1] == "cp1252" and saved >= 1 and any(_STRONG.search(w) and _better(w, *p)[1] for w in bad) or words >= (2 if p in _SWAPPED else 3) and chars >= 2 and saved >= (1 if p in _SWAPPED else 2.5)):
                 most, pair = saved, p
         if pair is None:
             break
