@@ -27,7 +27,15 @@ QUERIES: dict = {
     "p6_found": lambda s, d: drift.found(_t(s, d, "job_files")),
     "p6_unified": lambda s, d: drift.unify(_t(s, d, "job_files")),
 }
-ORACLES: dict = {}
+_LIST = "CASE json_type({0}) WHEN 'ARRAY' THEN ({0})::JSON[] WHEN 'NULL' THEN [] ELSE CASE WHEN {0} IS NULL THEN [] ELSE [{0}] END END"
+_ATTEMPTS, _WARNINGS = _LIST.format("(pg->'attempts')"), _LIST.format("(att->'warnings')")
+ORACLES: dict = {
+    "p3_found": f"""WITH r AS (SELECT record_id, coalesce(json_extract(record_json, '$.payload'), record_json::JSON) AS o FROM job_records WHERE record_json IS NOT NULL),
+ p AS (SELECT record_id, unnest(CASE json_type(o->'pages') WHEN 'ARRAY' THEN (o->'pages')::JSON[] WHEN 'OBJECT' THEN map_values((o->'pages')::MAP(VARCHAR, JSON)) ELSE [] END) AS pg FROM r),
+ a AS (SELECT record_id, (pg->>'page_number')::INTEGER AS page_number, l, unnest(generate_series(1, greatest(len(l), 1))) AS i FROM (SELECT *, {_ATTEMPTS} AS l FROM p) q),
+ w AS (SELECT record_id, page_number, CASE WHEN len(l) = 0 THEN 0 ELSE i END::INTEGER AS attempt_no, l[i] AS att FROM a)
+ SELECT record_id, page_number, attempt_no, CASE WHEN len(v) = 0 THEN 0 ELSE k END::INTEGER AS warning_no FROM (SELECT record_id, page_number, attempt_no, v, unnest(generate_series(1, greatest(len(v), 1))) AS k FROM (SELECT *, {_WARNINGS} AS v FROM w) q) q1""",
+}
 for _m in (quality, tabular, ledger, geometry, files, evidence, report):
     QUERIES.update(_m.QUERIES)
     ORACLES.update(_m.ORACLES)
