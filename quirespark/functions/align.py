@@ -1,4 +1,4 @@
-"""Approximate matching of lines: pieces, trigrams, semi-global distance."""
+"""Approximate matching: pieces and trigrams of lines, semi-global distance, edit distance of whole texts."""
 
 from __future__ import annotations
 
@@ -60,3 +60,35 @@ def semiglobal_match(it: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Arr
     for a, b in it:
         out = [semiglobal(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)]
         yield pa.array([None if r is None else dict(zip(("edits", "start", "end"), r, strict=True)) for r in out], kind)
+
+
+def distance(a: str | None, b: str | None) -> int | None:
+    """Edit distance of two whole texts of any length: a column of the table as the bits of two integers (Myers, Hyyrö), exact."""
+    if a is None or b is None:
+        return None
+    if len(a) > len(b):
+        a, b = b, a
+    if not a:
+        return len(b)
+    at: dict[str, int] = {}
+    for i, ch in enumerate(a):
+        at[ch] = at.get(ch, 0) | 1 << i
+    full, last = (1 << len(a)) - 1, 1 << len(a) - 1
+    up, down, edits = full, 0, len(a)
+    for ch in b:
+        same = at.get(ch, 0)
+        level = ((same & up) + up ^ up) | same
+        more, less = down | full & ~(level | up), up & level
+        if more & last:
+            edits += 1
+        elif less & last:
+            edits -= 1
+        more = (more << 1 | 1) & full
+        up, down = less << 1 & full | full & ~(same | down | more), more & (same | down)
+    return edits
+
+
+@F.arrow_udf(T.LongType())
+def edit_distance(it: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for a, b in it:
+        yield pa.array([distance(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.int64())

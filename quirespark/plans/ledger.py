@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quirespark.functions import text as X
+from quirespark.functions.align import edit_distance
 from quirespark.operators import ordered as O
 
 BASE = """(SELECT * FROM readings QUALIFY row_number() OVER (PARTITION BY reading_id ORDER BY ingested_at) = 1)"""
@@ -187,12 +188,12 @@ def attempt_pairs(s: SparkSession, d: str) -> DataFrame:
 
 
 def _cer(s: SparkSession, d: str) -> DataFrame:
-    """A page's selected text as reference for its latest readings by other stages; texts up to 1500 characters, since the distance is quadratic."""
+    """A page's selected text as reference for its latest readings by other stages, whole texts of every length. Where the latest reading is null or empty there is nothing to score; an older one doesn't stand in for it."""
     squeeze = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
-    last = O.latest(base(s, d).filter("length(content) BETWEEN 1 AND 1500"), ["job_id", "page_id", "stage"], [F.desc("extracted_at"), F.desc("reading_id")]).select("job_id", "page_id", "stage", "content")
-    ref = pages(s, d).filter("length(selected_output.text) BETWEEN 1 AND 1500").select("job_id", "page_id", "selected_stage", F.col("selected_output.text").alias("ref"))
+    last = O.latest(base(s, d), ["job_id", "page_id", "stage"], [F.desc("extracted_at"), F.desc("reading_id")]).filter("content != ''").select("job_id", "page_id", "stage", "content")
+    ref = pages(s, d).filter("selected_output.text != ''").select("job_id", "page_id", "selected_stage", F.col("selected_output.text").alias("ref"))
     e = last.join(ref, ["job_id", "page_id"]).filter("stage != selected_stage").select("job_id", "page_id", "stage", squeeze("ref").alias("ref"), squeeze("content").alias("got")).filter("ref != ''")
-    return e.select("job_id", "page_id", "stage", F.levenshtein("ref", "got").cast("bigint").alias("edits"), F.length("ref").cast("bigint").alias("chars"))
+    return e.select("job_id", "page_id", "stage", edit_distance("ref", "got").alias("edits"), F.length("ref").cast("bigint").alias("chars"))
 
 
 def cer_pages(s: SparkSession, d: str) -> DataFrame:
