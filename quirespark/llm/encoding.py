@@ -284,20 +284,31 @@ def _applied(w: str, wrong: str, meant: str) -> str:
     return new
 
 
-def _trial(bad: list[str], wrong: str, meant: str) -> tuple[float, int, int]:
-    """Over the distinct costly words: cost saved, words changed, distinct characters changed."""
-    saved, words, chars, share = 0.0, 0, set(), []
-    for w in bad:
-        new, drop = _better(w, wrong, meant)
+@lru_cache(maxsize=200_000)
+def _gains(w: str) -> tuple[tuple[int, float, frozenset[str], float], ...]:
+    """For each table that makes the word cheaper: its number, cost saved, characters changed, and share of frequent letters for tables with swapped cases."""
+    out = []
+    several = _SEVERAL.search(w)
+    for i, p in enumerate(_PAIRS):
+        if p[1] == "utf-8" and not several:
+            continue  # a character of UTF-8 beyond ASCII shows as two signs or more
+        new, drop = _better(w, *p)
         if drop:
-            saved += drop
-            words += 1
-            chars |= set(w) - set(new)
-            if (wrong, meant) in _SWAPPED:
-                share.append(sum(c in _FREQUENT for c in new.lower()) / len(new))
-    if share:
-        saved *= sum(share) / len(share)
-    return saved, words, len(chars)
+            out.append((i, drop, frozenset(w) - frozenset(new), sum(c in _FREQUENT for c in new.lower()) / len(new) if p in _SWAPPED else 0.0))
+    return tuple(out)
+
+
+def _trials(bad: list[str]) -> list[tuple[int, float, int, int]]:
+    """Over all distinct costly words, for each table that saves anything: its number, cost saved, words changed, distinct characters changed."""
+    sums: dict[int, list] = {}
+    for w in bad:
+        for i, drop, chars, share in _gains(w):
+            t = sums.setdefault(i, [0.0, 0, set(), 0.0])
+            t[0] += drop
+            t[1] += 1
+            t[2] |= chars
+            t[3] += share
+    return [(i, saved * share / words if _PAIRS[i] in _SWAPPED else saved, words, len(chars)) for i, (saved, words, chars, share) in sorted(sums.items())]
 
 
 _LOST_INNER = re.compile(r"[^\W\d_]\?+[^\W\d_]")
@@ -310,21 +321,12 @@ def repair(text: str | None) -> tuple[str | None, int, bool]:
         return text, 0, False
     layers = 0
     while layers < MAX_LAYERS:
-        bad = [w for w in set(_WORD.findall(text)) if not w.isascii() and word_cost(w) > 0]
+        bad = sorted(w for w in set(_WORD.findall(text)) if not w.isascii() and word_cost(w) > 0)
         if not bad:
             break
-        # All tables are tried on the likeliest words, the best of them on all words.
-        bad.sort(key=lambda w: (any(c in MISREAD for c in w), -word_cost(w), w))
-        few = bad[:10]
-        # a character of UTF-8 beyond ASCII shows as two signs or more
-        several = [w for w in few if _SEVERAL.search(w)]
-        ranked = sorted(((-_trial(several if p[1] == "utf-8" else few, *p)[0], i) for i, p in enumerate(_PAIRS)))
         most, pair = 0.0, None
-        for less, i in ranked[:4]:
-            if less == 0:
-                break
+        for i, saved, words, chars in _trials(bad):
             p = _PAIRS[i]
-            saved, words, chars = _trial(bad, *p)
             if saved > most + 1e-9 and (p[1] == "utf-8" and saved >= 0.7 or p[1] in ("cp1250", "iso8859-2") and saved >= 1 and any(_RAISED.search(w) for w in bad) or p[1] == "cp1252" and saved >= 1 and any(_STRONG.search(w) and _better(w, *p)[1] for w in bad) or words >= (2 if p in _SWAPPED else 3) and chars >= 2 and saved >= (1 if p in _SWAPPED else 2.5)):
                 most, pair = saved, p
         if pair is None:

@@ -78,6 +78,25 @@ def test_lost_bytes():
     assert EN.repair("Pr�fung f�r")[2] and EN.repair("f??r die Pr??fung der Stra??e")[2]
 
 
+FOREIGN = {
+    "greek": "λόγος ἄνθρωπος βιβλίον γράμμα πόλις θάλασσα ἥλιος οὐρανός ποταμός δένδρον οἶκος χώρα",
+    "hebrew": "ספר מלך עיר דרך בית שמים ארץ מים אור יום לילה כוכב",
+    "names": "Åsãø Bøãå Cåãø Døåã Føãå Gåøã Høåã Jåãø Køãå Løåã Måãø Nøåã",
+}
+
+
+@pytest.mark.parametrize("foreign", sorted(FOREIGN))
+@pytest.mark.parametrize("meant", ["the café by the ferry, the café", "the clerk’s book, the clerk’s “old” register"])
+def test_foreign_words_hide_no_garbled_ones(spark, foreign, meant):
+    good = FOREIGN[foreign] + " " + meant
+    spoilt = FOREIGN[foreign] + " " + meant.encode().decode("cp1252", "replace").replace("�", "\x9d")
+    assert EN.repair(spoilt)[:2] == (good, 1)
+    twice = FOREIGN[foreign] + " " + "the café by the ferry".encode().decode("cp1252").encode().decode("cp1252")
+    assert EN.repair(twice)[:2] == (FOREIGN[foreign] + " the café by the ferry", 2)
+    rows = [{"reading_id": 1, "result_format": "text", "content": spoilt}, {"reading_id": 2, "result_format": "text", "content": FOREIGN[foreign]}]
+    assert ids(EN.found(readings(spark, rows))) == [1]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(max_size=40), max_size=6))
 def test_suspicious_is_per_text(texts):
