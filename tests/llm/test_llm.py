@@ -220,6 +220,36 @@ def test_p4_rows(spark):
     assert {r["source_key"]: r["n_cut"] for r in TR.by_source(df).collect()}["s"] == 0
 
 
+def test_p4_tries_other_copies(spark):
+    rnd = random.Random(5)
+    vocabulary = ["".join(rnd.choices("abcdefghiklmnoprstuvw", k=rnd.randint(5, 9))) for _ in range(3000)]
+    rows, want = [], []
+    for g in range(12):
+        words = rnd.choices(vocabulary, k=150)
+        whole = " ".join(words)
+        # as many words as the whole copy: the hash decided which of them is the longer
+        rows += [{"content": whole + "."}, {"content": whole[:-2]}]
+        want.append(len(rows))
+        # the longest is misread at the end of the cut one, or ends otherwise; only the second longest verifies
+        words = rnd.choices(vocabulary, k=150)
+        whole = " ".join(words)
+        cut = whole[: len(whole) - len(" ".join(words[-4:])) + 2]
+        misread = whole.replace(cut[-12:-6], "######") + " with more words of the other edition."
+        rows += [{"content": whole + "."}, {"content": misread}, {"content": cut}]
+        want.append(len(rows))
+    rows = [{"reading_id": i, "result_format": "text"} | r for i, r in enumerate(rows, 1)]
+    aligned = TR.truncation(readings(spark, rows)).filter("evidence = 'aligned'")
+    assert ids(aligned) == want
+    assert TR.verified(EN_[:79], EN_) == "cut" and TR.verified(EN_[: EN_.index(" near")], EN_) == "on" and TR.verified(EN_[: EN_.index(".") + 1], EN_) == "closed"
+
+
+def test_marks_are_shared():
+    rnd = random.Random(6)
+    text = "".join(rnd.choices("abcdef gяλ", k=500))
+    held = set(TR.marks(text).tolist())
+    assert all(set(TR.marks(text[i : i + TR.TAIL]).tolist()) <= held for i in range(500 - TR.TAIL + 1)) and not len(TR.marks("short")) and len(TR.marks(text[: TR.TAIL])) == 1
+
+
 def test_min_hash_brings_copies_together():
     rnd = random.Random(1)
     words = [f"w{i}" for i in range(400)]
