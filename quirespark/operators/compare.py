@@ -8,13 +8,17 @@ Defined results
 * a null side: null comparison; two texts without tokens: ratio 1.
 * texts beyond ``MOST_TOKENS`` tokens are compared by their bags of tokens and
   flagged ``by_bags`` (no spans), so that no pair is left out.
+* contested words of such texts: cut at runs of tokens that stand once in both,
+  and aligned piece by piece; a stretch without such a run is aligned as a whole.
 * ties of alignment: the leftmost longest block first.
 """
 
 from __future__ import annotations
 
+import bisect
 import difflib
 import hashlib
+import itertools
 import re
 import unicodedata
 from collections import Counter
@@ -28,6 +32,8 @@ from pyspark.sql import types as T
 
 MOST_TOKENS = 10_000
 MOST_SPANS = 20
+#: Tokens on end that make an anchor, and the least number of tokens between two cuts.
+RUN, PIECE = 5, 1000
 CONTEXT = 5
 SIMILAR = 0.6
 _TOKEN = re.compile(r"\d+(?:[ ,.  ]\d{3})+(?!\d)|\d+|[^\W\d_](?:[\ẁ-ͯ]*[\ẁ-ͯ])?")
@@ -83,18 +89,57 @@ def homoglyph(literal: str, reader: str) -> bool:
     return literal != reader and literal.translate(_LOOK) == reader.translate(_LOOK)
 
 
+def anchors(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """The longest rising run of places of ``RUN`` tokens on end that stand once in each text."""
+
+    def single(x: list[str]) -> dict[tuple[str, ...], int]:
+        runs = [tuple(x[i : i + RUN]) for i in range(len(x) - RUN + 1)]
+        n = Counter(runs)
+        return {r: i for i, r in enumerate(runs) if n[r] == 1}
+
+    mine, theirs = single(a), single(b)
+    pairs = [(i, theirs[r]) for r, i in mine.items() if r in theirs]
+    ends: list[int] = []
+    last: list[int] = []
+    before = []
+    for k, (_, j) in enumerate(pairs):
+        at = bisect.bisect_left(ends, j)
+        before.append(last[at - 1] if at else -1)
+        ends[at : at + 1], last[at : at + 1] = [j], [k]
+    out, k = [], last[-1] if last else -1
+    while k >= 0:
+        out.append(pairs[k])
+        k = before[k]
+    return out[::-1]
+
+
+def differences(a: list[str], b: list[str]) -> list[tuple[int, int, int, int]]:
+    """Stretches that differ, as bounds in both; texts of over ``MOST_TOKENS`` lose their common ends, are cut at anchors and aligned piece by piece, without an anchor as a whole."""
+    head, tail, cuts = 0, 0, []
+    if max(len(a), len(b)) > MOST_TOKENS:
+        shorter = min(len(a), len(b))
+        while head < shorter and a[head] == b[head]:
+            head += 1
+        while tail < shorter - head and a[-1 - tail] == b[-1 - tail]:
+            tail += 1
+        cuts = [(head, head)]
+        for i, j in anchors(a[head : len(a) - tail], b[head : len(b) - tail]):
+            if max(head + i - cuts[-1][0], head + j - cuts[-1][1]) >= PIECE:
+                cuts.append((head + i, head + j))
+    out = []
+    for (i0, j0), (i1, j1) in itertools.pairwise([*(cuts or [(0, 0)]), (len(a) - tail, len(b) - tail)]):
+        m = difflib.SequenceMatcher(None, a[i0:i1], b[j0:j1], autojunk=False)
+        out += [(i0 + i, i0 + i2, j0 + j, j0 + j2) for tag, i, i2, j, j2 in m.get_opcodes() if tag != "equal"]
+    return out
+
+
 def contested(base: str | None, witness: str | None, known: frozenset[str] = frozenset()) -> list[dict]:
     """Word-level differences in the base's offsets, each with a kind and what settles it."""
     if base is None or witness is None:
         return []
     a, b = tokens(base), tokens(witness)
-    if max(len(a), len(b)) > MOST_TOKENS:
-        return []
     out, seen = [], Counter()
-    m = difflib.SequenceMatcher(None, [t for t, _, _ in a], [t for t, _, _ in b], autojunk=False)
-    for tag, i, i2, j, j2 in m.get_opcodes():
-        if tag == "equal":
-            continue
+    for i, i2, j, j2 in differences([t for t, _, _ in a], [t for t, _, _ in b]):
         start = a[i][1] if i < len(a) else len(base)
         end = a[i2 - 1][2] if i2 > i else start
         mine, theirs = base[start:end], witness[b[j][1] : b[j2 - 1][2]] if j2 > j else ""

@@ -34,6 +34,27 @@ def test_compare_and_contest():
     assert [s["kind"] for s in spans] == ["homoglyph", "number"] and spans[0]["settled"] == "дом"
 
 
+def test_contested_of_long_texts(spark):
+    r = random.Random(4)
+    words = ["".join(r.choices("abcdefgh", k=5)) for _ in range(12_000)]
+    other = list(words)
+    for i in (5, 3000, 3001, 7000, 11_998):
+        other[i] = "zz"
+    del other[9000]
+    base, witness = " ".join(words), " ".join(other)
+    spans = C.contested(base, witness)
+    assert [s["base"] for s in spans] == [words[5], f"{words[3000]} {words[3001]}", words[7000], words[9000], words[11_998]]
+    assert all(base[s["start"] : s["end"]] == s["base"] for s in spans)
+    df = spark.createDataFrame([(base, witness)], "a string, b string")
+    put = F.transform(C.contest("a", "b"), lambda s: s.withField("settled", s["witness"]))
+    assert df.select(C.edition(F.col("a"), put).alias("e")).first()["e"].split() == other
+    assert len(C.contested("a " * 12_000, "a " * 11_999)) == 1
+    for _ in range(50):
+        x, y = (r.choices("abc", k=r.randint(0, 30)) for _ in range(2))
+        whole = [t[1:] for t in C.difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes() if t[0] != "equal"]
+        assert C.differences(x, y) == whole
+
+
 def test_edition(spark):
     df = spark.createDataFrame([("the cot sat", "the cat sat")], "a string, b string")
     spans = F.transform(C.contest("a", "b"), lambda s: s.withField("settled", s["witness"]))
