@@ -6,7 +6,7 @@ The unit of a trial is a maximal run of non-ASCII characters, because every
 candidate table agrees with ASCII below 0x80; so a text garbled only in part
 is repaired only there. A trial stands if it lowers the garbling cost of the
 words it touches; the best table of a text is kept and the trial is repeated
-on its result, which peels nested layers.
+on its result, which peels nested layers until none lowers the cost.
 
 Defined results
 * null text -> null text, not garbled; empty or blank text -> itself.
@@ -48,7 +48,6 @@ SINGLE = (
     ("mac-roman", "cp1252"), ("cp1252", "mac-roman"), ("cp1251", "cp1252"), ("cp1250", "cp1252"),
     ("cp1252", "cp437"), ("cp852", "cp1250"), ("cp1250", "cp852"), ("cp1251", "cp1250"),
 )
-MAX_LAYERS = 4
 # Signs that recognition engines put for Latin letters.
 MISREAD = "€†ɑ"
 
@@ -56,13 +55,12 @@ _GOOD = frozenset(LATIN_LETTERS + CYRILLIC_LETTERS)
 _TYPO = frozenset(TYPOGRAPHY)
 _LATIN = frozenset(LATIN_LETTERS)
 _CYR = frozenset(CYRILLIC_LETTERS)
-_HIGH = re.compile(r"[^\x00-\x7f]+")
+_RUNS = re.compile(r"([^\x00-\x7f]+)")
 _WORD = re.compile(r"[^ \n\t\r]+")
 # A raised figure in a long word: the Polish letters stand there in the Central European tables.
 _RAISED = re.compile(r"[^\W\d_]{3,}[³¹]|[³¹][^\W\d_]{3,}")
 # A capital or a cedilla between small letters: no engine misreads so, and no word is spelled so.
 _STRONG = re.compile(r"[a-z][À-Þ¸][a-z]")
-_SEVERAL = re.compile(r"[^\x00-\x7f]{2}")
 _CONTROL = re.compile(r"[\x00-\x1f]")
 
 
@@ -216,29 +214,36 @@ def word_cost(w: str) -> float:
     return cost
 
 
-@lru_cache(maxsize=200_000)
-def _undo(w: str, wrong: str, meant: str) -> str:
-    """The word with each run of non-ASCII characters re-encoded and decoded, where both work strictly."""
+@lru_cache(maxsize=500_000)
+def _run_undone(run: str, wrong: str, meant: str) -> str:
+    """A run of non-ASCII characters re-encoded and decoded, where both work strictly."""
     table = _to_byte(wrong)
+    try:
+        return bytes([table[c] for c in run]).decode(meant)
+    except (KeyError, UnicodeDecodeError):
+        return run
 
-    def run(r: re.Match) -> str:
-        try:
-            return bytes([table[c] for c in r[0]]).decode(meant)
-        except (KeyError, UnicodeDecodeError):
-            return r[0]
 
-    new = _HIGH.sub(run, w)
+def _undo(w: str, wrong: str, meant: str) -> str:
+    """The word with each of its runs undone."""
+    parts = _RUNS.split(w)
+    for i in range(1, len(parts), 2):
+        parts[i] = _run_undone(parts[i], wrong, meant)
+    new = "".join(parts)
     return w if _CONTROL.search(new) else new
 
 
 def _better(w: str, wrong: str, meant: str) -> tuple[str, float]:
     """(the word undone, cost saved) if that is cheaper, else (the word, 0)."""
-    new = _undo(w, wrong, meant)
+    return _judged(w, _undo(w, wrong, meant), wrong, meant)
+
+
+def _judged(w: str, new: str, wrong: str, meant: str) -> tuple[str, float]:
     if new == w:
         return w, 0.0
-    after = word_cost(new)
-    drop = word_cost(w) - after
-    if (wrong, meant) in _SWAPPED and w.isupper() and new.islower() and word_cost(w) == after == 0:
+    before, after = word_cost(w), word_cost(new)
+    drop = before - after
+    if before == after == 0 and (wrong, meant) in _SWAPPED and w.isupper() and new.islower():
         return new, 0.0  # these tables swap the cases: a lower-case word shows as capitals
     if drop <= 0:
         return w, 0.0
@@ -284,15 +289,29 @@ def _applied(w: str, wrong: str, meant: str) -> str:
     return new
 
 
+@lru_cache(maxsize=200_000)
+def _readings(run: str) -> dict[int, str]:
+    """The tables that change a run of non-ASCII characters, by number, with what it becomes."""
+    out = {}
+    for i, p in enumerate(_PAIRS):
+        if p[1] == "utf-8" and len(run) < 2:
+            continue  # a character of UTF-8 beyond ASCII shows as two signs or more
+        new = _run_undone(run, *p)
+        if new != run and not _CONTROL.search(new):
+            out[i] = new
+    return out
+
+
 @lru_cache(maxsize=200_000)
 def _gains(w: str) -> tuple[tuple[int, float, frozenset[str], float], ...]:
     """For each table that makes the word cheaper: its number, cost saved, characters changed, and share of frequent letters for tables with swapped cases."""
     out = []
-    several = _SEVERAL.search(w)
-    for i, p in enumerate(_PAIRS):
-        if p[1] == "utf-8" and not several:
-            continue  # a character of UTF-8 beyond ASCII shows as two signs or more
-        new, drop = _better(w, *p)
+    parts = _RUNS.split(w)
+    runs = [_readings(r) for r in parts[1::2]]
+    for i in sorted(set().union(*runs)):
+        p = _PAIRS[i]
+        new = "".join(runs[k // 2].get(i, x) if k % 2 else x for k, x in enumerate(parts))
+        new, drop = _judged(w, new, *p)
         if drop:
             out.append((i, drop, frozenset(w) - frozenset(new), sum(c in _FREQUENT for c in new.lower()) / len(new) if p in _SWAPPED else 0.0))
     return tuple(out)
@@ -319,11 +338,13 @@ def repair(text: str | None) -> tuple[str | None, int, bool]:
     """(text as it should read, layers undone, whether bytes were lost)."""
     if not text or (text.isascii() and "?" not in text):
         return text, 0, False
-    layers = 0
-    while layers < MAX_LAYERS:
+    layers, least = 0, float("inf")
+    while True:
         bad = sorted(w for w in set(_WORD.findall(text)) if not w.isascii() and word_cost(w) > 0)
-        if not bad:
+        cost = sum(map(word_cost, bad))
+        if not cost < least:  # nothing left, or the last layer saved nothing
             break
+        least = cost
         most, pair = 0.0, None
         for i, saved, words, chars in _trials(bad):
             p = _PAIRS[i]

@@ -3,24 +3,28 @@
 Method. Spark counts the n-grams (order 3) of the whole corpus, after each
 task has summed its own; discounts D1, D2, D3+ of each order come from the
 counts of counts; interpolated probabilities are joined bottom up and written
-as hash arrays sorted by key, in range shards in the shared folder, which
-executors map into memory. Nothing of the model's size passes the driver.
+as hash arrays sorted by key, a file for each range of keys, in the shared
+folder. Nothing of the model's size passes the driver, and no worker holds the
+model: look-ups are sent to the range that holds their key (``look_up``), where
+a task opens that range's array only.
 
 A text's perplexity is taken twice: under the corpus model, and under the
 model mixed with a cache of the text's own earlier 4-grams. Corpus perplexity
-alone can't tell a page said twice from one said once, so the band test is on
-the ratio of the two. Without any repetition the ratio is 1/(1-CACHE) = 2.
-Each language has a lower band (ratio) and lower and upper bands of the corpus
-perplexity, quantiles over all documents of that language. Texts below the
-ratio's band are candidates; the share of repeated words then decides exactly.
+alone can't tell a page said twice from one said once, so the bands are on the
+ratio of the two. Without any repetition the ratio is 1/(1-CACHE) = 2, one bit
+a word. The lower band of a language is the ratio of a text of which a quarter
+(``share``) is repeated, less a margin: how many bits a repeated word saves
+there is fitted over all texts of that language. A text below its language's
+band is rejected as repeating; ``found`` lets an exact share of repeated words
+verify what the bands reject.
 
 Defined results
 * null, empty or wordless text: perplexity null, share 0, band ``none``.
 * texts of under four words have nothing to repeat: share 0.
 * words are runs of letters, case aside; garbled text counts as it should read.
-* the band test can't lose a text with a quarter of its words repeated: each
-  stretch of m repeated words has at least m/4 cache hits, and a hit saves at
-  least ``log2(1 + p)`` bits, p being the share of the history that went on so.
+* a label that names no language has the band of ``und``; a language with few
+  repeated words leans on all languages' fit (``PRIOR_WORDS``).
+* repeated rows have the same result; ``found`` gives each id once.
 """
 
 from __future__ import annotations
@@ -28,7 +32,9 @@ from __future__ import annotations
 import os
 import re
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -41,10 +47,16 @@ from quirespark.llm.encoding import repaired
 from quirespark.session import shared_dir, stored
 
 CACHE = 0.5
-#: Lower band of log2(adapted perplexity / perplexity); 1.0 is a text without repetition.
-RATIO_BAND = 0.985
-#: Rows of a range shard: what one task sorts and writes.
+#: Share of its words that a repeating text says again.
+SHARE = 0.25
+#: A language's lower band allows repeated words this part of the language's mean saving.
+MARGIN = 0.6
+#: Words by which all languages' fit counts beside a language's own.
+PRIOR_WORDS = 200.0
+#: Rows of a range shard: what one task sorts, writes and looks up in.
 SHARD_ROWS = 500_000
+#: A context with more continuations than this is joined in parts of this size.
+HOT_ROWS = 1_000_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -77,6 +89,12 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x * np.uint64(0xD6E8FEB86659FD93)
 
 
+def mixed(a: int, b: int) -> int:
+    """``_mix`` of two whole numbers."""
+    x = ((a ^ (a >> 29)) * 0x9E3779B97F4A7C15 + b) & 0xFFFFFFFFFFFFFFFF
+    return ((x ^ (x >> 32)) * 0xD6E8FEB86659FD93) & 0xFFFFFFFFFFFFFFFF
+
+
 def _tokens(words: Words, texts: list[str | None], as_read: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(word ids of all texts, where each text ends)."""
     flat: list[int] = []
@@ -163,21 +181,50 @@ def _discounts(df: DataFrame, c: str) -> dict[str, float]:
 
 
 def _context(df: DataFrame, c: str, d: dict[str, float]) -> DataFrame:
-    """Total and back-off weight of each context."""
+    """Total, back-off weight and number of continuations of each context."""
     n = F.col(c)
     return df.groupBy("ctx").agg(
         F.sum(n).cast("double").alias("total"),
         ((d["d1"] * F.count_if(n == 1) + d["d2"] * F.count_if(n == 2) + d["d3"] * F.count_if(n > 2)) / F.sum(n)).alias("gamma"),
+        F.count("*").alias("n_rows"),
     )
 
 
-def train(df: DataFrame, text: str) -> str:
-    """Folder of the model: sorted hash arrays of all n-grams' and contexts' log2 values, counted over all rows of ``df``."""
-    return train_from(df.select(F.col(text).alias("t")).mapInArrow(_count, GRAMS))
+def joined_in_parts(many: DataFrame, one: DataFrame, key: str, salt: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Inner join of ``many`` with ``one``, whose ``n_rows`` says how many rows of ``many`` its key has.
+
+    A key of more than ``hot_rows`` rows is cut into parts by the hash ``salt``
+    and its row of ``one`` repeated for each part. There are at most
+    ``rows of many / hot_rows`` such keys; the list of them is broadcast.
+    """
+    parts = F.ceil(F.col("n_rows") / hot_rows).cast("int")
+    hot = F.broadcast(one.filter(F.col("n_rows") > hot_rows).select(key, parts.alias("__parts")))
+    cut = many.join(hot, key, "left").withColumn("__part", F.when(F.col("__parts").isNotNull(), F.pmod(F.xxhash64(salt), F.col("__parts"))).otherwise(0).cast("int")).drop("__parts")
+    spread = one.withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n_rows")
+    return cut.join(spread, [key, "__part"]).drop("__part")
+
+
+class Model(NamedTuple):
+    """A folder of sorted hash arrays; the highest ``bits`` bits of a key name the file that holds it."""
+
+    folder: str
+    bits: int
+
+    def shard(self, key="key"):
+        return F.shiftrightunsigned(F.col(key), 64 - self.bits).cast("int") if self.bits else F.lit(0)
+
+
+#: Tables of a model: word, bigram and trigram probabilities (log2), back-off weights of words and of bigrams.
+WORD, BIGRAM, TRIGRAM, WORD_BACKOFF, BIGRAM_BACKOFF = 1, 2, 3, 12, 13
 
 
-def train_from(partial: DataFrame, order: int = 3) -> str:
-    """``train`` from the tasks' own sums (columns ``GRAMS``); ``order`` 2 or 3."""
+def train(df: DataFrame, text: str, kinds: tuple[int, ...] = (WORD, BIGRAM, TRIGRAM)) -> Model:
+    """Model of all rows of ``df``: hash arrays of log2 values."""
+    return train_from(df.select(F.col(text).alias("t")).mapInArrow(_count, GRAMS), kinds=kinds)
+
+
+def train_from(partial: DataFrame, order: int = 3, kinds: tuple[int, ...] = (WORD, BIGRAM, TRIGRAM)) -> Model:
+    """``train`` from the tasks' own sums (columns ``GRAMS``); ``order`` 2 or 3; ``kinds`` are the tables to write."""
     grams = stored(partial.groupBy("ord", "key").agg(F.first("ctx").alias("ctx"), F.first("low").alias("low"), F.sum("n").alias("n")), "ngrams")
     bi = grams.filter("ord = 2")
     if order == 3:
@@ -186,52 +233,68 @@ def train_from(partial: DataFrame, order: int = 3) -> str:
         bi = stored(bi.join(cont, "key", "left").select("key", "ctx", "low", F.coalesce("c", F.lit(1)).alias("c")), "bigrams")
     else:
         bi = bi.withColumnRenamed("n", "c")
-    uni = bi.groupBy(F.col("low").alias("key")).agg((F.sum("c") if order == 3 else F.count("*")).cast("double").alias("c"))
+    uni = bi.groupBy(F.col("low").alias("key")).agg((F.sum("c") if order == 3 else F.count("*")).cast("double").alias("c"), F.count("*").alias("n_rows"))
     total = uni.agg(F.sum("c")).first()[0] or 1.0
-    uni = uni.select("key", (F.col("c") / total).alias("p"))
+    uni = uni.select("key", (F.col("c") / total).alias("p"), "n_rows")
     d2 = _discounts(bi, "c")
     c2 = _context(bi, "c", d2)
     p2 = (
-        bi.join(c2, "ctx").join(uni.withColumnRenamed("key", "low"), "low")
+        joined_in_parts(joined_in_parts(bi, c2, "ctx", "low"), uni.withColumnRenamed("key", "low"), "low", "ctx")
         .select("key", (F.greatest(_discounted("c", d2), F.lit(0.0)) / F.col("total") + F.col("gamma") * F.col("p")).alias("p"))
     )
-    parts = [(1, uni), (2, p2), (12, c2.select(F.col("ctx").alias("key"), F.col("gamma").alias("p")))]
+    parts = {WORD: uni.drop("n_rows"), BIGRAM: p2, WORD_BACKOFF: c2.select(F.col("ctx").alias("key"), F.col("gamma").alias("p"))}
     if order == 3:
         p2 = stored(p2, "bigram-p")
         d3 = _discounts(tri, "n")
         c3 = _context(tri, "n", d3)
-        p3 = tri.join(c3, "ctx").join(p2.select(F.col("key").alias("low"), "p"), "low").select("key", (F.greatest(_discounted("n", d3), F.lit(0.0)) / F.col("total") + F.col("gamma") * F.col("p")).alias("p"))
-        parts = [(1, uni), (2, p2), (3, p3), parts[2], (13, c3.select(F.col("ctx").alias("key"), F.col("gamma").alias("p")))]
-    model = f"{shared_dir(grams.sparkSession)}/kn-{uuid.uuid4().hex}"
+        p3 = (
+            tri.join(c3.drop("n_rows"), "ctx").join(p2.select(F.col("key").alias("low"), "p"), "low")
+            .select("key", (F.greatest(_discounted("n", d3), F.lit(0.0)) / F.col("total") + F.col("gamma") * F.col("p")).alias("p"))
+        )
+        parts |= {BIGRAM: p2, TRIGRAM: p3, BIGRAM_BACKOFF: c3.select(F.col("ctx").alias("key"), F.col("gamma").alias("p"))}
     shards = max(1, -(-grams.count() // SHARD_ROWS))
-    for kind, part in parts:
-        _write_sorted(part.select("key", F.log2(F.greatest("p", F.lit(1e-12))).cast("float").alias("p")), f"{model}/{kind}", shards)
+    model = Model(f"{shared_dir(grams.sparkSession)}/kn-{uuid.uuid4().hex}", (shards - 1).bit_length())
+    rows = None
+    for kind in sorted(set(kinds) & set(parts)):
+        part = parts[kind].select(F.lit(kind).alias("kind"), "key", F.log2(F.greatest("p", F.lit(1e-12))).cast("float").alias("p"))
+        rows = part if rows is None else rows.unionByName(part)
+    _write_sorted(rows, model)
     return model
 
 
-def _write_sorted(df: DataFrame, folder: str, shards: int) -> None:
-    """Hash arrays sorted by key, a file for each key range, written by the tasks; a repeated task writes the same file."""
-    from pyspark import TaskContext
+def _write_sorted(rows: DataFrame, model: Model) -> None:
+    """Hash arrays sorted by key, a file for each table and key range, written by the tasks; a repeated task writes the same file."""
+    folder = model.folder
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, values = [], []
+        fs, path = _fs(folder)
+        fs.create_dir(path, recursive=True)
+        total, run, keys, values = 0, None, [], []
+
+        def close() -> None:
+            if run is not None:
+                tag = uuid.uuid4().hex
+                for end, parts in (("v", values), ("k", keys)):
+                    with fs.open_output_stream(f"{path}/.{tag}") as out:
+                        out.write(np.concatenate(parts).tobytes())
+                    fs.move(f"{path}/.{tag}", f"{path}/{run[0]}-{run[1]}.{end}")
+
         for b in batches:
-            keys.append(b.column(0).to_numpy())
-            values.append(b.column(1).to_numpy())
-        if keys:
-            k, v = np.concatenate(keys), np.concatenate(values)
-            fs, path = _fs(folder)
-            fs.create_dir(path, recursive=True)
-            ctx = TaskContext.get()
-            name, tag = f"{path}/{ctx.partitionId():06d}", uuid.uuid4().hex
-            for kind, a in (("v", v), ("k", k)):
-                with fs.open_output_stream(f"{path}/.{tag}") as out:
-                    out.write(a.tobytes())
-                fs.move(f"{path}/.{tag}", f"{name}.{kind}")
-        yield pa.record_batch([pa.array([sum(map(len, keys))], pa.int64())], names=["n"])
-
-    ordered = df.repartitionByRange(shards, "key") if shards > 1 else df.coalesce(1)
-    ordered.sortWithinPartitions("key").mapInArrow(write, "n bigint").agg(F.sum("n")).collect()
+            kind, shard, k, v = (b.column(i).to_numpy() for i in range(4))
+            cuts = np.nonzero((np.diff(kind) != 0) | (np.diff(shard) != 0))[0] + 1
+            for i, j in zip([0, *cuts], [*cuts, len(k)], strict=True):
+                if j > i:
+                    if run != (kind[i], shard[i]):
+                        close()
+                        run, keys, values = (kind[i], shard[i]), [], []
+                    keys.append(k[i:j])
+                    values.append(v[i:j])
+                    total += j - i
+        close()
+        yield pa.record_batch([pa.array([total], pa.int64())], names=["n"])
+
+    ordered = rows.select("kind", model.shard().alias("shard"), "key", "p").repartition("kind", "shard").sortWithinPartitions("kind", "shard", "key")
+    ordered.mapInArrow(write, "n bigint").agg(F.sum("n")).collect()
 
 
 def _fs(uri: str):
@@ -244,59 +307,67 @@ def _fs(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-class HashModel:
-    """The sorted arrays of a model folder; local files are mapped, not read."""
+class Shards:
+    """The sorted arrays of a model, opened file by file; the last ``held`` stay open. Local files are mapped, not read."""
+
+    def __init__(self, folder: str, held: int = 16):
+        self.fs, self.path = _fs(folder)
+        self.held = held
+        self.open: OrderedDict[tuple[int, int], tuple[np.ndarray, np.ndarray] | None] = OrderedDict()
+
+    def arrays(self, kind: int, shard: int) -> tuple[np.ndarray, np.ndarray] | None:
+        at = (kind, shard)
+        if at not in self.open:
+            from pyarrow.fs import FileType, LocalFileSystem
+
+            name = f"{self.path}/{kind}-{shard}"
+            if self.fs.get_file_info(f"{name}.k").type == FileType.NotFound:
+                self.open[at] = None
+            elif isinstance(self.fs, LocalFileSystem):
+                self.open[at] = np.memmap(f"{name}.k", np.int64, "r"), np.memmap(f"{name}.v", np.float32, "r")
+            else:
+                self.open[at] = np.frombuffer(self.fs.open_input_file(f"{name}.k").readall(), np.int64), np.frombuffer(self.fs.open_input_file(f"{name}.v").readall(), np.float32)
+            while len(self.open) > self.held:
+                self.open.popitem(last=False)
+        self.open.move_to_end(at)
+        return self.open[at]
+
+    def look(self, kind: np.ndarray, shard: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """log2 value of each key, NaN where the model has none."""
+        out = np.full(len(keys), np.nan, np.float32)
+        order = np.lexsort((keys, shard, kind))
+        kind, shard, keys = kind[order], shard[order], keys[order]
+        cuts = np.nonzero((np.diff(kind) != 0) | (np.diff(shard) != 0))[0] + 1
+        for i, j in zip([0, *cuts], [*cuts, len(keys)], strict=True):
+            arrays = self.arrays(int(kind[i]), int(shard[i])) if j > i else None
+            if arrays is not None:
+                k, v = arrays
+                at = np.minimum(np.searchsorted(k, keys[i:j]), len(k) - 1)
+                hit = k[at] == keys[i:j]
+                out[order[i:j][hit]] = v[at[hit]]
+        return out
+
 
-    def __init__(self, folder: str):
-        self.parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        for kind in (1, 2, 3, 12, 13):
-            fs, path = _fs(f"{folder}/{kind}")
-            from pyarrow.fs import FileSelector, LocalFileSystem
+def look_up(asked: DataFrame, model: Model) -> DataFrame:
+    """``asked`` (with ``kind`` int and ``key`` bigint) with ``p``: the model's log2 value, null if it has none.
 
-            names = sorted(x.path for x in fs.get_file_info(FileSelector(path, allow_not_found=True)) if x.path.endswith(".k"))
-            self.parts[kind] = []
-            for n in names:
-                v = n[:-2] + ".v"
-                if isinstance(fs, LocalFileSystem):
-                    if os.path.getsize(n):
-                        self.parts[kind].append((np.memmap(n, np.int64, "r"), np.memmap(v, np.float32, "r")))
-                else:
-                    self.parts[kind].append((np.frombuffer(fs.open_input_file(n).readall(), np.int64), np.frombuffer(fs.open_input_file(v).readall(), np.float32)))
+    The rows go to the key range that holds them; where many ask for one range
+    the range's rows are split over several tasks (rebalancing), each of which
+    opens that one file.
+    """
+    folder = model.folder
+    sent = asked.withColumn("__shard", model.shard()).hint("rebalance", "__shard")
+    at = [sent.columns.index(c) for c in ("kind", "__shard", "key")]
+    names = [*asked.columns, "p"]
 
-    def look(self, kind: int, keys: np.ndarray) -> np.ndarray:
-        """log2 value of each key, NaN where the model has none."""
-        uniq, back = np.unique(keys.view(np.int64), return_inverse=True)
-        out = np.full(len(uniq), np.nan, np.float32)
-        for k, v in self.parts[kind]:
-            a, b = np.searchsorted(uniq, k[0]), np.searchsorted(uniq, k[-1], side="right")
-            if a < b:
-                at = np.searchsorted(k, uniq[a:b])
-                hit = k[at] == uniq[a:b]
-                out[a:b][hit] = v[at[hit]]
-        return out[back]
-
-    def logp(self, w: np.ndarray, pos: np.ndarray) -> np.ndarray:
-        """log2 probability of each token given up to two before it, with back-off."""
-        n = len(w)
-        p = np.nan_to_num(self.look(1, w), nan=-24.0).astype(np.float64)
-        if n < 2:
-            return p
-        k2 = _mix(w[:-1], w[1:])
-        i2 = np.nonzero(pos[1:] >= 1)[0] + 1
-        a = self.look(2, k2[i2 - 1])
-        miss = np.isnan(a)
-        if miss.any():
-            a[miss] = np.nan_to_num(self.look(12, w[i2[miss] - 1]), nan=0.0) + p[i2[miss]]
-        p[i2] = a
-        if n > 2:
-            k3 = _mix(k2[:-1], w[2:])
-            i3 = np.nonzero(pos[2:] >= 2)[0] + 2
-            a = self.look(3, k3[i3 - 2])
-            miss = np.isnan(a)
-            if miss.any():
-                a[miss] = np.nan_to_num(self.look(13, k2[i3[miss] - 2]), nan=0.0) + p[i3[miss]]
-            p[i3] = a
-        return p
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards = Shards(folder)
+        for b in batches:
+            p = shards.look(*(b.column(i).to_numpy() for i in at))
+            yield pa.record_batch([*b.columns[:-1], pa.array(p, mask=np.isnan(p))], names=names)
+
+    schema = T.StructType([*asked.schema.fields, T.StructField("p", T.FloatType())])
+    return sent.mapInArrow(run, schema)
 
 
 def _ranks(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -310,130 +381,197 @@ def _ranks(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rank, rank == 0
 
 
-def measure(model: HashModel, words: Words, texts: list[str | None]) -> pa.Array:
-    """Struct of n_words, perplexity, adapted, repeated_share for each text."""
-    w, ends = _tokens(words, texts)
+class Repeats(NamedTuple):
+    """What a block of texts repeats: words, share of repeated words, and of each token whether a 4-gram ends there again, with the cache's probability."""
+
+    w: np.ndarray
+    ends: np.ndarray
+    lens: np.ndarray
+    pos: np.ndarray
+    share: np.ndarray
+    cachep: np.ndarray
+    hit: np.ndarray
+
+
+def repeats(w: np.ndarray, ends: np.ndarray) -> Repeats:
     n = len(w)
-    lens = np.diff(np.concatenate([[0], ends]))
-    starts = ends - lens
+    lens = np.diff(np.concatenate([[0], ends])) if len(ends) else np.zeros(0, np.int64)
     pos = _positions(ends, n)
     doc = np.repeat(np.arange(len(ends)), lens).astype(np.uint64)
-    rep, cachep = np.zeros(n + 1, np.int64), np.zeros(n)
+    rep, cachep, hit = np.zeros(n + 1, np.int64), np.zeros(n), np.zeros(n, bool)
     if n >= 4:
-        k2 = _mix(w[:-1], w[1:])
-        k3 = _mix(k2[:-1], w[2:])
+        k3 = _mix(_mix(w[:-2], w[1:-1]), w[2:])
         k4 = _mix(k3[:-1], w[3:])
         i4 = np.nonzero(pos[3:] >= 3)[0]
         if len(i4):
             d = doc[i4 + 3]
             r4, first = _ranks(_mix(k4[i4], d))
-            r3, _ = _ranks(_mix(k3[i4], d))
             again = ~first
-            cachep[i4[again] + 3] = r4[again] / np.maximum(r3[again], 1)
-            np.add.at(rep, i4[again], 1)
-            np.add.at(rep, i4[again] + 4, -1)
-    repeated = (np.cumsum(rep)[:n] > 0).astype(np.float64)
-    lp = model.logp(w, pos) if n else np.zeros(0)
-    mixed = np.log2(CACHE * cachep + (1 - CACHE) * np.exp2(lp)) if n else lp
-    sums = [np.add.reduceat(np.concatenate([x, [0.0]]), np.minimum(starts, n)) * (lens > 0) for x in (lp, mixed, repeated)]
-    with np.errstate(all="ignore"):
-        ppl, adapted, share = np.exp2(-sums[0] / lens), np.exp2(-sums[1] / lens), sums[2] / lens
-    none = lens == 0
-    return pa.StructArray.from_arrays(
-        [pa.array(lens.astype(np.int32)), pa.array(ppl, mask=none), pa.array(adapted, mask=none), pa.array(np.where(none, 0.0, share))],
-        names=["n_words", "perplexity", "adapted_perplexity", "repeated_share"],
-    )
+            if again.any():
+                r3, _ = _ranks(_mix(k3[i4], d))
+                cachep[i4[again] + 3] = r4[again] / np.maximum(r3[again], 1)
+                hit[i4[again] + 3] = True
+                np.add.at(rep, i4[again], 1)
+                np.add.at(rep, i4[again] + 4, -1)
+    marked = np.concatenate([[0], np.cumsum(np.cumsum(rep)[:n] > 0)])
+    share = np.where(lens > 0, (marked[ends] - marked[ends - lens]) / np.maximum(lens, 1), 0.0) if len(ends) else np.zeros(0)
+    return Repeats(w, ends, lens, pos, share, cachep, hit)
 
 
-_OUT = T.StructType([T.StructField("n_words", T.IntegerType()), T.StructField("perplexity", T.DoubleType()), T.StructField("adapted_perplexity", T.DoubleType()), T.StructField("repeated_share", T.DoubleType())])
+def _trigrams(w: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Keys of the trigrams that end at the positions ``at``."""
+    return _mix(_mix(w[at - 2], w[at - 1]), w[at])
 
 
-def repetition(df: DataFrame, text: str = "content", model: str | None = None) -> DataFrame:
-    """``df`` with ``repetition`` (struct of n_words, perplexity, adapted_perplexity, repeated_share).
+def _saved():
+    """Column: bits a repeated word saves, log2 of the mixture over the model's own probability; ``p`` is log2 of the latter."""
+    return F.log2(CACHE * F.col("cachep") * F.pow(F.lit(2.0), -F.col("p")) + (1 - CACHE)) - F.log2(F.lit(1 - CACHE))
 
-    Two scans: the count (shuffles n-grams already summed by each task) and the narrow scoring.
-    """
-    folder = model or train(df, text)
 
-    @F.arrow_udf(_OUT)
-    def udf(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        m, words = HashModel(folder), Words()
-        for texts in it:
-            yield measure(m, words, texts.to_pylist())
+_TOKENS = "doc bigint, kind int, key bigint, cachep float"
+_FACTS = "doc bigint, n_words int, repeated_share double"
 
-    return df.withColumn("repetition", udf(F.col(text)))
 
+def _tokens_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each token of each text the n-gram by which the corpus model scores it, summed over equal tokens of a text apart from the cache."""
+    words = Words()
+    for b in batches:
+        r = repeats(*_tokens(words, b.column(1).to_pylist()))
+        n = len(r.w)
+        doc = np.repeat(b.column(0).to_numpy(), r.lens)
+        key, kind = r.w.copy(), np.minimum(r.pos + 1, 3).astype(np.int32)
+        two, three = np.nonzero(r.pos == 1)[0], np.nonzero(r.pos >= 2)[0]
+        if n:
+            key[two] = _mix(r.w[two - 1], r.w[two])
+            key[three] = _trigrams(r.w, three)
+        yield pa.record_batch([pa.array(doc, pa.int64()), pa.array(kind), _i64(key), pa.array(r.cachep.astype(np.float32))], names=["doc", "kind", "key", "cachep"])
+
+
+def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    words = Words()
+    for b in batches:
+        r = repeats(*_tokens(words, b.column(1).to_pylist()))
+        yield pa.record_batch([b.column(0), pa.array(r.lens.astype(np.int32)), pa.array(r.share)], names=["doc", "n_words", "repeated_share"])
 
-def bands(scored: DataFrame, lang: str = "lang", low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """Perplexity bands of each language over all its documents."""
-    p = F.col("repetition.perplexity")
-    return scored.groupBy(F.coalesce(F.lower(lang), F.lit("und")).alias("band_lang")).agg(
-        F.percentile_approx(p, low, 1000).alias("lower_band"), F.percentile_approx(p, high, 1000).alias("upper_band"), F.count("*").alias("n_docs")
-    )
+
+def repetition(df: DataFrame, text: str = "content", key: str = "reading_id") -> DataFrame:
+    """``df`` with ``repetition`` (struct of n_words, perplexity, adapted_perplexity, repeated_share).
+
+    Trains on all rows of ``df``, so that every n-gram asked for is in the
+    model; a key's first row stands for repeated ones. Shuffles: n-grams summed
+    by each task, and a row of eight-byte keys for each token.
+    """
+    own = df.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("t"))
+    model = train(own, "t")
+    one = own.groupBy("doc").agg(F.first("t").alias("t"))
+    one = stored(one, "texts")
+    p = look_up(one.mapInArrow(_tokens_out, _TOKENS), model).withColumn("p", F.coalesce("p", F.lit(-40.0).cast("float")))
+    sums = p.groupBy("doc").agg(F.sum(F.col("p").cast("double")).alias("lp"), F.sum(F.when(F.col("cachep") > 0, _saved())).alias("saved"))
+    facts = one.mapInArrow(_facts, _FACTS).join(sums, "doc", "left")
+    n = F.col("n_words")
+    bits = -F.col("lp") / n
+    adapted = bits + 1 - F.coalesce("saved", F.lit(0.0)) / n
+    none = F.col("lp").isNull()
+    struct = F.struct(n, F.when(~none, F.pow(F.lit(2.0), bits)).alias("perplexity"), F.when(~none, F.pow(F.lit(2.0), adapted)).alias("adapted_perplexity"), "repeated_share")
+    scored = facts.select(F.col("doc").alias("__doc"), struct.alias("repetition"))
+    return df.join(scored, F.col(key).cast("bigint") == F.col("__doc"), "left").drop("__doc")
+
+
+def band_language(lang):
+    """Column: the language by whose bands a text is judged: what its label names, else ``und``. Eight values."""
+    from quirespark.llm.language import named_language
+
+    return F.coalesce(named_language(lang), F.lit("und"))
+
+
+def lower_bands(saved: DataFrame, share: float = SHARE) -> DataFrame:
+    """Lower band of log2(adapted perplexity / perplexity) of each language (``band_lang``, ``lower_ratio``).
+
+    ``saved`` has ``band_lang``, ``bits`` (saved by repetition) and ``again``
+    (words repeated) of each text that repeats anything. A text of which
+    ``share`` is repeated has the ratio 1 - share x (bits a repeated word
+    saves); the band allows it ``MARGIN`` of that. Eight rows at most.
+    """
+    each = saved.groupBy("band_lang").agg(F.sum("bits").alias("bits"), F.sum("again").alias("again"))
+    whole = each.agg(F.sum("bits").alias("all_bits"), F.sum("again").alias("all_again"))
+    per = (F.col("bits") + PRIOR_WORDS * F.col("all_bits") / F.col("all_again")) / (F.col("again") + PRIOR_WORDS)
+    return each.join(F.broadcast(whole)).select("band_lang", (1 - MARGIN * share * per).alias("lower_ratio"))  # one row beside eight
 
 
-def perplexity_bands(df: DataFrame, text: str = "content", lang: str = "lang", model: str | None = None) -> DataFrame:
-    """``repetition`` with ``band``: ``repeats`` (below the ratio's band), ``low``, ``high``, ``within`` or ``none``."""
-    scored = repetition(df, text, model).withColumn("band_lang", F.coalesce(F.lower(F.col(lang)), F.lit("und")))
+def perplexity_bands(df: DataFrame, text: str = "content", lang: str = "lang", key: str = "reading_id", low: float = 0.01, high: float = 0.99) -> DataFrame:
+    """``repetition`` with ``band``: ``repeats`` (below its language's ratio band), ``low`` or ``high`` (outside its language's bands of the corpus perplexity, quantiles over all its texts), ``within`` or ``none``."""
+    scored = repetition(df, text, key).withColumn("band_lang", band_language(F.col(lang)))
     r = F.col("repetition")
     scored = stored(scored.drop(text), "perplexities")
     ratio = F.log2(r["adapted_perplexity"] / r["perplexity"])
+    again = r["n_words"] * r["repeated_share"]
+    ratios = lower_bands(scored.filter(again > 0).select("band_lang", (r["n_words"] * (1 - ratio)).alias("bits"), again.alias("again")))
+    p = r["perplexity"]
+    quantiles = scored.groupBy("band_lang").agg(F.percentile_approx(p, low, 1000).alias("lower_band"), F.percentile_approx(p, high, 1000).alias("upper_band"))
+    bands = F.broadcast(quantiles.join(ratios, "band_lang", "left"))  # eight languages
     band = (
-        F.when(r["perplexity"].isNull(), "none").when(ratio < RATIO_BAND, "repeats")
-        .when(r["perplexity"] < F.col("lower_band"), "low").when(r["perplexity"] > F.col("upper_band"), "high").otherwise("within")
+        F.when(p.isNull(), "none").when(ratio < F.col("lower_ratio"), "repeats")
+        .when(p < F.col("lower_band"), "low").when(p > F.col("upper_band"), "high").otherwise("within")
     )
-    return scored.join(bands(scored, lang).drop("n_docs"), "band_lang", "left").withColumn("band", band)
+    return scored.join(bands, "band_lang", "left").withColumn("band", band)
 
 
-_FIRST = GRAMS + ", reading_id bigint, content string"
+_HITS = "reading_id bigint, band_lang string, n_words int, share double, keys array<bigint>, cached array<float>"
+_FIRST = f"{GRAMS}, {_HITS}"
+_FIRST_SCHEMA = pa.schema([
+    ("ord", pa.int8()), ("key", pa.int64()), ("ctx", pa.int64()), ("low", pa.int64()), ("n", pa.int64()), ("reading_id", pa.int64()), ("band_lang", pa.string()),
+    ("n_words", pa.int32()), ("share", pa.float64()), ("keys", pa.list_(pa.int64())), ("cached", pa.list_(pa.float32())),
+])
 
 
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """N-gram sums, and the texts (as they should read) that have any cache hit."""
+    """N-gram sums, and of the texts with any cache hit the trigrams that end where a 4-gram comes again."""
     words, counter = Words(), GramCounter()
-    names = [*_NAMES, "reading_id", "content"]
 
-    def rows(cols: list[pa.Array]) -> pa.RecordBatch:
-        n = len(cols[0])
-        return pa.record_batch([*cols, pa.nulls(n, pa.int64()), pa.nulls(n, pa.string())], names=names)
+    def rows(**cols) -> pa.RecordBatch:
+        n = len(next(iter(cols.values())))
+        return pa.record_batch([cols[f.name] if f.name in cols else pa.nulls(n, f.type) for f in _FIRST_SCHEMA], schema=_FIRST_SCHEMA)
 
     for b in batches:
-        texts = repaired(b.column(1).to_pylist())
-        w, ends = _tokens(words, texts, True)
-        yield from map(rows, counter.add(w, ends))
-        hit = np.nonzero(hits(w, ends))[0]
-        if len(hit):
-            none = [pa.nulls(len(hit), t) for t in (pa.int8(), *[pa.int64()] * 4)]
-            yield pa.record_batch([*none, b.column(0).take(pa.array(hit)), pa.array([texts[i] for i in hit], pa.string())], names=names)
-    yield from map(rows, counter.flush())
-
-
-def hits(w: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Which texts have a 4-gram twice, and so any cache hit."""
-    out = np.zeros(len(ends), bool)
-    if len(w) >= 4:
-        pos = _positions(ends, len(w))
-        i4 = np.nonzero(pos[3:] >= 3)[0]
-        doc = np.searchsorted(ends, i4, side="right")
-        k4 = _mix(_mix(_mix(w[:-3], w[1:-2]), w[2:-1]), w[3:])[i4]
-        _, first = _ranks(_mix(k4, doc.astype(np.uint64)))
-        out[doc[~first]] = True
-    return out
+        w, ends = _tokens(words, b.column(2).to_pylist())
+        for cols in counter.add(w, ends):
+            yield rows(**dict(zip(_NAMES, cols, strict=True)))
+        r = repeats(w, ends)
+        at = np.nonzero(r.hit)[0]
+        if len(at):
+            text = np.searchsorted(ends, at, side="right")
+            who, first = np.unique(text, return_index=True)
+            offsets = pa.array(np.append(first, len(at)), pa.int32())
+            take = pa.array(who)
+            yield rows(
+                reading_id=b.column(0).take(take), band_lang=b.column(1).take(take), n_words=pa.array(r.lens[who].astype(np.int32)), share=pa.array(r.share[who]),
+                keys=pa.ListArray.from_arrays(offsets, _i64(_trigrams(w, at))), cached=pa.ListArray.from_arrays(offsets, pa.array(r.cachep[at].astype(np.float32))),
+            )
+    for cols in counter.flush():
+        yield rows(**dict(zip(_NAMES, cols, strict=True)))
 
 
-def found(df: DataFrame, share: float = 0.25) -> DataFrame:
-    """p1_found: prose readings with at least ``share`` of their words in repeated stretches.
+def judged(df: DataFrame) -> DataFrame:
+    """Each prose reading that says four words twice: ``reading_id``, ``band_lang``, ``share``, ``ratio`` and its language's ``lower_ratio``.
 
-    One scan counts the corpus's n-grams and keeps the texts with a cache hit:
-    without one the ratio of the perplexities is 2 whatever the model says, so
-    only those texts have to be scored once the model stands.
+    A text without a cache hit has the ratio 2 whatever the model says, so it
+    lies above every band. One scan counts the corpus's n-grams and marks the
+    hits; the trigram at a hit stands in the corpus, so one look-up a hit gives
+    the exact ratio.
     """
-    prose = df.filter(F.col("result_format").isin("text", "markdown")).select(F.col("reading_id").cast("bigint").alias("reading_id"), "content")
+    prose = df.filter(F.col("result_format").isin("text", "markdown")).select(F.col("reading_id").cast("bigint").alias("reading_id"), band_language(F.col("lang")).alias("band_lang"), "content")
     first = stored(prose.mapInArrow(_first_pass, _FIRST), "first-pass")
-    model = train_from(first.filter(F.col("ord").isNotNull()).select(*_NAMES))
-    r = F.col("repetition")
-    return (
-        repetition(first.filter(F.col("ord").isNull()).select("reading_id", "content"), model=model)
-        .filter((F.log2(r["adapted_perplexity"] / r["perplexity"]) < RATIO_BAND) & (r["repeated_share"] >= share))
-        .select("reading_id").distinct()
-    )
+    model = train_from(first.filter(F.col("ord").isNotNull()).select(*_NAMES), kinds=(TRIGRAM,))
+    texts = first.filter(F.col("reading_id").isNotNull()).dropDuplicates(["reading_id"])
+    hits = texts.select("reading_id", "band_lang", "n_words", "share", F.explode(F.arrays_zip("keys", "cached")).alias("x"))
+    hits = hits.select("reading_id", "band_lang", "n_words", "share", F.lit(TRIGRAM).alias("kind"), F.col("x.keys").alias("key"), F.col("x.cached").alias("cachep"))
+    one = F.any_value
+    scored = look_up(hits, model).groupBy("reading_id").agg(one("band_lang").alias("band_lang"), one("n_words").alias("n_words"), one("share").alias("share"), F.sum(_saved()).alias("bits"))
+    scored = stored(scored, "ratios")
+    bands = F.broadcast(lower_bands(scored.select("band_lang", "bits", (F.col("n_words") * F.col("share")).alias("again"))))  # eight languages
+    return scored.join(bands, "band_lang").select("reading_id", "band_lang", "share", (1 - F.col("bits") / F.col("n_words")).alias("ratio"), "lower_ratio")
+
+
+def found(df: DataFrame, share: float = SHARE) -> DataFrame:
+    """p1_found: prose readings below their language's band that, counted exactly, repeat at least ``share`` of their words."""
+    return judged(df).filter((F.col("ratio") < F.col("lower_ratio")) & (F.col("share") >= share)).select("reading_id")

@@ -1,20 +1,28 @@
 """Noise of scanned pages: found, and repaired into continuous paragraphs.
 
-Method. A noisy channel: each word that an engine can't have read rightly has
-candidate originals, from character confusions with their probabilities; the
-likelihood of a candidate after its neighbour comes from the corpus's own
-Kneser-Ney model (sorted hash arrays); Viterbi decodes each line over the
-candidates. Running lines are the head and foot lines of a job that agree on
-three pages or more, small misreadings aside: min-hash bands over letter
-trigrams inside a job bring them together, an edit distance of at most a
-quarter of the length confirms. Page numbers are told by their form at the
-head or foot. Words broken at a line end are joined, unless the two parts are
-a compound that stands with its hyphen elsewhere in the corpus.
+Method. A noisy channel: a word with a sign or letter that is odd where it
+stands has candidate originals, one for each way to read its odd signs; a
+candidate's score is the channel's probability times the likelihood after its
+neighbour under the corpus's own Kneser-Ney model; staying as it is is a
+candidate too. Viterbi decodes each line over the candidates, and the decoded
+path decides what was misread. The channel is estimated from the corpus by
+expectation-maximisation: the odd signs of all words with one such sign are
+read as every letter, or as nothing, that makes a word of the corpus, shared
+by the words' likelihoods. Look-ups go to the key range that holds them; a
+page's lattice then brings all it needs.
+
+Running lines are the head and foot lines of a job that agree on three pages
+or more: equal ones are counted, others meet in min-hash bands over letter
+trigrams inside a job, and an edit distance of at most a quarter of the length
+confirms. Page numbers are told by their form at the head or foot. Words
+broken at a line end are joined, unless the two parts are a compound that
+stands with its hyphen elsewhere in the corpus.
 
 Defined results
 * null, empty or blank text: no noise, text unchanged.
 * a content that is nothing but a number is a stub, not a page number.
-* ties between candidates: the first of the confusion table.
+* ties between candidates: as it stands, then the first by name.
+* a word of which half the characters are odd signs is no word and stays.
 * a reading delivered twice counts once; pages of a job count by page number.
 """
 
@@ -24,16 +32,18 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 from math import log2
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quirespark.llm.encoding import repair, suspicious
-from quirespark.llm.repetition import _NAMES, GRAMS, GramCounter, HashModel, Words, _mix, _positions, _ranks, train_from
+from quirespark.llm.repetition import _NAMES, BIGRAM, GRAMS, WORD, WORD_BACKOFF, GramCounter, Model, Words, _mix, look_up, mixed, repeats, train_from
 from quirespark.llm.truncation import _GAP, PAGE_NUMBER, closes, fold_word
 from quirespark.session import stored
 
@@ -41,23 +51,23 @@ MIN_WORDS = 3
 MIN_PAGES = 3
 EDGE_BANDS = 6
 
-# What stands on the page for what an engine gives, with its probability.
-CONFUSIONS: dict[str, tuple[tuple[str, float], ...]] = {
-    "€": (("e", 0.9), ("c", 0.1)), "†": (("t", 1.0),), "ɑ": (("a", 1.0),), "|": (("", 0.8), ("l", 0.1), ("i", 0.1)),
-    "!": (("i", 0.8), ("l", 0.2)), "0": (("o", 0.7), ("о", 0.3)), "1": (("l", 0.8), ("i", 0.2)),
-    "2": (("z", 1.0),), "3": (("з", 0.8), ("e", 0.2)), "4": (("ч", 0.8), ("a", 0.2)), "5": (("s", 1.0),),
-    "6": (("б", 0.7), ("b", 0.3)), "8": (("B", 0.5), ("в", 0.5)), "9": (("g", 0.8), ("q", 0.2)),
-    "a": (("а", 1.0),), "c": (("с", 1.0),), "e": (("е", 1.0),), "o": (("о", 1.0),), "p": (("р", 1.0),), "x": (("х", 1.0),),
-    "y": (("у", 1.0),), "u": (("и", 0.9), ("ц", 0.1)), "m": (("т", 1.0),), "k": (("к", 1.0),), "b": (("ь", 0.7), ("в", 0.3)),
-    "n": (("п", 1.0),), "r": (("г", 1.0),), "i": (("і", 1.0),), "A": (("А", 1.0),), "B": (("В", 1.0),), "C": (("С", 1.0),),
-    "E": (("Е", 1.0),), "H": (("Н", 1.0),), "K": (("К", 1.0),), "M": (("М", 1.0),), "O": (("О", 1.0),), "P": (("Р", 1.0),),
-    "T": (("Т", 1.0),), "X": (("Х", 1.0),), "I": (("І", 0.7), ("l", 0.3)),
-}
+# Letters an odd sign may stand for, and letters that only look like another script's.
+LATIN = "abcdefghijklmnopqrstuvwxyzàâäáãåæçèéêëìíîïñòóôöõœùúûüßąćęłńśźżABCDEFGHIJKLMNOPQRSTUVWXYZÀÂÄÉÈÎÖÓÜŁŚŻ"
+CYRILLIC = "абвгдеёжзийклмнопрстуфхцчшщъыьэюяіїєґѣѳАБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЩЭЮЯІЇЄҐ"
+#: Log2 likelihoods: of a word the corpus doesn't know, of one that isn't even shaped like a word, of a sign that can't stand staying where it is.
+UNKNOWN, SHAPELESS, STANDS_NOT = -26.0, -40.0, -20.0
+#: Readings of a sign below this share of its likeliest are left out.
+LEAST_READING = 0.002
+#: Channel of a sign the corpus gives no evidence of: every letter alike.
+EVEN = 0.02
+
 _LETTER = r"[^\W\d_]"
 _BREAK = re.compile(rf"({_LETTER}+)([-¬­=‐‑])[ \t]*\n[ \t]*({_LETTER}+)")
 _TOKEN = re.compile(r"[^\s/@]+")
 _EDGE = "«»“”„’‘\"'.,;:?()[]—–-*#…"
 _ORDINAL = re.compile(r"^(?:\d+(?:[½¼¾]|st|nd|rd|th|e|er|re|ère|ème|a|o|r|v|го|й|я|е|ої|ий|х|м|ст|d)?|n\.?º|№.*)$", re.I)
+_ODD_SIGN = re.compile(r"[0-9!|€†ɑ]")
+_VOWEL = re.compile(r"[aeiouyàâäáãåæèéêëìíîïòóôöõœùúûüąęаеёиоуыэюяіїєѣѵ]", re.I)
 _MISREAD = re.compile(rf"{_LETTER}[0-9!|€†]+{_LETTER}|{_LETTER}[€†]|[€†]{_LETTER}{{2}}|ɑ|(?<![^\W_])[0-9]{_LETTER}{{3}}|{_LETTER}{{3}}[0-9](?![^\W_])")
 _MIXED = re.compile(r"[А-яЁёІіЇїЄєҐґѢѣ][A-Za-z]|[A-Za-z][А-яЁёІіЇїЄєҐґѢѣ]")
 _CYR = re.compile(r"[А-яЁёІіЇїЄєҐґѢѣ]")
@@ -74,18 +84,72 @@ def misread(token: str) -> bool:
     return bool(_MISREAD.search(core) or _MIXED.search(core))
 
 
-@lru_cache(maxsize=100_000)
-def candidates(word: str, most: int = 12) -> list[tuple[str, float]]:
-    """(candidate, log2 of the channel's probability), the word itself included if it could stand."""
-    cyr = bool(_CYR.search(word))
-    beams: list[tuple[str, float]] = [("", 0.0)]
-    for ch in word:
-        sets = CONFUSIONS.get(ch, ()) if not ch.isalpha() or ch == "ɑ" or (cyr and ch.isascii()) else ()
-        if not ch.isalpha() and not sets:
-            sets = ((ch, 1.0),)
-        options = [(c, p) for c, p in sets if not c or not c.isalpha() or bool(_CYR.match(c)) == cyr] or [(ch, 1.0)]
-        beams = sorted(((s + c, lp + log2(p)) for s, lp in beams for c, p in options), key=lambda x: -x[1])[:most]
-    return beams
+@lru_cache(maxsize=200_000)
+def odd_signs(core: str) -> tuple[bool, tuple[int, ...]]:
+    """(whether the word is Cyrillic, positions of signs that are odd in it): digits and marks beside letters, letters of the lesser script."""
+    n = len(core)
+    cyr = len(_CYR.findall(core))
+    major = 0 < cyr >= sum(c.isascii() and c.isalpha() for c in core)
+    out = []
+    for i, c in enumerate(core):
+        if c.isalpha() and c != "ɑ":
+            if c.isascii() if major else _CYR.match(c):
+                out.append(i)
+        elif _ODD_SIGN.match(c) and (c == "ɑ" or i and core[i - 1].isalpha() or i + 1 < n and core[i + 1].isalpha()):
+            out.append(i)
+    return major, tuple(out)
+
+
+@lru_cache(maxsize=200_000)
+def doubtful(token: str) -> bool:
+    """Whether a word holds an odd sign: what the decoder looks at. Ordinals aren't words."""
+    if token.isalpha() and token.isascii():
+        return False
+    core = token.strip(_EDGE)
+    if len(core) < 2 or _ORDINAL.match(core):
+        return False
+    at = odd_signs(core)[1]
+    return bool(at) and 2 * len(at) <= len(core) + 1 and sum(c.isalpha() for c in core) > len(at) // 2
+
+
+class Channel(NamedTuple):
+    """(Cyrillic word or not, sign) -> its readings with log2 probabilities, likeliest first."""
+
+    table: dict[tuple[bool, str], tuple[tuple[str, float], ...]]
+
+    def readings(self, cyr: bool, sign: str) -> tuple[tuple[str, float], ...]:
+        return self.table.get((cyr, sign)) or tuple((c, log2(EVEN)) for c in ("", *(CYRILLIC if cyr else LATIN)))
+
+
+def channel_of(counts: list[tuple[bool, str, str, float]]) -> Channel:
+    """Channel from expected counts of (Cyrillic, sign, reading, count)."""
+    sums: dict[tuple[bool, str], dict[str, float]] = {}
+    for cyr, sign, reading, n in counts:
+        sums.setdefault((cyr, sign), {})[reading] = n
+    table = {}
+    for at, row in sorted(sums.items()):
+        total, best = sum(row.values()) + 0.5, max(row.values())
+        table[at] = tuple(sorted(((c, log2(n / total)) for c, n in row.items() if n >= LEAST_READING * best), key=lambda x: (-x[1], x[0])))
+    return Channel(table)
+
+
+def candidates(core: str, channel: Channel) -> list[tuple[str, float]]:
+    """(candidate, log2 of the channel's probability) of a doubtful word: every combination of its signs' readings, those below ``LEAST_READING`` of the likeliest aside."""
+    cyr, at = odd_signs(core)
+    out, start = [("", 0.0)], 0
+    for i in at:
+        part = core[start:i]
+        options = channel.readings(cyr, core[i])
+        out = [(s + part + c, lp + q) for s, lp in out for c, q in options]
+        floor = max(lp for _, lp in out) + log2(LEAST_READING)
+        out = [x for x in out if x[1] >= floor]
+        start = i + 1
+    return [(s + core[start:], lp) for s, lp in out]
+
+
+def shaped(word: str) -> bool:
+    """Whether letters could make a word: all of one script, a vowel among them, capitals only in front or throughout."""
+    return word.isalpha() and bool(_VOWEL.search(word)) and (word[1:].islower() or word.isupper() or len(word) == 1) and bool(_CYR.search(word)) != any(c.isascii() for c in word)
 
 
 def edges(text: str) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
@@ -182,107 +246,137 @@ def misread_sites(texts: list[str]) -> np.ndarray:
     return counted[np.minimum(ends, len(counted) - 1)] - counted[ends - lens]
 
 
-def repeated_share(w: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """Share of each text's words in stretches of four that came before in it."""
-    n, lens = len(w), np.diff(np.concatenate([[0], e]))
-    if n < 4:
-        return np.zeros(len(e))
-    pos = _positions(e, n)
-    k4 = _mix(_mix(_mix(w[:-3], w[1:-2]), w[2:-1]), w[3:])
-    i4 = np.nonzero(pos[3:] >= 3)[0]
-    rep = np.zeros(n + 1, np.int64)
-    if len(i4):
-        doc = np.repeat(np.arange(len(e)), lens).astype(np.uint64)
-        _, first = _ranks(_mix(k4[i4], doc[i4 + 3]))
-        np.add.at(rep, i4[~first], 1)
-        np.add.at(rep, i4[~first] + 4, -1)
-    marked = np.concatenate([[0], np.cumsum(np.cumsum(rep)[:n] > 0)])
-    return np.where(lens > 0, (marked[e] - marked[e - lens]) / np.maximum(lens, 1), 0.0)
-
-
-@lru_cache(maxsize=100_000)
-def _cell(w: str) -> list[tuple[str, str, str, float]]:
-    """(before, candidate, after, channel) of a word."""
+@lru_cache(maxsize=200_000)
+def _edges(w: str) -> tuple[str, str, str]:
     core = w.strip(_EDGE)
     at = w.find(core) if core else 0
-    options = candidates(core) if core and misread(w) else [(core, 0.0)]
-    return [(w[:at], c, w[at + len(core) :], lp) for c, lp in options]
+    return w[:at], core, w[at + len(core) :]
 
 
-def decode(model: HashModel, ids: Words, lines: list[list[str]]) -> list[list[str]]:
-    """The likeliest words of each line: Viterbi over candidates, channel times bigram likelihood.
+#: (before, word, after, channel, whether it is another word than it stands)
+Cell = tuple[str, str, str, float, bool]
 
-    A word without candidates cuts the lattice, so that only runs of misread
-    words with their neighbours are decoded.
-    """
-    out = [list(x) for x in lines]
-    runs: list[tuple[int, int, list]] = []
+
+def cells(w: str, channel: Channel, cache: dict[str, list[Cell]]) -> list[Cell]:
+    """The ways to read a token; the first is as it stands."""
+    if w not in cache:
+        before, core, after = _edges(w)
+        cache[w] = [(before, core, after, STANDS_NOT if misread(w) else 0.0, False)]
+        if doubtful(w):
+            cache[w] += [(before, c, after, lp, True) for c, lp in candidates(core, channel)]
+    return cache[w]
+
+
+def lattices(lines: list[list[str]], channel: Channel, cache: dict[str, list[Cell]]) -> list[tuple[int, int, list[list[Cell]]]]:
+    """(line, first word, ways to read each word) of the runs of doubtful words with their neighbours: a word that has one reading cuts the lattice."""
+    out = []
     for n, words in enumerate(lines):
         i = 0
         while i < len(words):
-            if not misread(words[i]):
+            if not doubtful(words[i]):
                 i += 1
                 continue
             j = i
-            while j < len(words) and misread(words[j]):
+            while j < len(words) and doubtful(words[j]):
                 j += 1
-            runs.append((n, i, [_cell(w) for w in words[max(0, i - 1) : j + 1]]))
+            a = max(0, i - 1)
+            out.append((n, a, [cells(w, channel, cache) if k + a >= i and k + a < j else cells(w, channel, cache)[:1] for k, w in enumerate(words[a : j + 1])]))
             i = j
+    return out
+
+
+def _asked(runs: list, ids: Words) -> tuple[np.ndarray, np.ndarray, dict[str, int], np.ndarray]:
+    """(kind, key) of all the model has to tell for these lattices; index and hashes of their words."""
     vocabulary = sorted({c[1].lower() for _, _, row in runs for cell in row for c in cell})
-    if not vocabulary:
-        return out
-    hashes = np.array(ids(vocabulary), np.uint64)
+    hashes = np.array(ids(vocabulary), np.uint64) if vocabulary else np.zeros(0, np.uint64)
     index = {w: i for i, w in enumerate(vocabulary)}
-    uni = np.nan_to_num(model.look(1, hashes), nan=-26.0)
-    back = np.nan_to_num(model.look(12, hashes), nan=0.0)
-    coded = [[[(index[c[1].lower()], c[3]) for c in cell] for cell in row] for _, _, row in runs]
-    pairs = sorted({(a, b) for row in coded for x, y in zip(row, row[1:]) for a, _ in x for b, _ in y})
-    score: dict[tuple[int, int], float] = {}
-    if pairs:
-        ab = np.array(pairs)
-        two = model.look(2, _mix(hashes[ab[:, 0]], hashes[ab[:, 1]]))
-        score = dict(zip(pairs, np.where(np.isnan(two), back[ab[:, 0]] + uni[ab[:, 1]], two).tolist(), strict=True))
-    single = uni.tolist()
-    for (n, start, cells), row in zip(runs, coded, strict=True):
-        best = [[(lp + single[a], -1) for a, lp in row[0]]]
+    left, right = set(), set()
+    for _, _, row in runs:
+        for x, y in zip(row, row[1:]):
+            a, b = [index[c[1].lower()] for c in x], [index[c[1].lower()] for c in y]
+            left.update(a)
+            right.update((i, j) for i in a for j in b)
+    pairs = np.array(sorted(right), np.int64).reshape(-1, 2)
+    two = _mix(hashes[pairs[:, 0]], hashes[pairs[:, 1]])
+    backs = hashes[sorted(left)]
+    kind = np.concatenate([np.full(len(hashes), WORD), np.full(len(backs), WORD_BACKOFF), np.full(len(two), BIGRAM)]).astype(np.int32)
+    return kind, np.concatenate([hashes, backs, two]).view(np.int64), index, hashes
+
+
+Told = dict[tuple[int, int], float]
+
+
+def _signed(k: int) -> int:
+    return k - (1 << 64) if k >> 63 else k
+
+
+def decode(told: Told, ids: Words, lines: list[list[str]], channel: Channel, cache: dict[str, list[Cell]] | None = None) -> list[tuple[list[str], int]]:
+    """For each line its likeliest words, and how many of them are other words than stand there: Viterbi, channel times bigram likelihood."""
+    cache = {} if cache is None else cache
+    out = [(list(x), 0) for x in lines]
+    known: dict[str, tuple[int, float, float]] = {}
+
+    def word(w: str) -> tuple[int, float, float]:
+        """(hash, likelihood, back-off) of a word."""
+        if w not in known:
+            k = ids([w.lower()])[0]
+            p = told.get((WORD, _signed(k)))
+            known[w] = (k, p if p is not None else UNKNOWN if shaped(w) else SHAPELESS, told.get((WORD_BACKOFF, _signed(k)), 0.0))
+        return known[w]
+
+    def after(a: str, b: str) -> float:
+        ka, _, back = word(a)
+        kb, p, _ = word(b)
+        two = told.get((BIGRAM, _signed(mixed(ka, kb))))
+        return two if two is not None else back + p
+
+    for n, start, row in lattices(lines, channel, cache):
+        best = [[(c[3] + word(c[1])[1], 0) for c in row[0]]]
         for x, y in zip(row, row[1:]):
             step = []
-            for b, lp in y:
-                top, k = max((best[-1][k][0] + score[(a, b)], -k) for k, (a, _) in enumerate(x))
-                step.append((top + lp, -k))
+            for c in y:
+                top, k = max((best[-1][i][0] + after(a[1], c[1]), -i) for i, a in enumerate(x))
+                step.append((top + c[3], -k))
             best.append(step)
         k = max(range(len(row[-1])), key=lambda i: (best[-1][i][0], -i))
+        words, changed = out[n]
         for i in range(len(row) - 1, -1, -1):
-            out[n][max(0, start - 1) + i] = "".join(cells[i][k][:3])
+            c = row[i][k]
+            if c[4]:
+                words[start + i] = "".join(c[:3])
+                changed += 1
             k = best[i][k][1]
+        out[n] = (words, changed)
     return out
 
 
-_PAGE = "reading_id bigint, job_id string, page_number int, lines array<string>, misread int, number boolean, broken boolean, compounds array<string>, norms array<string>, bands array<array<bigint>>"
+_PAGE = "reading_id bigint, job_id string, page_number int, lines array<string>, doubtful int, signs int, number boolean, broken boolean, compounds array<string>, norms array<string>, bands array<array<bigint>>"
 _SCAN = f"{GRAMS}, {_PAGE}, inline array<string>"
-_AT_HYPHEN = re.compile(rf"(?<={_LETTER})-(?={_LETTER})")
-_AT_BREAK = re.compile(rf"(?<={_LETTER})([-¬­=‐‑])[ \t]*\n[ \t]*({_LETTER}+)")
-_BEFORE = re.compile(rf"{_LETTER}+$")
+_AT_HYPHEN = re.compile(rf"-(?={_LETTER})")
+_AT_BREAK = re.compile(rf"([-¬­=‐‑])[ \t]*\n[ \t]*({_LETTER}+)")
 _AFTER = re.compile(rf"{_LETTER}+")
 
 
+def _letters_before(text: str, end: int) -> str:
+    at = end
+    while at and text[at - 1].isalpha():
+        at -= 1
+    return text[at:end]
+
+
 def breaks(text: str) -> list[tuple[str, str, str]]:
     """(part before, mark, part after) of the words broken at a line end."""
-    return [(_BEFORE.search(text, max(0, m.start() - 40), m.start())[0], m[1], m[2]) for m in _AT_BREAK.finditer(text)]
+    return [(left, m[1], m[2]) for m in _AT_BREAK.finditer(text) if (left := _letters_before(text, m.start()))]
 
 
 def compounds(text: str) -> list[str]:
     """Words of two parts with a hyphen inside a line, lower-case."""
-    out = []
-    for m in _AT_HYPHEN.finditer(text):
-        a, b = _BEFORE.search(text, max(0, m.start() - 40), m.start())[0], _AFTER.match(text, m.end())[0]
-        out.append(f"{a}-{b}".lower())
-    return out
+    return [f"{left}-{_AFTER.match(text, m.end())[0]}".lower() for m in _AT_HYPHEN.finditer(text) if (left := _letters_before(text, m.start()))]
 
 
 _SCHEMA = pa.schema([
     ("ord", pa.int8()), ("key", pa.int64()), ("ctx", pa.int64()), ("low", pa.int64()), ("n", pa.int64()),
-    ("reading_id", pa.int64()), ("job_id", pa.string()), ("page_number", pa.int32()), ("lines", pa.list_(pa.string())), ("misread", pa.int32()),
+    ("reading_id", pa.int64()), ("job_id", pa.string()), ("page_number", pa.int32()), ("lines", pa.list_(pa.string())), ("doubtful", pa.int32()), ("signs", pa.int32()),
     ("number", pa.bool_()), ("broken", pa.bool_()), ("compounds", pa.list_(pa.string())), ("norms", pa.list_(pa.string())),
     ("bands", pa.list_(pa.list_(pa.int64()))), ("inline", pa.list_(pa.string())),
 ])
@@ -293,8 +387,8 @@ def _rows(**cols) -> pa.RecordBatch:
     return pa.record_batch([pa.array(cols[f.name], f.type) if f.name in cols else pa.nulls(n, f.type) for f in _SCHEMA], schema=_SCHEMA)
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One pass: bigram sums, compounds that stand inside a line, and each page's marks with its lines that hold misread words."""
+def _scan(batches: Iterator[pa.RecordBatch], least: int = MIN_WORDS) -> Iterator[pa.RecordBatch]:
+    """One pass: bigram sums, compounds that stand inside a line, and each page's marks, with its lines that hold doubtful words if there are ``least`` such words."""
     words, counter, inline = Words(), GramCounter(order=2), set()
     letters = re.compile(r"[^\W\d_]+")
     for b in batches:
@@ -309,15 +403,16 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, e = np.array(flat, np.uint64), np.array(ends, np.int64)
         for cols in counter.add(w, e):
             yield _rows(**dict(zip(_NAMES, cols, strict=True)))
-        share = repeated_share(w, e)
+        share = repeats(w, e).share
         keep = [i for i, f in enumerate(fixed) if not f[1] and not f[2] and share[i] < 0.25 and texts[i].strip()]
-        out: dict[str, list] = {k: [] for k in ("lines", "misread", "number", "broken", "compounds", "norms", "bands")}
+        out: dict[str, list] = {k: [] for k in ("lines", "doubtful", "signs", "number", "broken", "compounds", "norms", "bands")}
         sites = misread_sites(texts)
         for i in keep:
             t = texts[i]
-            bad = [x for x in (_TOKEN.findall(t) if sites[i] >= MIN_WORDS else ()) if misread(x)]
-            out["misread"].append(len(bad))
-            out["lines"].append([x for x in t.split("\n") if any(misread(y) for y in x.split())] if len(bad) >= MIN_WORDS else [])
+            bad = [x for x in (_TOKEN.findall(t) if sites[i] >= least else ()) if doubtful(x)]
+            out["doubtful"].append(len(bad))
+            out["signs"].append(sum(map(misread, bad)))
+            out["lines"].append([x for x in t.split("\n") if any(doubtful(y) for y in x.split())] if len(bad) >= least else [])
             number, norms = page_parts(t)
             out["number"].append(number)
             out["norms"].append(norms)
@@ -331,7 +426,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 else:
                     sure = True
             out["broken"].append(sure)
-            out["compounds"].append([] if sure else sorted(maybe))
+            out["compounds"].append(sorted(maybe))
             if "-" in t:
                 inline.update(compounds(t))
         at = pa.array(keep, pa.int64())
@@ -349,36 +444,118 @@ def running_lines(scanned: DataFrame) -> DataFrame:
     """(job_id, norm) of the lines that stand on ``MIN_PAGES`` pages of their job, small misreadings aside."""
     x = F.explode(F.arrays_zip("norms", "bands")).alias("x")
     once = scanned.select("job_id", "page_number", x).groupBy("job_id", "page_number", F.col("x.norms").alias("norm")).agg(F.first("x.bands").alias("bands"))
-    seen = stored(once, "edge-lines").select("job_id", "page_number", "norm", F.explode("bands").alias("band"))
-    counted = seen.groupBy("job_id", "band", "norm").agg(F.count("*").alias("n"))
+    once = stored(once, "edge-lines")
+    equal = once.groupBy("job_id", "norm").agg(F.count("*").alias("n"), F.any_value("bands").alias("bands"))
+    accepted = equal.filter(F.col("n") >= MIN_PAGES).select("job_id", "norm")
+    seen = once.select("job_id", "page_number", "norm", F.explode("bands").alias("band"))
+    counted = equal.select("job_id", "norm", "n", F.explode("bands").alias("band"))
     top = counted.groupBy("job_id", "band").agg(F.max(F.struct("n", "norm")).alias("top"), F.sum("n").alias("all")).filter(F.col("all") >= MIN_PAGES).select("job_id", "band", F.col("top.norm").alias("top"))
     near = seen.join(top, ["job_id", "band"]).filter(F.levenshtein("norm", "top") <= F.floor(F.length("top") / 4))
     whole = near.groupBy("job_id", "band", "top").agg(F.count_distinct("page_number").alias("pages")).filter(F.col("pages") >= MIN_PAGES)
-    return near.join(whole.select("job_id", "band"), ["job_id", "band"], "left_semi").select("job_id", "norm").distinct()
+    return near.join(whole.select("job_id", "band"), ["job_id", "band"], "left_semi").select("job_id", "norm").unionByName(accepted).distinct()
 
 
-def _misreads(folder: str):
-    """Arrow function: for lines of a page, how many words the channel changes that can't stand as they are."""
+def scan(df: DataFrame, least: int = MIN_WORDS) -> tuple[DataFrame, Model]:
+    """(stored marks of the pages and in-line compounds of prose readings, the corpus's bigram model)."""
+    prose = df.filter(F.col("result_format").isin("text", "markdown")).select(F.col("reading_id").cast("bigint").alias("reading_id"), "job_id", F.col("page_number").cast("int").alias("page_number"), "content")
+    scanned = stored(prose.mapInArrow(lambda batches: _scan(batches, least), _SCAN), "pages")
+    return scanned, train_from(scanned.filter(F.col("ord").isNotNull()).select(*_NAMES), order=2, kinds=(WORD, BIGRAM, WORD_BACKOFF))
 
-    @F.arrow_udf(T.IntegerType())
-    def udf(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model, ids = HashModel(folder), Words()
-        for pages in it:
-            pages = pages.to_pylist()
-            flat = [(i, x.split()) for i, xs in enumerate(pages) for x in xs or ()]
-            counts = [0] * len(pages)
-            for (i, was), now in zip(flat, decode(model, ids, [x for _, x in flat]), strict=True):
-                counts[i] += sum(a != c and misread(a) for a, c in zip(was, now, strict=True))
-            yield pa.array(counts, pa.int32())
 
-    return udf
+_WAYS = "token string, n bigint, cyr boolean, sign string, reading string, kind int, key bigint"
 
 
-def scan(df: DataFrame) -> tuple[DataFrame, str]:
-    """(stored marks of the pages and in-line compounds of prose readings, folder of the corpus's bigram model)."""
-    prose = df.filter(F.col("result_format").isin("text", "markdown")).select(F.col("reading_id").cast("bigint").alias("reading_id"), "job_id", F.col("page_number").cast("int").alias("page_number"), "content")
-    scanned = stored(prose.mapInArrow(_scan, _SCAN), "pages")
-    return scanned, train_from(scanned.filter(F.col("ord").isNotNull()).select(*_NAMES), order=2)
+def _ways(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every way to read the odd sign of each word that has one."""
+    ids = Words()
+    for b in batches:
+        rows, words = [], []
+        for token, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            core = token.strip(_EDGE)
+            cyr, at = odd_signs(core)
+            if len(at) == 1:
+                i = at[0]
+                for c in ("", *(CYRILLIC if cyr else LATIN)):
+                    word = core[:i] + c + core[i + 1 :]
+                    if shaped(word):
+                        rows.append((token, n, cyr, core[i], c))
+                        words.append(word.lower())
+        cols = list(zip(*rows, strict=True)) if rows else [()] * 5
+        key = np.array(ids(words), np.uint64).view(np.int64) if words else np.zeros(0, np.int64)
+        kinds = (pa.string(), pa.int64(), pa.bool_(), pa.string(), pa.string())
+        yield pa.record_batch([*[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], pa.array(np.full(len(key), WORD, np.int32)), pa.array(key)], names=["token", "n", "cyr", "sign", "reading", "kind", "key"])
+
+
+def learn_channel(pages: DataFrame, model: Model, rounds: int = 2) -> Channel:
+    """Channel of the corpus: expected readings of each odd sign, by expectation-maximisation from an even start.
+
+    ``pages`` has ``lines`` with doubtful words. Words are counted once before
+    anything is looked up. The driver sees a row for each sign and letter of an
+    alphabet, whatever the corpus's size.
+    """
+    tokens = pages.select(F.explode("lines").alias("line")).select(F.explode(F.split("line", r"[\s/@]+")).alias("token"))
+    odd = r"[0-9!|€†ɑ]|[А-яЁёІіЇїЄєҐґѢѣ][A-Za-z]|[A-Za-z][А-яЁёІіЇїЄєҐґѢѣ]"
+    tokens = tokens.filter(F.col("token").rlike(odd) & F.col("token").rlike(r"\p{L}{2}")).groupBy("token").agg(F.count("*").alias("n"))
+    ways = look_up(tokens.mapInArrow(_ways, _WAYS), model).filter(F.col("p").isNotNull()).select("token", "n", "cyr", "sign", "reading", F.pow(F.lit(2.0), F.col("p").cast("double")).alias("w"))
+    ways = stored(ways, "ways")
+    at = ["cyr", "sign", "reading"]
+    counts = None
+    for _ in range(rounds):
+        weighed = ways if counts is None else ways.join(F.broadcast(counts), at).withColumn("w", F.col("w") * F.col("c")).drop("c")
+        shared = weighed.withColumn("c", F.col("n") * F.col("w") / F.sum("w").over(W.partitionBy("token")))  # as many rows as the alphabet has letters
+        rows = shared.groupBy(*at).agg(F.sum("c").alias("c")).collect()
+        counts = pages.sparkSession.createDataFrame(rows, "cyr boolean, sign string, reading string, c double") if rows else None
+        if counts is None:
+            break
+    return channel_of([tuple(r) for r in rows])
+
+
+_ASKED = "reading_id bigint, kind int, key bigint"
+
+
+def decoded(pages: DataFrame, model: Model, channel: Channel) -> DataFrame:
+    """``reading_id``, ``changed`` (words the decoder reads otherwise), ``fixes`` (lines with their decoded form) of pages with ``lines``.
+
+    Each page's lattice asks the model once; the answers come back to the page.
+    """
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, cache = Words(), {}
+        for b in batches:
+            if len(cache) > 200_000:
+                cache.clear()
+            kinds, keys, n = [], [], []
+            for lines in b.column(1).to_pylist():
+                kind, key, _, _ = _asked(lattices([x.split() for x in lines], channel, cache), ids)
+                kinds.append(kind)
+                keys.append(key)
+                n.append(len(key))
+            yield pa.record_batch([pa.array(np.repeat(b.column(0).to_numpy(), n), pa.int64()), pa.array(np.concatenate(kinds)), pa.array(np.concatenate(keys))], names=["reading_id", "kind", "key"])
+
+    one = pages.select("reading_id", "lines").dropDuplicates(["reading_id"])
+    told = look_up(one.mapInArrow(ask, _ASKED), model).filter(F.col("p").isNotNull())
+    told = told.groupBy("reading_id").agg(F.collect_list(F.struct("kind", "key", "p")).alias("told"))  # as long as one page's lattice
+    fix = T.StructType([T.StructField("line", T.StringType()), T.StructField("fixed", T.StringType())])
+    out = T.StructType([T.StructField("changed", T.IntegerType()), T.StructField("fixes", T.ArrayType(fix))])
+
+    @F.arrow_udf(out)
+    def udf(it: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        ids, cache = Words(), {}
+        for lines, told in it:
+            if len(cache) > 200_000:
+                cache.clear()
+            rows = []
+            answers = told.flatten()
+            triples = list(zip(answers.field(0).to_pylist(), answers.field(1).to_pylist(), answers.field(2).to_pylist(), strict=True)) if len(answers) else []
+            at = 0
+            for xs, n in zip(lines.to_pylist(), told.value_lengths().to_pylist(), strict=True):
+                heard = {(k, key): p for k, key, p in triples[at : at + (n or 0)]}
+                at += n or 0
+                got = decode(heard, ids, [x.split() for x in xs], channel, cache)
+                rows.append({"changed": sum(c for _, c in got), "fixes": [{"line": x, "fixed": " ".join(words)} for x, (words, c) in zip(xs, got, strict=True) if c]})
+            yield pa.array(rows, pa.struct([("changed", pa.int32()), ("fixes", pa.list_(pa.struct([("line", pa.string()), ("fixed", pa.string())])))]))
+
+    return one.join(told, "reading_id", "left").select("reading_id", udf("lines", "told").alias("d")).select("reading_id", "d.*")
 
 
 KINDS = ("hyphen_break", "misread_characters", "running_header", "page_number")
@@ -387,8 +564,8 @@ KINDS = ("hyphen_break", "misread_characters", "running_header", "page_number")
 def found(df: DataFrame) -> DataFrame:
     """p7_found: one row for each kind of noise in a prose reading.
 
-    One scan counts the bigrams and marks the pages; only lines with misread
-    words are decoded once the model stands. Readings that repeat or are
+    One scan counts the bigrams and marks the pages; only lines with doubtful
+    words are decoded once model and channel stand. Readings that repeat or are
     garbled have no row. The kinds are four narrow results and one distinct.
     """
     scanned, model = scan(df)
@@ -396,7 +573,8 @@ def found(df: DataFrame) -> DataFrame:
     headed = pages.select("reading_id", "job_id", F.explode("norms").alias("norm")).join(running_lines(pages), ["job_id", "norm"], "left_semi").select("reading_id")
     inline = scanned.filter(F.col("inline").isNotNull()).select(F.explode("inline").alias("compound")).distinct()
     broken = pages.select("reading_id", F.explode("compounds").alias("compound")).join(inline, "compound", "left_anti").select("reading_id")
-    read = pages.filter(F.col("misread") >= MIN_WORDS).select("reading_id", "lines").filter(_misreads(model)("lines") >= MIN_WORDS).select("reading_id")
+    odd = pages.filter(F.col("doubtful") >= MIN_WORDS)
+    read = decoded(odd, model, learn_channel(odd, model)).filter(F.col("changed") >= MIN_WORDS).select("reading_id")
     parts = [
         (broken, "hyphen_break"), (pages.filter("broken").select("reading_id"), "hyphen_break"), (read, "misread_characters"),
         (headed, "running_header"), (pages.filter("number").select("reading_id"), "page_number"),
@@ -413,8 +591,8 @@ def noise(df: DataFrame) -> DataFrame:
     return found(df).groupBy("reading_id").agg(*[F.bool_or(F.col("noise") == k).alias(k) for k in KINDS])
 
 
-def clean(text: str | None, running: set[str], model: HashModel | None = None, ids: Words | None = None) -> str | None:
-    """The text as continuous paragraphs: running lines and page numbers gone, broken words joined, misread words decoded."""
+def clean(text: str | None, running: set[str], fixes: dict[str, str] | None = None, hyphened: frozenset[str] = frozenset()) -> str | None:
+    """The text as continuous paragraphs: running lines and page numbers gone, broken words joined (``hyphened`` compounds keep their hyphen), misread words decoded (``fixes``)."""
     if not text or not text.strip():
         return text
     lines = text.split("\n")
@@ -430,11 +608,14 @@ def clean(text: str | None, running: set[str], model: HashModel | None = None, i
     if sum(bool(x.strip()) for x in lines) > 1:
         strip(list(range(len(lines))))
         strip(list(range(len(lines) - 1, -1, -1)))
-    if model is not None:
-        rows = [i for i, x in enumerate(lines) if any(misread(w) for w in x.split())]
-        for i, words in zip(rows, decode(model, ids, [lines[i].split() for i in rows]), strict=True):
-            lines[i] = " ".join(words)
-    body = _BREAK.sub(lambda m: m[1] + m[3] if m[2] not in "-‐‑" or m[3][0].islower() else f"{m[1]}-{m[3]}", "\n".join(lines))
+    if fixes:
+        lines = [fixes.get(x, x) for x in lines]
+
+    def join(m: re.Match) -> str:
+        whole = m[2] in "-‐‑" and (not m[3][0].islower() or f"{m[1]}-{m[3]}".lower() in hyphened)
+        return f"{m[1]}-{m[3]}" if whole else m[1] + m[3]
+
+    body = _BREAK.sub(join, "\n".join(lines))
     paragraphs = []
     for block in re.split(r"\n\s*\n", body):
         text_ = ""
@@ -453,20 +634,27 @@ def clean(text: str | None, running: set[str], model: HashModel | None = None, i
 def paragraphs(df: DataFrame, text: str = "content") -> DataFrame:
     """``df`` with ``clean_text``; needs ``reading_id``, ``job_id``, ``page_number`` and ``result_format``; other formats keep their text.
 
-    The running lines of a reading's job reach it by a join on the reading.
+    What the job, the corpus and the model tell of a reading reaches it by one
+    join on the reading.
     """
-    scanned, folder = scan(df.withColumn("content", F.col(text)))
+    scanned, model = scan(df.withColumn("content", F.col(text)), least=1)
     pages = scanned.filter(F.col("reading_id").isNotNull())
-    mine = (
-        pages.select("reading_id", "job_id", F.explode("norms").alias("norm")).distinct().join(running_lines(pages), ["job_id", "norm"], "left_semi")
-        .groupBy("reading_id").agg(F.collect_set("norm").alias("__running"))
-    )
+    heads = pages.select("reading_id", "job_id", F.explode("norms").alias("norm")).distinct().join(running_lines(pages), ["job_id", "norm"], "left_semi").select("reading_id", "norm")
+    inline = scanned.filter(F.col("inline").isNotNull()).select(F.explode("inline").alias("compound")).distinct()
+    kept = pages.select("reading_id", F.explode("compounds").alias("compound")).distinct().join(inline, "compound", "left_semi").select("reading_id", "compound")
+    marks = heads.select("reading_id", "norm", F.lit(None).cast("string").alias("compound")).unionByName(kept.select("reading_id", F.lit(None).cast("string").alias("norm"), "compound"))
+    marks = marks.groupBy("reading_id").agg(F.collect_set("norm").alias("__running"), F.collect_set("compound").alias("__kept"))  # as many as a page has
+    odd = pages.filter(F.size("lines") > 0)
+    fixed = decoded(odd, model, learn_channel(odd, model)).select("reading_id", F.col("fixes").alias("__fixes"))
+    known = marks.join(fixed, "reading_id", "full").withColumnRenamed("reading_id", "__id")
 
     @F.arrow_udf(T.StringType())
-    def udf(it: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        m, ids = HashModel(folder), Words()
-        for texts, running in it:
-            yield pa.array([clean(t, set(r or ()), m, ids) for t, r in zip(texts.to_pylist(), running.to_pylist(), strict=True)], pa.string())
+    def udf(it: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for cols in it:
+            rows = zip(*[c.to_pylist() for c in cols], strict=True)
+            yield pa.array([clean(t, set(r or ()), {x["line"]: x["fixed"] for x in f or ()}, frozenset(k or ())) for t, r, f, k in rows], pa.string())
 
     prose = F.col("result_format").isin("text", "markdown")
-    return df.join(mine, "reading_id", "left").withColumn("clean_text", F.coalesce(udf(F.when(prose, F.col(text)), F.col("__running")), F.col(text))).drop("__running")
+    out = df.join(known, F.col("reading_id").cast("bigint") == F.col("__id"), "left")
+    cleaned = udf(F.when(prose, F.col(text)), F.col("__running"), F.col("__fixes"), F.col("__kept"))
+    return out.withColumn("clean_text", F.coalesce(cleaned, F.col(text))).drop("__running", "__fixes", "__kept", "__id")
