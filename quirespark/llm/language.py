@@ -6,12 +6,17 @@ it doesn't depend on order) and cleaned by re-estimation, since labels may be
 wrong. A document is a mixture of languages over its sentences:
 expectation-maximisation estimates the proportions from the sentences'
 likelihoods, and the language set is the one of the best likelihood less
-``PENALTY`` for each language, found by dropping languages greedily.
+``PENALTY`` for each language, found by dropping languages greedily. A
+language's sentences are counted by their responsibilities under the mixture,
+so that a short or doubtful sentence goes to the languages the text is known to
+hold. A text that no language of the model explains (``REJECT``) has none.
 
 Defined results
 * null, empty or wordless text -> no language, no segments.
-* a language of a mixed text has to hold ``MIN_SENTENCES`` sentences; if none
-  does, the one with the most words is the text's language.
+* a language of a mixed text has to be responsible for ``MIN_SENTENCES``
+  sentences, rounded; if none is, the one responsible for the most words is the
+  text's language.
+* a text in a language the model doesn't know: no language, segments ``und``.
 * equal likelihoods -> the first in ``LANGUAGES``.
 """
 
@@ -33,6 +38,10 @@ from quirespark.llm.encoding import repaired
 LANGUAGES = ("en", "de", "fr", "es", "pl", "ru", "uk")
 SAMPLE_ROWS = 6000
 PENALTY = 6.0
+#: A text is in none of the languages if its log-likelihood a character lies this part of the way from the fitted texts' mean to that of unknown n-grams.
+REJECT = 0.25
+#: Words a text or sentence needs to be judged so.
+REJECT_WORDS = 8
 MIN_SENTENCES = 2
 MIN_SENTENCE_WORDS = 4
 
@@ -96,6 +105,7 @@ class LanguageModel:
         totals = [sum(n for g, n in c.items() if g in vocabulary) for c in counts]
         floor = [log(0.3 / (t + 0.3 * len(vocabulary) + 1)) for t in totals]
         self.floor = np.array(floor)
+        self.reject = -np.inf
         self.table = {
             g: tuple(log((c.get(g, 0) + 0.3) / (t + 0.3 * len(vocabulary) + 1)) for c, t in zip(counts, totals, strict=True))
             for g in vocabulary
@@ -153,10 +163,25 @@ def fit(labelled: list[tuple[str, str]], rounds: int = 3) -> LanguageModel:
             best = model.scores([s for s, _ in parts]).argmax(axis=1)
             parts = [(s, int(b)) for (s, _), b in zip(parts, best, strict=True)]
     if model is not None:
+        if parts:
+            mean = float((model.scores([s for s, _ in parts]).max(axis=1) / [_size(s) for s, _ in parts]).mean())
+            model.reject = mean + REJECT * (0.6 * float(model.floor.mean()) - mean)  # about 0.6 n-grams' weight a character
         model.cache, model.rows, model.matrix = {}, [], None
     return model
 
 
+def _size(words: list[str]) -> int:
+    """Characters of a sentence's words with their blanks."""
+    return sum(map(len, words)) + len(words)
+
+
+def responsibilities(lik: np.ndarray, pi: np.ndarray, keep: list[int]) -> np.ndarray:
+    """Share of each sentence that each language of the set is responsible for."""
+    own = lik[:, keep]
+    joint = np.exp(own - own.max(axis=1, keepdims=True)) * pi + 1e-300
+    return joint / joint.sum(axis=1, keepdims=True)
+
+
 def mixture(lik: np.ndarray, penalty: float = PENALTY) -> tuple[np.ndarray, list[int]]:
     """(proportions, language set) of one text from the log-likelihoods of its sentences."""
     top = lik - lik.max(axis=1, keepdims=True)
@@ -201,6 +226,7 @@ def infer(model: LanguageModel, texts: list[str | None], with_segments: bool = T
     first = best.tolist()
     e = np.exp(lik - lik.max(axis=1, keepdims=True)) if len(flat) else lik
     conf = (e.max(axis=1) / e.sum(axis=1)) if len(flat) else np.zeros(0)
+    top = lik.max(axis=1) if len(flat) else np.zeros(0)
     out, at = [], 0
     for x in split:
         n, lens = len(x), [len(s) for s in x]
@@ -208,30 +234,33 @@ def infer(model: LanguageModel, texts: list[str | None], with_segments: bool = T
             out.append({"languages": [], "proportions": [], "confidence": None, "n_words": 0, "segments": []})
             continue
         b, c = first[at : at + n], conf[at : at + n]
-        words = sum(lens)
-        if b.count(b[0]) == n:
+        words, sizes = sum(lens), [_size(s) for s in x]
+        alien = [lens[i] >= REJECT_WORDS and top[at + i] < model.reject * sizes[i] for i in range(n)]
+        if words >= REJECT_WORDS and float(top[at : at + n].sum()) < model.reject * sum(sizes):
+            langs, pi, alien = [], [], [True] * n
+        elif b.count(b[0]) == n:
             langs, pi = [b[0]], [1.0]
         else:
-            whole = [i for i in range(n) if lens[i] >= MIN_SENTENCE_WORDS]
-            use = whole or list(range(n))
-            pi_, keep = mixture(lik[at : at + n][use])
-            count = Counter(int(b[i]) for i in use)
-            chosen = [(k, p) for k, p in zip(keep, pi_.tolist(), strict=True) if count[k] >= MIN_SENTENCES]
+            use = [i for i in range(n) if lens[i] >= MIN_SENTENCE_WORDS and not alien[i]] or list(range(n))
+            own = lik[at : at + n][use]
+            pi_, keep = mixture(own)
+            share = responsibilities(own, pi_, keep)
+            count = share.sum(axis=0)
+            chosen = [(k, p) for k, p, m in zip(keep, pi_.tolist(), count, strict=True) if m >= MIN_SENTENCES - 0.5]
             if not chosen:
-                by = Counter()
-                for i in use:
-                    by[int(b[i])] += lens[i]
-                chosen = [(min(by, key=lambda k: (-by[k], k)), 1.0)]
+                by = (share * np.array([lens[i] for i in use])[:, None]).sum(axis=0)
+                chosen = [(keep[int(by.argmax())], 1.0)]
             total = sum(p for _, p in chosen) or 1.0
             langs, pi = [k for k, _ in chosen], [p / total for _, p in chosen]
         segments: list[dict] = []
         for i in range(n if with_segments else 0):
-            lang = LANGUAGES[int(b[i])]
+            lang = "und" if alien[i] else LANGUAGES[int(b[i])]
+            sure = float(c[i])
             if segments and segments[-1]["lang"] == lang:
                 segments[-1]["words"] += lens[i]
-                segments[-1]["confidence"] = min(segments[-1]["confidence"], float(c[i]))
+                segments[-1]["confidence"] = min(segments[-1]["confidence"], sure)
             else:
-                segments.append({"words": lens[i], "lang": lang, "confidence": float(c[i])})
+                segments.append({"words": lens[i], "lang": lang, "confidence": sure})
         out.append({
             "languages": [LANGUAGES[k] for k in langs], "proportions": pi,
             "confidence": float(np.dot(c, lens)) / words, "n_words": words, "segments": segments,
@@ -256,13 +285,13 @@ def identify_languages(df: DataFrame, text: str = "content", label: str = "lang"
     Narrow: one scan beside the bounded fit, no shuffle.
     """
     model = model or fit_on(df, text, label, key)
-    held = df.sparkSession.sparkContext.broadcast((model.table, model.floor))
+    held = df.sparkSession.sparkContext.broadcast((model.table, model.floor, model.reject))
     kind = _arrow()
 
     @F.arrow_udf(_OUT)
     def udf(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = LanguageModel.__new__(LanguageModel)
-        m.table, m.floor = held.value
+        m.table, m.floor, m.reject = held.value
         m.cache, m.rows, m.matrix = {}, [], None
         for texts in it:
             m.trim()
