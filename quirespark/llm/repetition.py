@@ -484,18 +484,25 @@ def band_language(lang):
     return F.coalesce(named_language(lang), F.lit("und"))
 
 
-def lower_bands(saved: DataFrame, share: float = SHARE) -> DataFrame:
-    """Lower band of log2(adapted perplexity / perplexity) of each language (``band_lang``, ``lower_ratio``).
+def lower_bands(saved: DataFrame, share: float = SHARE) -> dict[str, float]:
+    """Lower band of log2(adapted perplexity / perplexity) of each language.
 
     ``saved`` has ``band_lang``, ``bits`` (saved by repetition) and ``again``
     (words repeated) of each text that repeats anything. A text of which
     ``share`` is repeated has the ratio 1 - share x (bits a repeated word
-    saves); the band allows it ``MARGIN`` of that. Eight rows at most.
+    saves); the band allows it ``MARGIN`` of that. Eight rows reach the driver.
     """
-    each = saved.groupBy("band_lang").agg(F.sum("bits").alias("bits"), F.sum("again").alias("again"))
-    whole = each.agg(F.sum("bits").alias("all_bits"), F.sum("again").alias("all_again"))
-    per = (F.col("bits") + PRIOR_WORDS * F.col("all_bits") / F.col("all_again")) / (F.col("again") + PRIOR_WORDS)
-    return each.join(F.broadcast(whole)).select("band_lang", (1 - MARGIN * share * per).alias("lower_ratio"))  # one row beside eight
+    rows = saved.groupBy("band_lang").agg(F.sum("bits").alias("bits"), F.sum("again").alias("again")).collect()
+    bits, again = sum(r["bits"] for r in rows), sum(r["again"] for r in rows)
+    return {r["band_lang"]: 1 - MARGIN * share * (r["bits"] + PRIOR_WORDS * bits / again) / (r["again"] + PRIOR_WORDS) for r in rows if again}
+
+
+def _band(bands: dict[str, float]):
+    """Column: the lower band of ``band_lang``, null where nothing is repeated in it."""
+    out = F.lit(None).cast("double")
+    for lang, low in sorted(bands.items()):
+        out = F.when(F.col("band_lang") == lang, F.lit(low)).otherwise(out)
+    return out
 
 
 def perplexity_bands(df: DataFrame, text: str = "content", lang: str = "lang", key: str = "reading_id", low: float = 0.01, high: float = 0.99) -> DataFrame:
@@ -508,12 +515,11 @@ def perplexity_bands(df: DataFrame, text: str = "content", lang: str = "lang", k
     ratios = lower_bands(scored.filter(again > 0).select("band_lang", (r["n_words"] * (1 - ratio)).alias("bits"), again.alias("again")))
     p = r["perplexity"]
     quantiles = scored.groupBy("band_lang").agg(F.percentile_approx(p, low, 1000).alias("lower_band"), F.percentile_approx(p, high, 1000).alias("upper_band"))
-    bands = F.broadcast(quantiles.join(ratios, "band_lang", "left"))  # eight languages
     band = (
-        F.when(p.isNull(), "none").when(ratio < F.col("lower_ratio"), "repeats")
+        F.when(p.isNull(), "none").when(ratio < _band(ratios), "repeats")
         .when(p < F.col("lower_band"), "low").when(p > F.col("upper_band"), "high").otherwise("within")
     )
-    return scored.join(bands, "band_lang", "left").withColumn("band", band)
+    return scored.join(F.broadcast(quantiles), "band_lang", "left").withColumn("band", band)  # eight languages
 
 
 _HITS = "reading_id bigint, band_lang string, n_words int, share double, keys array<bigint>, cached array<float>"
@@ -568,8 +574,8 @@ def judged(df: DataFrame) -> DataFrame:
     one = F.any_value
     scored = look_up(hits, model).groupBy("reading_id").agg(one("band_lang").alias("band_lang"), one("n_words").alias("n_words"), one("share").alias("share"), F.sum(_saved()).alias("bits"))
     scored = stored(scored, "ratios")
-    bands = F.broadcast(lower_bands(scored.select("band_lang", "bits", (F.col("n_words") * F.col("share")).alias("again"))))  # eight languages
-    return scored.join(bands, "band_lang").select("reading_id", "band_lang", "share", (1 - F.col("bits") / F.col("n_words")).alias("ratio"), "lower_ratio")
+    bands = lower_bands(scored.select("band_lang", "bits", (F.col("n_words") * F.col("share")).alias("again")))
+    return scored.select("reading_id", "band_lang", "share", (1 - F.col("bits") / F.col("n_words")).alias("ratio"), _band(bands).alias("lower_ratio"))
 
 
 def found(df: DataFrame, share: float = SHARE) -> DataFrame:
