@@ -8,16 +8,19 @@ values for the jobs in both files; that is counted by a join on producer, file
 and job, never by comparing files as wholes. All headers are folded through
 the promotion lattice
 
-    boolean -> string,  number -> string,  array <- anything (a list of one)
+    integer -> decimal -> number -> string,  boolean -> string,  array <- anything (a list of one)
 
 to the union schema, renames followed to one canonical path, and the lines are
-cast to it.
+cast to it. A rename counts for its producer's files only; two names that one
+producer has side by side in a file stay two columns for all.
 
 Defined results
 * torn lines (no JSON object) have a row in the unified table with ``torn``
   true and no fields; they don't count as evidence.
 * null values don't make a field; null or repeated lines change nothing.
 * a field with several types in one file has the most frequent one (ties: the first by name).
+* whole numbers up to 18 digits are kept exactly, numbers up to 38 digits with
+  20 behind the point too; what is longer or has an exponent is a double.
 * several candidates for a rename: most equal jobs first, then by name; each field is used once.
 * a file without its predecessor has no changes.
 """
@@ -37,6 +40,10 @@ from quirespark.session import stored
 JOB = "job_id"
 
 
+#: Steps of the lattice's numbers: how their text looks.
+WHOLE, EXACT = r"^-?\d{1,18}$", r"^-?\d{1,18}\.?\d{0,20}$"
+
+
 def leaves(o: dict, prefix: str = "") -> Iterator[tuple[str, str, str]]:
     """(path, type, value as text) of the members that aren't objects and aren't null."""
     for k, v in o.items():
@@ -125,24 +132,34 @@ def found(files: DataFrame) -> DataFrame:
     return changes(stored(flatten(files), "leaves"))
 
 
+_STEPS = ("integer", "decimal", "number")
+
+
 def promote(a: str, b: str) -> str:
     """Least type of the lattice that holds both."""
     if a == b:
         return a
+    if a in _STEPS and b in _STEPS:
+        return max(a, b, key=_STEPS.index)
     return "array" if "array" in (a, b) else "string"
 
 
-def canonical(renames: list[tuple[str, str, int]], counts: dict[str, int]) -> dict[str, str]:
-    """Path -> the most used path among those that renames connect (ties: first by name)."""
+def canonical(renames: list[tuple[str, str]], counts: dict[str, int], apart: set[tuple[str, str]] = frozenset()) -> dict[str, str]:
+    """Path -> the most used path among those that renames connect (ties: first by name); no two paths of ``apart`` are put together."""
     root: dict[str, str] = {}
+    members: dict[str, set[str]] = {}
 
     def find(p: str) -> str:
+        members.setdefault(p, {p})
         while root.setdefault(p, p) != p:
             p = root[p]
         return p
 
-    for a, b, _ in sorted(renames):
-        root[find(a)] = find(b)
+    for a, b in sorted(renames):
+        x, y = find(a), find(b)
+        if x != y and not any((p, q) in apart or (q, p) in apart for p in members[x] for q in members[y]):
+            root[x] = y
+            members[y] |= members.pop(x)
     groups: dict[str, list[str]] = {}
     for p in sorted(set(root) | set(counts)):
         groups.setdefault(find(p), []).append(p)
@@ -152,17 +169,28 @@ def canonical(renames: list[tuple[str, str, int]], counts: dict[str, int]) -> di
 def unify(files: DataFrame) -> DataFrame:
     """All lines in one shape: keys, ``torn``, and a column for each canonical field, dots as two underscores.
 
-    The driver sees paths, types and renames, which are as many as the schema
-    has fields, not the data. A line's value under several names of one field:
-    the first by name that isn't null.
+    The driver sees paths, types, renames and pairs of paths that stand side by
+    side, which are as many as the schema has fields, not the data. Paths that
+    a file has side by side are never put together, so that no line loses a
+    value.
     """
     flat = stored(flatten(files), "leaves")
-    types = headers(flat).groupBy("path", "type").agg(F.count("*").alias("n")).collect()
-    moved = changes(flat).filter("change_kind = 'renamed'").groupBy("old_field", "new_field").agg(F.count("*").alias("n")).collect()
+    value = F.col("x.value")
+    step = F.when(F.col("x.type") != "number", F.col("x.type")).when(value.rlike(WHOLE), "integer").when(value.rlike(EXACT), "decimal").otherwise("number")
+    typed = flat.select("producer", "file_no", F.explode("fields").alias("path", "x")).groupBy("producer", "file_no", "path", step.alias("type")).agg(F.count("*").alias("n"))
+    typed = stored(typed, "types")
+    types = typed.groupBy("path", "type").agg(F.count_distinct("producer", "file_no").alias("n")).collect()
+    moved = stored(changes(flat).filter("change_kind = 'renamed'").select("producer", "old_field", "new_field").distinct(), "moved")
+    renames = moved.select("old_field", "new_field").distinct().collect()
+    # of the paths that renames connect, those that stand side by side in a file
+    linked = moved.select(F.explode(F.array("old_field", "new_field")).alias("path")).distinct()
+    own = typed.select("producer", "file_no", "path").distinct().join(linked, "path", "left_semi").groupBy("producer", "file_no").agg(F.sort_array(F.collect_set("path")).alias("paths"))  # as many as a schema has
+    pair = F.explode(F.flatten(F.transform("paths", lambda a: F.transform(F.filter("paths", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b"))))))
+    apart = {(r["a"], r["b"]) for r in own.select("paths").distinct().select(pair.alias("p")).select("p.*").distinct().collect()}
     counts: dict[str, int] = {}
     for r in types:
         counts[r["path"]] = counts.get(r["path"], 0) + r["n"]
-    home = canonical([(r["old_field"], r["new_field"], r["n"]) for r in moved], counts)
+    home = canonical([(r["old_field"], r["new_field"]) for r in renames], counts, apart)
     kind: dict[str, str] = {}
     for r in sorted(types, key=lambda r: (r["path"], r["type"])):
         p = home.get(r["path"], r["path"])
@@ -170,15 +198,14 @@ def unify(files: DataFrame) -> DataFrame:
     names: dict[str, list[str]] = {}
     for p in sorted(counts):
         names.setdefault(home.get(p, p), []).append(p)
+    cast = {"integer": "bigint", "decimal": "decimal(38,20)", "number": "double", "boolean": "boolean"}
     columns = []
     for p in sorted(kind):
         if p == JOB:
             continue
         x = F.coalesce(*[F.try_element_at("fields", F.lit(n)) for n in names[p]])
-        if kind[p] == "number":
-            c = x["value"].try_cast("double")
-        elif kind[p] == "boolean":
-            c = x["value"].try_cast("boolean")
+        if kind[p] in cast:
+            c = x["value"].try_cast(cast[kind[p]])
         elif kind[p] == "array":
             c = F.when(x["type"] == "array", F.from_json(x["value"], "array<string>")).when(x["value"].isNotNull(), F.array(x["value"]))
         else:

@@ -12,7 +12,10 @@ Which members are repeated is found over all records (a member that is an
 array anywhere is repeated everywhere), so that a single value or object in
 place of a list is a list of one. An object in place of a repeated member
 whose own members are all objects and none of the element's is a map: its
-members are the elements, their names the ``key``.
+members are the elements, their names the ``key``. A member that is never an
+array but has objects under more than ``MAP_KEYS`` names is a map as well. The
+keys of maps never become names: what reaches the driver is as large as the
+schema, whatever the number of records.
 
 Defined results
 * null record, or text that is no JSON object: no nodes.
@@ -25,6 +28,7 @@ Defined results
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -53,39 +57,106 @@ def _is_map(o: dict, known: set[str]) -> bool:
     return bool(o) and all(isinstance(v, dict) for v in o.values()) and not known & o.keys()
 
 
-def _array_paths(o: dict, prefix: str, out: dict[str, set[str]]) -> None:
-    """Adds the paths of arrays, with the names of their elements' members."""
-    for k, v in o.items():
-        path = f"{prefix}{k}"
-        if isinstance(v, list):
-            names = out.setdefault(path, set())
-            for x in v:
-                if isinstance(x, dict):
-                    names |= x.keys()
-                    _array_paths(x, f"{path}.", out)
-        elif isinstance(v, dict):
-            if len(v) and all(isinstance(x, dict) for x in v.values()) and len({frozenset(x) for x in v.values()}) <= len(v):
-                for x in v.values():  # perhaps a map: its elements' arrays count under the member itself
-                    _array_paths(x, f"{path}.", out)
-            _array_paths(v, f"{path}.", out)
+#: More names than this with objects under them, over all records, are keys of a map and no members.
+MAP_KEYS = 64
+#: Stand in a path around a name that may be a map's key.
+_KEY, _END = "\x01", "\x02"
+
+
+class ArrayPaths:
+    """Paths of the arrays met, with the names of their elements' members, and of objects that may be maps with their keys."""
+
+    def __init__(self):
+        self.arrays: dict[str, set[str]] = {}
+        self.maybe: dict[str, set[str]] = {}
+        self.elements: dict[str, set[str]] = {}
+
+    def add(self, o: dict, prefix: str = "") -> None:
+        for k, v in o.items():
+            if not isinstance(v, list | dict) or not v:
+                if isinstance(v, list):
+                    self.arrays.setdefault(f"{prefix}{k}", set())
+                continue
+            path = f"{prefix}{k}"
+            if isinstance(v, list):
+                names = self.arrays.setdefault(path, set())
+                for x in v:
+                    if isinstance(x, dict):
+                        names.update(x)
+                        self.add(x, f"{path}.")
+            elif all(isinstance(x, dict) for x in v.values()):
+                keys, names = self.maybe.setdefault(path, set()), self.elements.setdefault(path, set())
+                if path not in self.arrays and len(keys) <= MAP_KEYS:
+                    keys.update(v)
+                known = path in self.arrays or len(keys) > MAP_KEYS
+                for key, x in v.items():
+                    names.update(x)
+                    self.add(x, f"{path}." if known else f"{path}{_KEY}{key}{_END}.")
+            else:
+                self.add(v, f"{path}.")
+
+    def maps(self) -> set[str]:
+        return {p for p, keys in self.maybe.items() if _KEY not in p and (p in self.arrays or len(keys) > MAP_KEYS)}
+
+    def resolved(self) -> ArrayPaths:
+        """The same with the keys of known maps dropped from the paths, and those of plain objects left as they are."""
+        out, maps = self, self.maps()
+        while True:
+            nxt = ArrayPaths()
+            for kind in ("arrays", "maybe", "elements"):
+                for p, v in getattr(out, kind).items():
+                    getattr(nxt, kind).setdefault(_without_keys(p, maps), set()).update(v)
+            new = nxt.maps()
+            if new == maps:
+                return nxt
+            out, maps = nxt, new
+
+
+def _without_keys(path: str, maps: set[str]) -> str:
+    """The path without the names that follow one of the maps."""
+    at = path.find(_KEY)
+    while at >= 0:
+        if path[:at] in maps:
+            path = path[:at] + path[path.index(_END, at) + 1 :]
+            at = path.find(_KEY, at)
+        else:
+            at = path.find(_KEY, at + 1)
+    return path
 
 
 def repeated_members(df: DataFrame, column: str, envelopes: Iterable[str] = ENVELOPES) -> dict[str, set[str]]:
-    """Path -> names of the elements' members, of all members that are arrays in some record. As large as the schema, not the data."""
+    """Path -> names of the elements' members, of all members that are repeated in some record. As large as the schema, not the data: each task gives at most ``MAP_KEYS`` + 1 names under an object, and objects that other tasks know as maps are put together without their keys before they are collected."""
     env = tuple(envelopes)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, set[str]] = {}
+        found = ArrayPaths()
         for b in batches:
             for t in b.column(0).to_pylist():
                 o = _object(t, env)
                 if o is not None:
-                    _array_paths(o, "", found)
-        yield pa.record_batch([pa.array(list(found), pa.string()), pa.array([sorted(v) for v in found.values()], pa.list_(pa.string()))], names=["path", "names"])
-
-    rows = df.select(column).mapInArrow(scan, "path string, names array<string>").groupBy("path").agg(F.array_distinct(F.flatten(F.collect_list("names"))).alias("names"), F.count("*").alias("n")).collect()
-    # paths inside maps carry the map's keys as a name; they only count where the same path without the key exists
-    return {r["path"]: set(r["names"]) for r in rows}
+                    found.add(o)
+        found = found.resolved()
+        rows = [(kind, p, sorted(v)) for kind in ("arrays", "maybe", "elements") for p, v in getattr(found, kind).items()]
+        cols = list(zip(*rows, strict=True)) if rows else [(), (), ()]
+        yield pa.record_batch([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.list_(pa.string()))], names=["kind", "path", "names"])
+
+    rows = stored(df.select(column).mapInArrow(scan, "kind string, path string, names array<string>"), "members")
+    # maps that some task knows, without keys above them; then all rows with these maps' keys dropped
+    names = F.slice(F.array_distinct(F.flatten(F.collect_list("names"))), 1, MAP_KEYS + 1)
+    plain = rows.filter(~F.col("path").contains(_KEY)).groupBy("kind", "path").agg(names.alias("names")).collect()
+    arrays = {r["path"] for r in plain if r["kind"] == "arrays"}
+    maps = {r["path"] for r in plain if r["kind"] == "maybe" and (r["path"] in arrays or len(r["names"]) > MAP_KEYS)}
+    path = F.col("path")
+    for m in sorted(maps):
+        path = F.regexp_replace(path, f"^{re.escape(m)}{_KEY}[^{_END}]*{_END}", m.replace("\\", "\\\\").replace("$", "\\$"))
+    found = ArrayPaths()
+    for r in rows.select("kind", path.alias("path"), "names").groupBy("kind", "path").agg(F.array_distinct(F.flatten(F.collect_list("names"))).alias("names")).collect():
+        getattr(found, r["kind"]).setdefault(r["path"], set()).update(r["names"])
+    found = found.resolved()
+    out = {p.replace(_KEY, ".").replace(_END, ""): v for p, v in found.arrays.items()}
+    for m in found.maps():
+        out.setdefault(m, set()).update(found.elements.get(m, ()))
+    return out
 
 
 def label(o: dict, repeated: dict[str, set[str]]) -> Iterator[tuple[list[int], str, str | None, dict[str, str | None]]]:
@@ -125,14 +196,15 @@ def label(o: dict, repeated: dict[str, set[str]]) -> Iterator[tuple[list[int], s
     yield from visit(o, [], "", None)
 
 
-def shred(df: DataFrame, key: str = "record_id", column: str = "record_json", envelopes: Iterable[str] = ENVELOPES) -> DataFrame:
+def shred(df: DataFrame, key: str = "record_id", column: str = "record_json", envelopes: Iterable[str] = ENVELOPES, tables: Iterable[str] | None = None) -> DataFrame:
     """Nodes of all records: ``key``, ``label``, ``parent`` (null for the record itself), ``table``, ``ordinal``, ``map_key``, ``fields``.
 
     The ordinal counts from 1 within the parent's list; labels hold, for each
     step, which list and which element. One scan for the repeated members, one
-    for the labels; no shuffle of the data.
+    for the labels; no shuffle of the data. ``tables`` are the schema paths that
+    are wanted; the others are labelled but not given out.
     """
-    env = tuple(envelopes)
+    env, wanted = tuple(envelopes), None if tables is None else frozenset(tables)
     repeated = repeated_members(df, column, env)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,6 +215,8 @@ def shred(df: DataFrame, key: str = "record_id", column: str = "record_json", en
                 if o is None:
                     continue
                 for at, path, k, f in label(o, repeated):
+                    if wanted is not None and path not in wanted:
+                        continue
                     ids.append(i)
                     labels.append(at)
                     tables.append(path)
@@ -176,12 +250,22 @@ def tables(nodes: DataFrame) -> dict[str, list[str]]:
 
 
 def page_warnings(records: DataFrame) -> DataFrame:
-    """p3_found: record_id, page_number, attempt_no, warning_no of each warning of each attempt; zeros where there are none."""
-    nodes = stored(shred(records.select("record_id", "record_json")), "nodes")
-    pages = nodes.filter("table = 'pages'").select("record_id", F.col("label").alias("page"), F.try_element_at("fields", F.lit("page_number")).cast("int").alias("page_number"))
-    attempts = nodes.filter("table = 'pages.attempts'").select("record_id", F.col("parent").alias("page"), F.col("label").alias("attempt"), F.col("ordinal").alias("attempt_no"))
-    warnings = nodes.filter("table = 'pages.attempts.warnings'").select("record_id", F.col("parent").alias("attempt"), F.col("ordinal").alias("warning_no"))
-    return (
-        pages.join(attempts, ["record_id", "page"], "left").join(warnings, ["record_id", "attempt"], "left")
-        .select("record_id", "page_number", F.coalesce("attempt_no", F.lit(0)).alias("attempt_no"), F.coalesce("warning_no", F.lit(0)).alias("warning_no"))
-    )
+    """p3_found: record_id, page_number, attempt_no, warning_no of each warning of each attempt; zeros where there are none.
+
+    The label of a warning holds its page and attempt, so parents are found by
+    truncation and no table is joined: one shuffle of narrow rows by record.
+    """
+    nodes = shred(records.select("record_id", "record_json"), tables=("pages", "pages.attempts", "pages.attempts.warnings"))
+    steps = F.split("label", r"\.")
+    step = lambda i: F.coalesce(F.try_element_at(steps, F.lit(i)).cast("int"), F.lit(0))
+    rows = nodes.select(
+        "record_id", F.array_join(F.slice(steps, 1, 2), ".").alias("page"), step(4).alias("attempt_no"), step(6).alias("warning_no"),
+        F.when(F.col("table") == "pages", F.try_element_at("fields", F.lit("page_number")).cast("int")).alias("page_number"),
+    ).repartition("record_id")
+    attempts = rows.groupBy("record_id", "page", "attempt_no").agg(F.max("page_number").alias("page_number"), F.max("warning_no").alias("n"))
+    pages = attempts.groupBy("record_id", "page").agg(F.max("page_number").alias("page_number"), F.sort_array(F.collect_list(F.struct("attempt_no", "n"))).alias("a"))
+    # the page's own row has attempt 0: it stands only where there is no other
+    own = F.when(F.size("a") > 1, F.slice("a", 2, F.size("a"))).otherwise(F.col("a"))
+    each = pages.select("record_id", "page_number", F.explode(own).alias("x"))
+    numbers = F.when(F.col("x.n") > 0, F.sequence(F.lit(1), F.col("x.n"))).otherwise(F.array(F.lit(0)))
+    return each.select("record_id", "page_number", F.col("x.attempt_no").alias("attempt_no"), F.explode(numbers).alias("warning_no"))

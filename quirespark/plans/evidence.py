@@ -34,16 +34,17 @@ def rerun_plan(s: SparkSession, d: str) -> DataFrame:
 def stage_accounting(s: SparkSession, d: str) -> DataFrame:
     """Every configured stage with its readings and pages, and why there are none."""
     stages = s.createDataFrame([(i, x) for i, x in enumerate(STAGES)], "position bigint, stage string")
-    n = base(s, d).groupBy("stage").agg(F.count("*").alias("readings"), F.count_distinct("job_id", "page_id").alias("n_pages"))
+    n = base(s, d, "stage", "job_id", "page_id").groupBy("stage").agg(F.count("*").alias("readings"), F.count_distinct("job_id", "page_id").alias("n_pages"))
     return stages.join(n, "stage", "left").fillna(0, ["readings", "n_pages"]).withColumn("reason", F.when(F.col("readings") == 0, "not_run").otherwise(""))
 
 
 def declared_language(s: SparkSession, d: str) -> DataFrame:
     """Readings of 200 letters or more of which under half are of the declared language's script."""
-    r = base(s, d).select("reading_id", F.lower("lang").alias("lang"), F.coalesce("content", F.lit("")).alias("t"))
-    cyrillic = F.col("lang").isin("rus", "ru", "russian", "orus", "ukr", "uk", "ukrainian")
-    letters, share = X.count(F.col("t"), r"\p{L}"), X.count(F.col("t"), r"\p{IsCyrillic}")
-    out = r.filter("lang IS NOT NULL AND lang NOT IN ('', ' ', 'und', 'osd', 'unknown') AND NOT contains(lang, '+')").select("reading_id", "lang", letters.alias("letters"), F.when(cyrillic, share).otherwise(X.count(F.col("t"), r"\p{IsLatin}")).alias("own"))
+    lang, t = F.lower("lang"), F.coalesce("content", F.lit(""))
+    cyrillic = lang.isin("rus", "ru", "russian", "orus", "ukr", "uk", "ukrainian")
+    own = F.when(cyrillic, X.count(t, r"\p{IsCyrillic}")).otherwise(X.count(t, r"\p{IsLatin}"))
+    r = base(s, d, lang.alias("lang"), X.count(t, r"\p{L}").alias("letters"), own.alias("own"))
+    out = r.filter("lang IS NOT NULL AND lang NOT IN ('', ' ', 'und', 'osd', 'unknown') AND NOT contains(lang, '+')")
     return out.filter((F.col("letters") >= 200) & (F.col("own") < 0.5 * F.col("letters")))
 
 
@@ -78,7 +79,7 @@ def _lines(df: DataFrame, text: str, name: str) -> DataFrame:
 def trigram_candidates(s: SparkSession, d: str, k: int = 3) -> DataFrame:
     """For each line of a page's selected text, the lines of its latest scan reading that share most trigrams."""
     ref = _lines(pages(s, d).select("job_id", "page_id", F.col("selected_output.text").alias("t")), "t", "ref")
-    last = O.latest(base(s, d).filter("stage = 'local_ocr'"), ["job_id", "page_id"], [F.desc("extracted_at"), F.desc("reading_id")])
+    last = O.latest(base(s, d, "job_id", "page_id", "stage", "extracted_at", "content").filter("stage = 'local_ocr'"), ["job_id", "page_id"], [F.desc("extracted_at"), F.desc("reading_id")])
     got = _lines(last.select("job_id", "page_id", F.col("content").alias("t")), "t", "got")
     a = ref.select("job_id", "page_id", "ref_no", F.explode(A.trigrams(F.col("ref_line"))).alias("g"))
     b = got.select("job_id", "page_id", "got_no", F.explode(A.trigrams(F.col("got_line"))).alias("g"))
@@ -90,7 +91,7 @@ def trigram_candidates(s: SparkSession, d: str, k: int = 3) -> DataFrame:
 def matched_lines(s: SparkSession, d: str) -> DataFrame:
     """The best candidate of each line, aligned: edits of the nearest stretch, and whether the line is missing (over half)."""
     ref = _lines(pages(s, d).select("job_id", "page_id", F.col("selected_output.text").alias("t")), "t", "ref")
-    last = O.latest(base(s, d).filter("stage = 'local_ocr'"), ["job_id", "page_id"], [F.desc("extracted_at"), F.desc("reading_id")])
+    last = O.latest(base(s, d, "job_id", "page_id", "stage", "extracted_at", "content").filter("stage = 'local_ocr'"), ["job_id", "page_id"], [F.desc("extracted_at"), F.desc("reading_id")])
     got = _lines(last.select("job_id", "page_id", F.col("content").alias("t")), "t", "got")
     best = trigram_candidates(s, d, 1).select("job_id", "page_id", "ref_no", "got_no")
     j = best.join(ref, ["job_id", "page_id", "ref_no"]).join(got, ["job_id", "page_id", "got_no"])
@@ -100,7 +101,7 @@ def matched_lines(s: SparkSession, d: str) -> DataFrame:
 
 def numbers_found(s: SparkSession, d: str) -> DataFrame:
     """Of a page's numbers in its selected text, how many its latest scan reading holds too."""
-    last = O.latest(base(s, d).filter("stage = 'local_ocr'"), ["job_id", "page_id"], [F.desc("extracted_at"), F.desc("reading_id")]).select("job_id", "page_id", F.array_distinct(F.regexp_extract_all(F.coalesce("content", F.lit("")), F.lit(r"([0-9]+)"), 1)).alias("g"))
+    last = O.latest(base(s, d, "job_id", "page_id", "stage", "extracted_at", "content").filter("stage = 'local_ocr'"), ["job_id", "page_id"], [F.desc("extracted_at"), F.desc("reading_id")]).select("job_id", "page_id", F.array_distinct(F.regexp_extract_all(F.coalesce("content", F.lit("")), F.lit(r"([0-9]+)"), 1)).alias("g"))
     ref = pages(s, d).select("job_id", "page_id", F.array_distinct(F.regexp_extract_all(F.coalesce("selected_output.text", F.lit("")), F.lit(r"([0-9]+)"), 1)).alias("r"))
     return ref.join(last, ["job_id", "page_id"]).select("job_id", "page_id", F.size("r").cast("bigint").alias("n_numbers"), F.size(F.array_intersect("r", "g")).cast("bigint").alias("n_found"))
 

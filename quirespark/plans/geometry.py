@@ -55,7 +55,7 @@ def reading_order(s: SparkSession, d: str) -> DataFrame:
 
 
 def _pairs(s: SparkSession, d: str) -> DataFrame:
-    last = O.latest(base(s, d).filter("content IS NOT NULL"), ["job_id", "page_id", "stage"], [F.desc("extracted_at"), F.desc("reading_id")]).select("job_id", "page_id", "stage", "content")
+    last = O.latest(base(s, d, "job_id", "page_id", "stage", "extracted_at", "content").filter("content IS NOT NULL"), ["job_id", "page_id", "stage"], [F.desc("extracted_at"), F.desc("reading_id")]).select("job_id", "page_id", "stage", "content")
     ref = pages(s, d).filter("selected_output.text IS NOT NULL").select("job_id", "page_id", "selected_stage", F.col("selected_output.text").alias("ref"))
     return last.join(ref, ["job_id", "page_id"]).filter("stage != selected_stage")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -14,10 +14,10 @@ BASE = """(SELECT * FROM readings QUALIFY row_number() OVER (PARTITION BY readin
 CAP = 2000
 
 
-def base(s: SparkSession, d: str) -> DataFrame:
-    """Each reading once, as it came first."""
-    r = s.read.parquet(f"{d}/readings.parquet")
-    return r.groupBy("reading_id").agg(F.min_by(F.struct(*[c for c in r.columns if c != "reading_id"]), "ingested_at").alias("r")).select("reading_id", "r.*")
+def base(s: SparkSession, d: str, *columns: str | Column) -> DataFrame:
+    """Each reading once, as it came first: ``reading_id`` and ``columns``, computed in the scan, so that only they are read and shuffled."""
+    r = s.read.parquet(f"{d}/readings.parquet").select("reading_id", "ingested_at", *columns)
+    return r.groupBy("reading_id").agg(F.min_by(F.struct(*r.columns[2:]), "ingested_at").alias("r")).select("reading_id", "r.*")
 
 
 def pages(s: SparkSession, d: str) -> DataFrame:
@@ -29,7 +29,7 @@ PAGES = "(SELECT * FROM page_results QUALIFY row_number() OVER (PARTITION BY job
 
 def cost_rollup(s: SparkSession, d: str) -> DataFrame:
     """Usage by adapter and by stage in one pass: sums, and whether every reading's is known."""
-    df = base(s, d).select("adapter", "stage", "usage")
+    df = base(s, d, "adapter", "stage", "usage")
     return df.groupingSets([["adapter"], ["stage"]], "adapter", "stage").agg(
         F.count("*").alias("n_pages"), F.sum("usage.tokens").alias("tokens"), F.round(F.sum("usage.compute_seconds"), 3).alias("seconds"), F.round(F.sum("usage.cost_usd"), 8).alias("cost"),
         F.coalesce(F.bool_and(F.col("usage.cost_usd").isNotNull()), F.lit(False)).alias("cost_known"),
@@ -38,33 +38,33 @@ def cost_rollup(s: SparkSession, d: str) -> DataFrame:
 
 def usage_summed(s: SparkSession, d: str) -> DataFrame:
     """A job's tokens, null unless every reading reported them, and the basis of its costs."""
-    df = base(s, d)
+    df = base(s, d, "job_id", "usage")
     t, c = F.col("usage.tokens"), F.col("usage.cost_usd")
     basis = F.when(F.count(c) == 0, "none").when(F.count(c) == F.count("*"), "reported").otherwise("mixed")
     return df.groupBy("job_id").agg(F.when(F.count(t) == F.count("*"), F.sum(t)).alias("tokens"), basis.alias("cost_basis"), F.count("*").alias("n_readings"))
 
 
 def budget_alerts(s: SparkSession, d: str) -> DataFrame:
-    df = base(s, d).select("job_id", "extracted_at", "reading_id", F.length("content").alias("size"))
+    df = base(s, d, "job_id", "extracted_at", F.length("content").alias("size"))
     return O.first_crossing(df, ["job_id"], ["extracted_at", "reading_id"], "size", CAP).select("job_id", "reading_id", F.col("running").cast("bigint").alias("running"))
 
 
 def budget_stop(s: SparkSession, d: str) -> DataFrame:
     """Readings a job attempts before its running size reaches the cap, and those it doesn't."""
-    df = base(s, d).select("job_id", "extracted_at", "reading_id", F.coalesce(F.length("content"), F.lit(0)).alias("size"))
+    df = base(s, d, "job_id", "extracted_at", F.coalesce(F.length("content"), F.lit(0)).alias("size"))
     t = O.running(df, ["job_id"], ["extracted_at", "reading_id"], "size").withColumn("before", F.col("running") - F.col("size"))
     return t.groupBy("job_id").agg(F.count_if(F.col("before") < CAP).alias("attempted"), F.count_if(F.col("before") >= CAP).alias("not_attempted"))
 
 
 def circuit_breaker(s: SparkSession, d: str) -> DataFrame:
     """Three readings without text on end, in the order of a job's extraction."""
-    df = base(s, d).select("job_id", "extracted_at", "reading_id", "content")
-    flagged = F.coalesce(F.trim(F.regexp_replace("content", r"\s", "")) == "", F.lit(True))
-    return O.flagged_runs(df, ["job_id"], ["extracted_at", "reading_id"], flagged, 3)
+    empty = F.coalesce(F.trim(F.regexp_replace("content", r"\s", "")) == "", F.lit(True))
+    df = base(s, d, "job_id", "extracted_at", empty.alias("empty"))
+    return O.flagged_runs(df, ["job_id"], ["extracted_at", "reading_id"], F.col("empty"), 3)
 
 
 def page_runs(s: SparkSession, d: str) -> DataFrame:
-    return O.run_strings(base(s, d), ["job_id"], "page_number")
+    return O.run_strings(base(s, d, "job_id", "page_number"), ["job_id"], "page_number")
 
 
 def page_ranges(s: SparkSession, d: str) -> DataFrame:
@@ -74,12 +74,12 @@ def page_ranges(s: SparkSession, d: str) -> DataFrame:
 
 
 def latest_attempts(s: SparkSession, d: str) -> DataFrame:
-    return O.latest(base(s, d), ["job_id", "page_id", "stage"], [F.desc("extracted_at"), F.desc("reading_id")]).select("job_id", "page_id", "stage", "reading_id")
+    return O.latest(base(s, d, "job_id", "page_id", "stage", "extracted_at"), ["job_id", "page_id", "stage"], [F.desc("extracted_at"), F.desc("reading_id")]).select("job_id", "page_id", "stage", "reading_id")
 
 
 def _two(s: SparkSession, d: str) -> DataFrame:
     """A page's latest scan reading beside its latest image reading."""
-    last = O.latest(base(s, d).filter(F.col("stage").isin("local_ocr", "image")), ["job_id", "page_id", "stage"], [F.desc("extracted_at"), F.desc("reading_id")])
+    last = O.latest(base(s, d, "job_id", "page_id", "stage", "extracted_at", "content", "warnings", "confidence", "model").filter(F.col("stage").isin("local_ocr", "image")), ["job_id", "page_id", "stage"], [F.desc("extracted_at"), F.desc("reading_id")])
     side = [last.filter(F.col("stage") == st).select("job_id", "page_id", F.col("reading_id").alias(f"{n}_id"), F.col("content").alias(f"{n}_text"), F.coalesce("warnings", F.array().cast("array<string>")).alias(f"{n}_warnings"), F.col("confidence").alias(f"{n}_confidence"), F.col("model").alias(f"{n}_model")) for n, st in (("a", "local_ocr"), ("b", "image"))]
     return side[0].join(side[1], ["job_id", "page_id"], "full")
 
@@ -101,14 +101,14 @@ def compare_totals(s: SparkSession, d: str) -> DataFrame:
 
 
 def pages_only_in(s: SparkSession, d: str) -> DataFrame:
-    a, b = base(s, d).select("job_id", "page_id").distinct(), pages(s, d).select("job_id", "page_id")
+    a, b = base(s, d, "job_id", "page_id").select("job_id", "page_id").distinct(), pages(s, d).select("job_id", "page_id")
     return a.exceptAll(b).withColumn("where", F.lit("readings")).unionByName(b.exceptAll(a).withColumn("where", F.lit("page_results"))).unionByName(a.intersect(b).withColumn("where", F.lit("both"))).groupBy("where").agg(F.count("*").alias("n"))
 
 
 def short_readers(s: SparkSession, d: str) -> DataFrame:
     """Image readings of under half of the words of the page's literal readings, where those have forty or more."""
     words = F.size(F.filter(F.split(F.trim(F.regexp_replace(F.coalesce("content", F.lit("")), r"\s+", " ")), " "), lambda x: x != "")).cast("bigint")
-    df = base(s, d).select("reading_id", "job_id", "page_id", "stage", words.alias("n"))
+    df = base(s, d, "job_id", "page_id", "stage", words.alias("n"))
     df = df.withColumn("literal", F.max(F.when(F.col("stage") != "image", F.col("n"))).over(W.partitionBy("job_id", "page_id")))
     return df.filter((F.col("stage") == "image") & (F.col("literal") >= 40) & (F.col("n") < 0.5 * F.col("literal"))).select("reading_id", "n", "literal")
 
@@ -144,7 +144,7 @@ def natural_order(s: SparkSession, d: str) -> DataFrame:
 
 def source_coverage(s: SparkSession, d: str) -> DataFrame:
     """Pages of each source that were read, against its page count, by a left join."""
-    read = base(s, d).groupBy("source_key").agg(F.count_distinct("page_number").alias("pages_read"), F.max("page_number").alias("last_page"))
+    read = base(s, d, "source_key", "page_number").groupBy("source_key").agg(F.count_distinct("page_number").alias("pages_read"), F.max("page_number").alias("last_page"))
     src = s.read.parquet(f"{d}/sources.parquet").select("source_key", "page_count")
     return src.join(read, "source_key", "left").select("source_key", "page_count", F.coalesce("pages_read", F.lit(0)).cast("bigint").alias("pages_read"), F.coalesce(F.col("last_page") > F.col("page_count"), F.lit(False)).alias("beyond"))
 
@@ -153,7 +153,7 @@ def verify_pages(s: SparkSession, d: str) -> DataFrame:
     """Violations: duplicates, numbers that don't match the id, unknown pages, sources unknown or of another hash, wrong sizes and output hashes."""
     raw = s.read.parquet(f"{d}/page_results.parquet")
     p = pages(s, d)
-    known = base(s, d).select("job_id", "page_id").distinct()
+    known = base(s, d, "job_id", "page_id").select("job_id", "page_id").distinct()
     src = s.read.parquet(f"{d}/sources.parquet").select("source_key", F.col("source_sha256").alias("want"))
 
     def bad(df: DataFrame, code: str) -> DataFrame:
@@ -178,7 +178,8 @@ def verify_counts(s: SparkSession, d: str) -> DataFrame:
 
 def attempt_pairs(s: SparkSession, d: str) -> DataFrame:
     """Pairs of a page's latest readings (a page has a few stages): share of common words, and whether their numbers differ."""
-    last = O.latest(base(s, d).filter("content IS NOT NULL"), ["job_id", "page_id", "stage"], [F.desc("extracted_at"), F.desc("reading_id")])
+    own = base(s, d, "job_id", "page_id", "stage", "extracted_at", "content").filter("content IS NOT NULL")
+    last = O.latest(own, ["job_id", "page_id", "stage"], [F.desc("extracted_at"), F.desc("reading_id")])
     r = last.select("job_id", "page_id", "reading_id", F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit(r"(\p{L}+)"), 1)).alias("w"), F.array_sort(F.regexp_extract_all("content", F.lit(r"([0-9]+)"), 1)).alias("d"))
     a, b = r.select("job_id", "page_id", *[F.col(c).alias(f"a_{c}") for c in ("reading_id", "w", "d")]), r.select("job_id", "page_id", *[F.col(c).alias(f"b_{c}") for c in ("reading_id", "w", "d")])
     j = a.join(b, ["job_id", "page_id"]).filter("a_reading_id < b_reading_id")
@@ -190,7 +191,7 @@ def attempt_pairs(s: SparkSession, d: str) -> DataFrame:
 def _cer(s: SparkSession, d: str) -> DataFrame:
     """A page's selected text as reference for its latest readings by other stages, whole texts of every length. Where the latest reading is null or empty there is nothing to score; an older one doesn't stand in for it."""
     squeeze = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
-    last = O.latest(base(s, d), ["job_id", "page_id", "stage"], [F.desc("extracted_at"), F.desc("reading_id")]).filter("content != ''").select("job_id", "page_id", "stage", "content")
+    last = O.latest(base(s, d, "job_id", "page_id", "stage", "extracted_at", "content"), ["job_id", "page_id", "stage"], [F.desc("extracted_at"), F.desc("reading_id")]).filter("content != ''").select("job_id", "page_id", "stage", "content")
     ref = pages(s, d).filter("selected_output.text != ''").select("job_id", "page_id", "selected_stage", F.col("selected_output.text").alias("ref"))
     e = last.join(ref, ["job_id", "page_id"]).filter("stage != selected_stage").select("job_id", "page_id", "stage", squeeze("ref").alias("ref"), squeeze("content").alias("got")).filter("ref != ''")
     return e.select("job_id", "page_id", "stage", edit_distance("ref", "got").alias("edits"), F.length("ref").cast("bigint").alias("chars"))
@@ -211,12 +212,13 @@ def worst_pages(s: SparkSession, d: str) -> DataFrame:
 
 def historical_counts(s: SparkSession, d: str) -> DataFrame:
     """Old letters of each source's readings."""
-    return base(s, d).groupBy("source_key").agg(*[F.sum(X.count(F.coalesce("content", F.lit("")), f"[{c}]")).alias(n) for n, c in (("yat", "ѣѢ"), ("dotted_i", "іІ"), ("fita", "ѳѲ"), ("izhitsa", "ѵѴ"))])
+    counts = [X.count(F.coalesce("content", F.lit("")), f"[{c}]").alias(n) for n, c in (("yat", "ѣѢ"), ("dotted_i", "іІ"), ("fita", "ѳѲ"), ("izhitsa", "ѵѴ"))]
+    return base(s, d, "source_key", *counts).groupBy("source_key").agg(*[F.sum(n).alias(n) for n in ("yat", "dotted_i", "fita", "izhitsa")])
 
 
 def word_changes(s: SparkSession, d: str) -> DataFrame:
     """Words of a page's selected text against its latest scan reading as bags: kept, added, removed."""
-    last = O.latest(base(s, d).filter("stage = 'local_ocr' AND content IS NOT NULL"), ["job_id", "page_id"], [F.desc("extracted_at"), F.desc("reading_id")])
+    last = O.latest(base(s, d, "job_id", "page_id", "stage", "extracted_at", "content").filter("stage = 'local_ocr' AND content IS NOT NULL"), ["job_id", "page_id"], [F.desc("extracted_at"), F.desc("reading_id")])
     words = lambda c: F.explode(F.regexp_extract_all(F.lower(c), F.lit(r"(\p{L}+)"), 1)).alias("w")
     a = last.select("job_id", "page_id", words("content")).groupBy("job_id", "page_id", "w").agg(F.count("*").alias("a"))
     b = pages(s, d).filter("selected_output.text IS NOT NULL").select("job_id", "page_id", words("selected_output.text")).groupBy("job_id", "page_id", "w").agg(F.count("*").alias("b"))

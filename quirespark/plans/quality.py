@@ -13,9 +13,26 @@ READS = """(SELECT reading_id, any_value(job_id) job_id, any_value(page_id) page
  any_value(adapter) adapter, any_value(result_format) result_format, any_value(content) AS content, any_value(confidence) confidence FROM readings GROUP BY reading_id)"""
 
 
-def reads(s: SparkSession, d: str, *more: str) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its input has fewer splits than these, as small files have; larger inputs stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def raw(s: SparkSession, d: str, *more: str) -> DataFrame:
+    """Readings as delivered, some twice: for measures that are taken in the scan."""
     cols = ("reading_id", "job_id", "page_id", "page_number", "source_key", "stage", "adapter", "result_format", "content", "confidence", *more)
-    return s.read.parquet(f"{d}/readings.parquet").select(*cols).dropDuplicates(["reading_id"])
+    return spread(s.read.parquet(f"{d}/readings.parquet").select(*cols))
+
+
+def once(measured: DataFrame) -> DataFrame:
+    """Each reading once: duplicates are dropped from the narrow rows, after the measures."""
+    return measured.dropDuplicates(["reading_id"])
+
+
+def reads(s: SparkSession, d: str, *more: str) -> DataFrame:
+    """Each reading once with its content."""
+    return once(raw(s, d, *more))
 
 
 def with_metrics(df: DataFrame) -> DataFrame:
@@ -35,41 +52,43 @@ def quality(df: DataFrame) -> DataFrame:
 
 
 def text_metrics(s: SparkSession, d: str) -> DataFrame:
-    return with_metrics(reads(s, d)).select("reading_id", *METRICS)
+    return once(with_metrics(raw(s, d)).select("reading_id", *METRICS))
 
 
 def quality_warnings(s: SparkSession, d: str) -> DataFrame:
-    return quality(reads(s, d)).select("reading_id", F.array_join("quality_warnings", ";").alias("warnings"))
+    return once(quality(raw(s, d)).select("reading_id", F.array_join("quality_warnings", ";").alias("warnings")))
 
 
 def structural_classify(s: SparkSession, d: str) -> DataFrame:
-    return quality(reads(s, d)).select("reading_id", "page_type", "type_confidence", "type_reason", "pipe_line_ratio", "column_line_ratio", "digit_ratio")
+    return once(quality(raw(s, d)).select("reading_id", "page_type", "type_confidence", "type_reason", "pipe_line_ratio", "column_line_ratio", "digit_ratio"))
 
 
 def page_quality(s: SparkSession, d: str) -> DataFrame:
     """Flagship: number of readings, warnings and mean measures by stage, page type and grade."""
-    return quality(reads(s, d)).groupBy("stage", "page_type", "grade").agg(
-        F.count("*").alias("n_readings"), F.sum(F.size("quality_warnings")).cast("bigint").alias("n_warnings"), F.sum("token_count").alias("n_tokens"),
+    q = once(quality(raw(s, d)).select("reading_id", "stage", "page_type", "grade", F.size("quality_warnings").alias("n_warnings"), "token_count", "suspicious_ratio"))
+    return q.groupBy("stage", "page_type", "grade").agg(
+        F.count("*").alias("n_readings"), F.sum("n_warnings").cast("bigint").alias("n_warnings"), F.sum("token_count").alias("n_tokens"),
         F.round(F.avg("suspicious_ratio"), 6).alias("mean_suspicious"),
     )
 
 
 def grade_distribution(s: SparkSession, d: str) -> DataFrame:
     """Zero-filled counts of each grade, by whether the reading has a confidence."""
-    graded = quality(reads(s, d)).withColumn("basis", F.when(F.col("confidence").isNull(), "warnings_only").otherwise("with_confidence"))
+    graded = once(quality(raw(s, d)).select("reading_id", "grade", "confidence")).withColumn("basis", F.when(F.col("confidence").isNull(), "warnings_only").otherwise("with_confidence"))
     return graded.groupBy("basis").agg(*[F.count_if(F.col("grade") == g).alias(f"grade_{g.lower()}") for g in "ABCDF"])
 
 
 def routes(s: SparkSession, d: str) -> DataFrame:
     """Route of each page: read tables as tables, leave blanks, a person for what is unsure."""
-    q = quality(reads(s, d))
+    q = once(quality(raw(s, d)).select("reading_id", "page_type", "type_confidence"))
     action = F.when(F.col("type_confidence").isNull() | (F.col("type_confidence") < 0.65), "review").when(F.col("page_type") == "blank", "skip").when(F.col("page_type") == "table_likely", "extract_table").otherwise("extract_text")
     return q.select("reading_id", "page_type", action.alias("action"))
 
 
 def rule_lines(s: SparkSession, d: str) -> DataFrame:
-    line = F.explode(X.lines(F.coalesce("content", F.lit("")))).alias("line")
-    return reads(s, d).select("reading_id", line).groupBy("reading_id").agg(F.count_if(F.col("line").rlike(X.RULE_LINE) & F.col("line").rlike(r"\S")).alias("rule_lines"), F.count_if(F.col("line").rlike(r"\S")).alias("full_lines"))
+    full = F.filter(X.lines(F.coalesce("content", F.lit(""))), lambda x: x.rlike(r"\S"))
+    n = lambda c: F.size(c).cast("bigint")
+    return once(raw(s, d).select("reading_id", full.alias("full")).select("reading_id", n(F.filter("full", lambda x: x.rlike(X.RULE_LINE))).alias("rule_lines"), n(F.col("full")).alias("full_lines")))
 
 
 def repetition_lines(s: SparkSession, d: str) -> DataFrame:
@@ -82,7 +101,7 @@ def repetition_lines(s: SparkSession, d: str) -> DataFrame:
 def repeated_page_text(s: SparkSession, d: str) -> DataFrame:
     """Short texts that stand on three pages of a job or more, blanks aside."""
     key = F.trim(F.regexp_replace("content", r"\s+", " "))
-    short = reads(s, d).withColumn("k", key).filter((F.length("k") < 200) & F.col("k").rlike(r"[\p{L}\p{N}]"))
+    short = raw(s, d).select("job_id", "page_number", key.alias("k")).filter((F.length("k") < 200) & F.col("k").rlike(r"[\p{L}\p{N}]"))
     return short.groupBy("job_id", "k").agg(F.count_distinct("page_number").alias("n_pages")).filter("n_pages >= 3")
 
 
@@ -93,7 +112,7 @@ def markers(s: SparkSession, d: str) -> DataFrame:
 
 def output_inflation(s: SparkSession, d: str) -> DataFrame:
     """Readings at least four times as long as the page's embedded text, by 1000 characters or more."""
-    r = reads(s, d).withColumn("n", F.length(F.coalesce("content", F.lit(""))))
+    r = once(raw(s, d).select("reading_id", "job_id", "page_id", "stage", F.length(F.coalesce("content", F.lit(""))).alias("n")))
     layer = r.filter("stage = 'local_text'").groupBy("job_id", "page_id").agg(F.max("n").alias("parent"))
     j = r.filter("stage != 'local_text'").join(layer, ["job_id", "page_id"])
     delta = F.col("n") - F.col("parent")
@@ -103,17 +122,18 @@ def output_inflation(s: SparkSession, d: str) -> DataFrame:
 
 def orthography(s: SparkSession, d: str) -> DataFrame:
     """Yat words, modern spelling, rejoined length and graphemes of prose readings."""
-    prose = reads(s, d).filter(F.col("result_format").isin("text", "markdown") & F.col("content").isNotNull())
-    return prose.select(
+    prose = raw(s, d).filter(F.col("result_format").isin("text", "markdown") & F.col("content").isNotNull())
+    return once(prose.select(
         "reading_id", X.yat_words(F.col("content")).alias("yat_words"), F.md5(X.modern_orthography(F.col("content"))).alias("modern_md5"),
         F.length(X.rejoin(F.col("content"))).cast("bigint").alias("rejoined_length"), F.size(X.graphemes(F.col("content"))).cast("bigint").alias("graphemes"),
-    )
+    ))
 
 
 def letters_lost(s: SparkSession, d: str) -> DataFrame:
-    """Readings that keep under a quarter of the yat words of the page's best reading."""
-    y = reads(s, d).withColumn("yat", X.yat_words(F.col("content"))).withColumn("best", F.max("yat").over(W.partitionBy("job_id", "page_id")))
-    return y.filter((F.col("best") >= 5) & (F.col("yat") < 0.25 * F.col("best"))).select("reading_id", "yat", "best")
+    """Literal readings that keep under a quarter of the yat words of the page's best literal reading, where that has ``X.YAT_WORDS_MIN``; generative readings neither lose nor set the measure."""
+    y = once(raw(s, d).select("reading_id", "job_id", "page_id", "adapter", X.yat_words(F.col("content")).alias("yat")))
+    y = y.filter(~F.col("adapter").isin(*X.GENERATIVE)).withColumn("best", F.max("yat").over(W.partitionBy("job_id", "page_id")))
+    return y.filter((F.col("best") >= X.YAT_WORDS_MIN) & (F.col("yat") < 0.25 * F.col("best"))).select("reading_id", "yat", "best")
 
 
 def roughness(s: SparkSession, d: str, least: int = 20) -> DataFrame:
@@ -190,6 +210,6 @@ ORACLES = {
     "instruction_markers": "SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN contains(lower(coalesce(text, '')), '{m}') THEN '{m}' END" for m in X.INSTRUCTION_MARKERS) + f"], lambda x: x IS NOT NULL), ';') AS markers, coalesce(regexp_matches(text, '{X.OMISSION}'), false) AS omission FROM documents WHERE len(list_filter([" + ", ".join(f"contains(lower(coalesce(text, '')), '{m}')" for m in X.INSTRUCTION_MARKERS) + f"], lambda x: x)) > 0 OR coalesce(regexp_matches(text, '{X.OMISSION}'), false)",
     "output_inflation": f"SELECT reading_id, ratio, (n - parent)::BIGINT AS delta, (n - parent) >= 1000 AND coalesce(ratio >= 4.0, true) AS inflated, coalesce(ratio < 0.5 OR ratio > 1.8, false) AS suspicious_delta FROM (SELECT r.reading_id, length(coalesce(r.content, '')) AS n, p.parent, CASE WHEN p.parent > 0 THEN round(length(coalesce(r.content, ''))::DOUBLE / p.parent, 4) END AS ratio FROM {READS} r JOIN (SELECT job_id, page_id, max(length(coalesce(content, ''))) AS parent FROM {READS} q WHERE stage = 'local_text' GROUP BY 1, 2) p USING (job_id, page_id) WHERE r.stage <> 'local_text') z",
     "orthography": rf"SELECT reading_id, {_YAT} AS yat_words, md5(regexp_replace(regexp_replace(translate(lower(content), 'ѣіѳѵ', 'еифи'), 'ъ([^\p{{L}}])', '\1', 'g'), 'ъ$', '')) AS modern_md5, length(regexp_replace(content, '(\p{{L}}\p{{M}}*)[-‐]\s*\n\s*(\p{{Ll}})', '\1\2', 'g')) AS rejoined_length, len(regexp_extract_all(content, '\P{{M}}[\p{{M}}\x{{200c}}\x{{200d}}]*')) AS graphemes FROM {READS} q WHERE result_format IN ('text', 'markdown') AND content IS NOT NULL",
-    "letters_lost": f"SELECT reading_id, yat, best FROM (SELECT reading_id, yat, max(yat) OVER (PARTITION BY job_id, page_id) AS best FROM (SELECT reading_id, job_id, page_id, {_YAT} AS yat FROM {READS} q) q1) q2 WHERE best >= 5 AND yat < 0.25 * best",
+    "letters_lost": f"SELECT reading_id, yat, best FROM (SELECT reading_id, yat, max(yat) OVER (PARTITION BY job_id, page_id) AS best FROM (SELECT reading_id, job_id, page_id, {_YAT} AS yat FROM {READS} q WHERE adapter <> 'vision') q1) q2 WHERE best >= 10 AND yat < 0.25 * best",
     "lexicon_roughness": rf"WITH per AS (SELECT reading_id, job_id, page_id, word, count(*) AS n FROM (SELECT reading_id, job_id, page_id, unnest(regexp_extract_all(lower(content), '\p{{L}}{{3,}}')) AS word FROM {READS} q WHERE result_format IN ('text', 'markdown')) q1 GROUP BY ALL), lex AS (SELECT word FROM (SELECT DISTINCT word, job_id, page_id FROM per) GROUP BY word HAVING count(*) >= 10) SELECT reading_id, sum(n)::BIGINT AS n_words, round(sum(CASE WHEN lex.word IS NULL THEN 0 ELSE n END)::DOUBLE / sum(n), 4) AS known_share FROM per LEFT JOIN lex USING (word) GROUP BY 1 HAVING sum(n) >= 20",
 }

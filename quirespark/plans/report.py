@@ -20,13 +20,13 @@ TERMS = ("salt office", "archivist", "bureau du sel", "соляной конто
 
 def warning_notes(s: SparkSession, d: str) -> DataFrame:
     """Each warning with its readings, jobs and pages."""
-    w = base(s, d).select("job_id", "page_number", F.explode("warnings").alias("code")).filter("code IS NOT NULL")
+    w = base(s, d, "job_id", "page_number", "warnings").select("job_id", "page_number", F.explode("warnings").alias("code")).filter("code IS NOT NULL")
     return w.groupBy("code").agg(F.count("*").alias("n_readings"), F.count_distinct("job_id").alias("n_jobs"), F.count_distinct("job_id", "page_number").alias("n_pages"))
 
 
 def warning_pages(s: SparkSession, d: str) -> DataFrame:
     """Pages of each warning of a job as run strings."""
-    w = base(s, d).select("job_id", F.explode("warnings").alias("code"), "page_number").filter("code IS NOT NULL")
+    w = base(s, d, "job_id", "page_number", "warnings").select("job_id", F.explode("warnings").alias("code"), "page_number").filter("code IS NOT NULL")
     return O.run_strings(w, ["job_id", "code"], "page_number")
 
 
@@ -41,8 +41,9 @@ def _term(t: str) -> str:
 
 def term_filter(s: SparkSession, d: str) -> DataFrame:
     """Readings that hold each term as whole words, case and blanks aside."""
-    r = base(s, d).select(F.coalesce("content", F.lit("")).alias("t"))
-    return r.agg(*[F.count_if(F.col("t").rlike(_term(t))).alias(f"term_{i}") for i, t in enumerate(TERMS)])
+    t = F.coalesce("content", F.lit(""))
+    r = base(s, d, *[t.rlike(_term(x)).alias(f"term_{i}") for i, x in enumerate(TERMS)])
+    return r.agg(*[F.count_if(f"term_{i}").alias(f"term_{i}") for i in range(len(TERMS))])
 
 
 def dispositions(s: SparkSession, d: str) -> DataFrame:
@@ -56,13 +57,15 @@ def dispositions(s: SparkSession, d: str) -> DataFrame:
 def select_reading(s: SparkSession, d: str) -> DataFrame:
     """A page's reading: the first without warnings in the order of stages, else fewest warnings, then most sure; readings without text aside."""
     at = F.create_map(*[F.lit(x) for i, n in enumerate(STAGE_ORDER) for x in (n, i)])
-    r = base(s, d).filter(F.coalesce(F.col("content"), F.lit("")).rlike(r"\S")).withColumn("n", F.coalesce(F.size("warnings"), F.lit(0))).withColumn("o", F.try_element_at(at, F.col("stage")))
+    full = F.coalesce(F.col("content"), F.lit("")).rlike(r"\S").alias("full")
+    n = F.greatest(F.coalesce(F.size("warnings"), F.lit(0)), F.lit(0))
+    r = base(s, d, "job_id", "page_id", "stage", "confidence", full, n.alias("n")).filter("full").withColumn("o", F.try_element_at(at, F.col("stage")))
     return O.latest(r, ["job_id", "page_id"], [F.asc("n"), F.when(F.col("n") == 0, F.col("o")).otherwise(0).asc(), F.desc_nulls_last("confidence"), F.asc("o"), F.asc("reading_id")]).select("job_id", "page_id", "reading_id", "stage")
 
 
 def missing_pages(s: SparkSession, d: str) -> DataFrame:
     """Pages between a job's first and last that have no reading."""
-    have = base(s, d).filter("page_number IS NOT NULL").select("job_id", "page_number").distinct()
+    have = base(s, d, "job_id", "page_number").filter("page_number IS NOT NULL").select("job_id", "page_number").distinct()
     span = have.groupBy("job_id").agg(F.min("page_number").alias("a"), F.max("page_number").alias("b"))
     want = span.select("job_id", F.explode(F.sequence("a", "b")).alias("page_number"))
     return want.join(have, ["job_id", "page_number"], "left_anti")
@@ -75,15 +78,15 @@ def changed_pages_top(s: SparkSession, d: str) -> DataFrame:
 def verify_readings(s: SparkSession, d: str) -> DataFrame:
     """Faults of readings: one id with two contents, numbers that don't match the id, values out of range, ingested before extracted, unknown sources."""
     raw = s.read.parquet(f"{d}/readings.parquet")
-    b = base(s, d)
+    b = base(s, d, "page_id", "page_number", "confidence", "usage", "extracted_at", "source_key", F.col("ingested_at").alias("first_ingested"))
     src = s.read.parquet(f"{d}/sources.parquet").select("source_key")
     bad = lambda df, code: df.select(F.lit(code).alias("code"), "reading_id")
     return (
-        bad(raw.groupBy("reading_id").agg(F.count_distinct("content").alias("n")).filter("n > 1"), "content_conflict")
+        bad(raw.groupBy("reading_id").agg(F.count_distinct(F.md5("content")).alias("n")).filter("n > 1"), "content_conflict")
         .unionByName(bad(b.filter(F.regexp_extract("page_id", r"(\d+)$", 1).cast("int") != F.col("page_number")), "page_number_mismatch"))
         .unionByName(bad(b.filter("confidence < 0 OR confidence > 1"), "confidence_out_of_range"))
         .unionByName(bad(b.filter("usage.tokens < 0 OR usage.compute_seconds < 0 OR usage.cost_usd < 0"), "usage_negative"))
-        .unionByName(bad(b.filter("ingested_at < extracted_at"), "time_order"))
+        .unionByName(bad(b.filter("first_ingested < extracted_at"), "time_order"))
         .unionByName(bad(b.join(src, "source_key", "left_anti"), "unknown_source"))
     )
 

@@ -26,6 +26,19 @@ def test_parent_links_and_map_keys(spark):
     assert attempts.count() == 4 and nested.tables(nodes)["pages.attempts"] == ["stage"]
 
 
+def test_map_keys_never_become_names(spark):
+    element = {"page_number": 1, "attempts": [{"stage": "a", "warnings": ["x"]}]}
+    rows = [(i, json.dumps({"pages": {f"page_{i}_{k}": element for k in range(5)}, "kept": {"one": {"list": [1]}, "two": {"list": [2]}}, "by_id": {f"id{i}.{k}": {"parts": [{"n": k}]} for k in range(10)}})) for i in range(40)]
+    rows += [(100 + i, json.dumps({"pages": [element, {"page_number": 2, "attempts": []}]})) for i in range(3)]
+    df = spark.createDataFrame(rows, "record_id long, record_json string").repartition(7)
+    repeated = nested.repeated_members(df, "record_json")
+    assert set(repeated) == {"pages", "pages.attempts", "pages.attempts.warnings", "kept.one.list", "kept.two.list", "by_id", "by_id.parts"}
+    assert repeated["pages"] == {"page_number", "attempts"} and repeated["by_id"] == {"parts"}
+    got = nested.shred(df)
+    assert got.filter("table = 'by_id'").count() == 400 and got.filter("table = 'pages.attempts'").count() == 203
+    assert nested.page_warnings(df).count() == 40 * 5 + 3 * 2
+
+
 def test_shred_of_no_rows(spark):
     assert nested.page_warnings(spark.createDataFrame([], "record_id long, record_json string")).count() == 0
 
@@ -65,6 +78,21 @@ def test_unified_shape(spark):
     assert rows[0]["schema__v"] == "1" and rows[4]["schema__v"] == "2"
 
 
+def test_renames_of_other_producers_lose_no_value(spark):
+    f = [line(1, 1, 1, {"job_id": "a", "x": "1"}), line(1, 2, 1, {"job_id": "a", "y": "1"}), line(2, 1, 1, {"job_id": "b", "y": "2"}), line(2, 2, 1, {"job_id": "b", "z": "2"}), line(3, 1, 1, {"job_id": "c", "x": "3", "z": "4"})]
+    rows = drift.unify(spark.createDataFrame(f, SCHEMA)).collect()
+    values = sorted(v for r in rows for k, v in r.asDict().items() if k in ("x", "y", "z") and v is not None)
+    assert values == ["1", "1", "2", "2", "3", "4"]
+
+
+def test_whole_numbers_are_kept(spark):
+    f = [line(1, 1, 1, {"job_id": "a", "n": 9007199254740993, "d": 0.1, "e": 1e300, "w": 3}), line(1, 1, 2, {"job_id": "b", "n": 1, "d": 2, "e": 1, "w": 4})]
+    df = drift.unify(spark.createDataFrame(f, SCHEMA))
+    kinds = dict(df.dtypes)
+    assert kinds["n"] == kinds["w"] == "bigint" and kinds["d"] == "decimal(38,20)" and kinds["e"] == "double"
+    assert df.filter("line_no = 1").first()["n"] == 9007199254740993
+
+
 def test_lattice_and_no_rows(spark):
     assert drift.promote("number", "boolean") == "string" and drift.promote("array", "number") == "array"
     assert drift.found(spark.createDataFrame([], SCHEMA)).count() == 0
