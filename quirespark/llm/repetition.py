@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quirespark.llm.encoding import repaired
-from quirespark.session import shared_dir, stored
+from quirespark.session import discard, kept_until_exit, shared_dir, stored
 
 CACHE = 0.5
 #: Share of its words that a repeating text says again.
@@ -253,12 +253,14 @@ def train_from(partial: DataFrame, order: int = 3, kinds: tuple[int, ...] = (WOR
         )
         parts |= {BIGRAM: p2, TRIGRAM: p3, BIGRAM_BACKOFF: c3.select(F.col("ctx").alias("key"), F.col("gamma").alias("p"))}
     shards = max(1, -(-grams.count() // SHARD_ROWS))
-    model = Model(f"{shared_dir(grams.sparkSession)}/kn-{uuid.uuid4().hex}", (shards - 1).bit_length())
+    spark = grams.sparkSession
+    model = Model(kept_until_exit(spark, f"{shared_dir(spark)}/kn-{uuid.uuid4().hex}"), (shards - 1).bit_length())
     rows = None
     for kind in sorted(set(kinds) & set(parts)):
         part = parts[kind].select(F.lit(kind).alias("kind"), "key", F.log2(F.greatest("p", F.lit(1e-12))).cast("float").alias("p"))
         rows = part if rows is None else rows.unionByName(part)
     _write_sorted(rows, model)
+    discard(grams, bi, p2)
     return model
 
 

@@ -4,13 +4,17 @@ Method. Unfilled placeholders are found by grammars specific to their
 delimiters and by patterns for filler, error pages and script notices.
 Context discounts: fenced and inline code, quoted passages, and sentences
 that explain (a placeholder in "the guide explains that ... are replaced" is
-spoken about). Error messages count by density: they have to be the better
-part of the text. A text's verdict comes from its own lines alone.
+spoken about). Error messages count by density, block by block (a block is what
+blank lines enclose): a block whose better part is an error message with its
+code, or a trace of a failed program, counts in a text of any length, unless
+the block before leads it in; messages without a code have to be the better
+part of the whole text. A text's verdict comes from its own lines alone.
 
 Defined results
 * null, empty or blank text: no residue.
 * model control tokens and markup tags are no placeholders.
-* whole texts are read; a single unfilled placeholder in a long text counts.
+* whole texts are read, and nothing depends on their length: a single unfilled
+  placeholder or error message in a long text counts.
 """
 
 from __future__ import annotations
@@ -38,21 +42,26 @@ _FOR_PEOPLE = re.compile(
     r"|\[[A-Z]{3,}(?:[_ ][A-Z]+)+\]|\[[a-z]+(?:_[a-z]+)+\]|\[(?=[^\[\]]*(?:rellenar|completar|insertar|einsetzen|einfügen|ausfüllen|eintragen|compléter|insérer|remplir|uzupełni|wpisz|wstaw|вставить|вписать|заполнить|вставити|вписати|заповнити))[^\[\]\n]{3,40}\]"
     r"|<(?=[^<>]*(?:HERE|YOUR |INSERT|rellenar|insertar|einsetzen|einfügen|compléter|insérer|uzupełni|wpisz|wstaw|вставить|вписать|вставити|вписати))[^<>\n]{3,40}>"
     r"|<[A-Z]{3,}(?:[_ ][A-Z]+)*>|<[a-z]+(?:_[a-z]+)+>"
-    r"|(?<!\w)(?:TODO|FIXME|TBD)\s*:\s*\w+|\b(?:[Dd]escription|[Tt]ext|[Cc]ontent|[Tt]itle|[Nn]ame|[Ss]ummary) goes here\b|\b[Ss]ample text\. |\b[Rr]eplace this text\b|\$[A-Z_]{3,}\$|\bNaN of NaN\b|\bundefined (?:of|pages)\b|\b(?:read by|[Ff]or|[Dd]ear|by|[Ss]tatus:|[Tt]itle:|[Aa]ction:|[Aa]t:) (?:undefined|NaN|null)\b"
+    r"|(?<!\w)(?:TODO|FIXME|TBD)\s*:\s*\w+|\b(?:[Dd]escription|[Tt]ext|[Cc]ontent|[Tt]itle|[Nn]ame|[Ss]ummary) goes here\b|\b[Ss]ample text\. |\b[Rr]eplace this text\b|\$[A-Z_]{3,}\$"
+    # a program's empty value where a value belongs: before a unit or another value, or after a preposition or a colon
+    r"|\b(?:undefined|NaN|null) (?:of|from|out of|pages?|items?|results?)\b|(?:\b(?:by|[Ff]or|[Dd]ear|[Tt]o|[Aa]t|[Oo]f)|\w:) (?:undefined|NaN|null)\b"
 )
 _TAG = re.compile(r"<([a-z]{5,})>")
 # Markup elements, which are no placeholders.
 _MARKUP = frozenset("title table tbody thead tfoot small strong style script section article aside audio video canvas footer header label input button option select center frame object param source track meter legend fieldset caption colgroup details dialog figure iframe picture progress ruby samp summary template output start quote block image class think system user assistant".split())
 _POSITIONAL = re.compile(r"(?<![\w{$])\{\d\}(?!\})|(?<![\w%])%[sd](?!\w)")
 _EXPLAINS = re.compile(
-    r"(?i)\b(?:explain\w*|look like|looks like|stands? for|replaced|template|templates|writes?|marked|braces|placeholders?|syntax|for example|e\.g\.|literally|as a curiosity|sample sheet|means|escape\w*|spelled|called|variable)\b"
+    r"(?i)\b(?:explain\w*|look like|looks like|stands? for|replaced|template|templates|writes?|marked|braces|placeholders?|syntax|for example|e\.g\.|literally|means|escape\w*|spelled|called|variable)\b"
 )
 _FENCE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)", re.S)
 # Settings files have no template syntax of their own but ${..} and {{..}}.
 _SETTINGS = re.compile(r"```(?:ya?ml|json|toml|ini)\b(.*?)(?:```|\Z)", re.S)
 _FOREIGN = re.compile(rf"#\{{\s*{_ID}\s*\}}|<%=?\s*{_ID}\s*%>|%\({_ID}\)[sdf]|\{{%\s*{_ANYNAME}\s*%\}}|(?<![\w_])__[A-Za-z]{{3,}}(?:_[A-Za-z]+)*__(?![\w_])|\[\[\s*{_ID}\s*\]\]")
-_INLINE = re.compile(r"`[^`\n]{1,200}`")
-_QUOTED = re.compile(r"“[^“”\n]{0,160}”|«[^«»\n]{0,160}»|„[^„“”\n]{0,160}[“”]|‘[^‘’\n]{2,80}’(?!\w)")
+_INLINE = re.compile(r"`[^`\n]+`")
+_QUOTED = re.compile(r"“[^“”\n]*”|«[^«»\n]*»|„[^„“”\n]*[“”]|‘[^‘’\n]{2,}’(?!\w)")
+_BLOCK = re.compile(r"\n\s*\n")
+#: Longest line of a message: longer ones are running text.
+MESSAGE_LINE = 160
 _CODE_LINE = re.compile(r"^\s*(?:def |class |import |from \w+ import|return\b|for \w+ in |if .*:$|print\(|[\w.]+\s*=\s*[\w\[{(\"']|\w+\(.*\)\s*[;{]?\s*(?:#.*)?$)", re.M)
 
 # Words of Latin filler text.
@@ -85,6 +94,8 @@ _SCRIPT = re.compile(r"(?i)java-?script|\bscripts?\b|\bscripting\b|skrypt\w*|с
 _NEEDS = re.compile(
     r"(?i)\benable|\bactivate\b|\bturn(?:ed)? (?:on|off your)|\bswitched on\b|\bneeded\b|\bneed to\b|\brequire[sd]?\b|does not support|\bmust\b|\bplease allow\b|aktivier\w+|einschalten|benötig\w+|\bactive[rz]?\b|activez|habilit\w+|requier\w+|nécessaire|włącz\w*|wymaga\w*|включите|требуется|увімкніть|потрібен|необхід"
 )
+# A sentence about other people or about what goes on all the same reports, and demands nothing.
+_REPORTS = re.compile(r"(?i)\b(?:who|whoever|anyone|everyone)\b|\bstill\b")
 _CHECK = re.compile(r"(?i)checking (?:your|the) browser|verify(?:ing)? (?:that )?you are (?:a )?human|i am not a robot|complete the captcha|solve the captcha|unusual traffic|browser check|проверка браузера|перевірка браузера|überprüf\w+ (?:ihren|deinen|ihres) browser|vérification de votre navigateur|sprawdzanie przeglądarki|comprobando (?:su|tu) navegador")
 # Substrings without which no pattern of a kind can match: cheap to look for in long texts.
 _MARKS = ("{", "}", "@@", "%", "$", "#", "[", "<", "__", "&lt;")
@@ -124,7 +135,7 @@ def placeholders(text: str) -> list[str]:
 
 
 def filler(text: str) -> bool:
-    """Latin filler running over eight words or more, keyboard mash, or a short text that is one word over and over or calls itself filler."""
+    """Latin filler running over eight words or more, keyboard mash, a text that is one word over and over, or a block that is one sentence calling itself filler."""
     low = text.lower()
     if any(x in low for x in ("ipsum", "dolor", "aliqu", "nostrud", "veniam", "tempor", "commodo", "labore", "ullamco")):
         run = 0
@@ -132,32 +143,71 @@ def filler(text: str) -> bool:
             run = run + 1 if w in _FILLER else 0
             if run >= 8:
                 return True
-    if len(text) <= 200:
-        words = _WORD.findall(low)
-        if len(words) >= 4 and len(set(words)) == 1 or _NAMED_FILLER.search(_QUOTED.sub(" ", text)) and not _EXPLAINS.search(text):
+    first = _WORD.search(low)
+    if first and all(m[0] == first[0] for m in _WORD.finditer(low)) and len(_WORD.findall(low)) >= 4:
+        return True
+    for m in _NAMED_FILLER.finditer(text):
+        start, end = _block(text, m.start())
+        block = text[start:end].strip()
+        if len(_ENDS.findall(block)) <= 2 and _NAMED_FILLER.search(_QUOTED.sub(" ", block)) and not _EXPLAINS.search(block):
             return True
     return len(_MASH.findall(low)) >= 2 if ("asdf" in low or "qwer" in low or "zxcv" in low) else False
 
 
+_ENDS = re.compile(r"[.!?](?:\s|$)")
+
+
+def _block(text: str, at: int) -> tuple[int, int]:
+    """Start and end of the block that holds a position."""
+    start = max((m.end() for m in _BLOCK.finditer(text, 0, at)), default=0)
+    end = _BLOCK.search(text, at)
+    return start, end.start() if end else len(text)
+
+
+_CODE_FIRST = re.compile(rf"(?i)^\W*(?:<[^>]+>\W*)*(?:{_ERROR_WORD}\s*:?\s*)?(?:4\d\d|5\d\d)\b")
+
+
+def _message(lines: list[str]) -> tuple[float, bool, bool]:
+    """(share of the characters in lines of error messages, whether one names a code, whether any is an error)."""
+    total = sum(map(len, lines))
+    errors = [x for x in lines if len(x) <= MESSAGE_LINE and _ERROR_LINE.match(x)]
+    bad = sum(len(x) for x in lines if len(x) <= MESSAGE_LINE and (_ERROR_LINE.match(x) or _AFTER.search(x)))
+    return (bad / total if total else 0.0), any(_CODE_FIRST.match(x) for x in errors), bool(errors)
+
+
 def error_page(text: str) -> bool:
-    """Whether error messages are the better part of the text."""
-    if len(text) > 4000:
-        return False
-    hard = len(text) <= 2000 and bool(_HARD.search(text))
+    """Whether a block of the text is an error message of its own, or messages are the better part of the text."""
     lines = [x.strip() for x in text.split("\n") if x.strip()]
     if not lines:
         return False
-    total = sum(map(len, lines))
-    # marks of an error in long running text are spoken about
-    if hard and total <= 1500:
+    share, coded, errors = _message(lines)
+    if errors and share >= 0.5:
         return True
-    if total > 500:
-        return False
-    bad = sum(len(x) for x in lines if len(x) <= 160 and (_ERROR_LINE.match(x) or _AFTER.search(x)))
-    if not any(_ERROR_LINE.match(x) for x in lines):
+    if _HARD.search(text):
+        # a trace in a fence is an example, unless it is the text's better part
+        fenced = sum(len(m[0]) for m in _FENCE.finditer(text) if _HARD.search(m[0].strip("`~ \n")))
+        if fenced >= 0.5 * len(text):
+            return True
+    elif not (coded or any(x[:1].isdigit() or _CODE_FIRST.match(x) for x in lines)):
         return False
-    codes = any(re.match(rf"(?i)^\W*(?:<[^>]+>\W*)*(?:{_ERROR_WORD}\s*:?\s*)?(?:4\d\d|5\d\d)\b", x) for x in lines)
-    return bad >= 0.5 * total and (codes or total <= 220 and len(lines) <= 4)
+    before = ""
+    for block in _BLOCK.split(_FENCE.sub("\n\n", text)):
+        own = [x.strip() for x in block.split("\n") if x.strip()]
+        if not own:
+            continue
+        if not (before.endswith(":") or _EXPLAINS.search(before.rsplit(". ", 1)[-1]) or _EXPLAINS.search(block)):
+            if _HARD.search(block):
+                return True
+            share, coded, _ = _message(own)
+            if coded and share >= 0.5 and not _tabular(own):
+                return True
+        before = block.strip()
+    return False
+
+
+def _tabular(lines: list[str]) -> bool:
+    """Whether the lines are rows of numbers, among which a code is a figure like others."""
+    return not any(re.search(rf"(?i)(?:{_REASON})|{_ERROR_WORD}\b", x) for x in lines)
 
 
 def script_notice(text: str) -> bool:
@@ -167,7 +217,7 @@ def script_notice(text: str) -> bool:
         bare = _QUOTED.sub(" ", _INLINE.sub(" ", _FENCE.sub("\n", text)))
         for m in _SCRIPT.finditer(bare):
             s = _sentence(bare, m.start())
-            if len(s) < 250 and _NEEDS.search(s) and not re.search(r"(?i)\breaders who\b|\bthose who\b|\bwithout\b.*\bstill\b|\bstill (?:see|work)", s):
+            if _NEEDS.search(s) and not _REPORTS.search(s):
                 return True
     return any(x in low for x in _CHECKED) and bool(_CHECK.search(text))
 

@@ -22,7 +22,8 @@ Defined results
 * null, empty or blank text: no noise, text unchanged.
 * a content that is nothing but a number is a stub, not a page number.
 * ties between candidates: as it stands, then the first by name.
-* a word of which half the characters are odd signs is no word and stays.
+* a word of which half the characters are odd signs, or whose letters make no
+  word, stays; so does a misread word with no known original, but it counts.
 * a reading delivered twice counts once; pages of a job count by page number.
 """
 
@@ -45,7 +46,7 @@ from pyspark.sql import types as T
 from quirespark.llm.encoding import repair, suspicious
 from quirespark.llm.repetition import _NAMES, BIGRAM, GRAMS, WORD, WORD_BACKOFF, GramCounter, Model, Words, _mix, look_up, mixed, repeats, train_from
 from quirespark.llm.truncation import _GAP, PAGE_NUMBER, closes, fold_word
-from quirespark.session import stored
+from quirespark.session import discard, stored
 
 MIN_WORDS = 3
 MIN_PAGES = 3
@@ -258,11 +259,16 @@ Cell = tuple[str, str, str, float, bool]
 
 
 def cells(w: str, channel: Channel, cache: dict[str, list[Cell]]) -> list[Cell]:
-    """The ways to read a token; the first is as it stands."""
+    """The ways to read a token: first as it stands; a misread word that nothing makes a known word of keeps its signs."""
     if w not in cache:
         before, core, after = _edges(w)
-        cache[w] = [(before, core, after, STANDS_NOT if misread(w) else 0.0, False)]
-        if doubtful(w):
+        cyr, at = odd_signs(core) if doubtful(w) else (False, ())
+        wordlike = bool(at) and shaped("".join(("а" if cyr else "a") if i in at else c for i, c in enumerate(core)))
+        spoilt = wordlike and misread(w)
+        cache[w] = [(before, core, after, STANDS_NOT if spoilt else 0.0, False)]
+        if spoilt:
+            cache[w].append((before, core, after, log2(EVEN) + (0.0 if shaped(core) else UNKNOWN - SHAPELESS), True))
+        if wordlike:
             cache[w] += [(before, c, after, lp, True) for c, lp in candidates(core, channel)]
     return cache[w]
 
@@ -507,6 +513,7 @@ def learn_channel(pages: DataFrame, model: Model, rounds: int = 2) -> Channel:
         counts = pages.sparkSession.createDataFrame(rows, "cyr boolean, sign string, reading string, c double") if rows else None
         if counts is None:
             break
+    discard(ways)
     return channel_of([tuple(r) for r in rows])
 
 

@@ -69,6 +69,22 @@ def test_nested_layers_and_parts():
     assert EN.repair("Le greffier. Le trÃ©sorier.")[0] == "Le greffier. Le trésorier." and twice
 
 
+def test_layers_are_peeled_until_none_is_left():
+    text = "le trésorier du château près du café"
+    spoilt = text
+    for _ in range(6):
+        spoilt = spoilt.encode().decode("latin-1")
+    assert EN.repair(spoilt) == (text, 6, False)
+
+
+def test_two_tables_in_one_text():
+    words = "café château trésorier près général père mère forêt hôtel âge élève".split()
+    one = " ".join(w.encode().decode("cp1252", "replace") for w in words)
+    two = " ".join(w.encode("cp1251").decode("latin-1") for w in "писарь комиссии исправил старому спору меже бродом казначей сиротской кассы проверил".split())
+    fixed, layers, lost = EN.repair(f"{one} {two}")
+    assert "château" in fixed and "казначей" in fixed and layers == 2 and not lost
+
+
 @pytest.mark.parametrize("text", [FR_, DE_, RU_, PL_, EN_, "Ângela de São Brandão assinou a relação em vão.", "Þórdís and Đorđe signed at Ångholm; Ωμέγα καὶ ἄλφα ☼.", "the r€gis†er and cɑnton", "В деревнe Нuзенрецк спuсок", "What?? Really??", "", None])
 def test_correct_text_stays(text):
     assert EN.repair(text) == (text, 0, False) or EN.repair(text)[1:] == (0, False)
@@ -349,7 +365,7 @@ def test_p7_rows(spark):
     page = lambda i, t: {"reading_id": i, "job_id": "job", "page_number": i, "result_format": "text", "content": t}
     rows = [page(i, f"ANNALS OF MARHAM\n\nThe clerk number {w} copied the roll of the parish.\nHe left.") for i, w in ((1, "one"), (2, "two"))] + [page(3, "ANNA1S OF MARHAM    - 12 -\nThe clerk of the parish weighed it.\nHe went.")]
     rows += [page(4, "The regi-\nster of births was lost.\nAll is well."), page(5, "The w1nter sess!on of the c€nsus was long and the paper was old.\nHe went."), page(6, "The procès-verbal was read.\nHe went."), page(7, "The procès-\nverbal was lost.\nHe went.")]
-    rows += [page(8, "One line here.\nHe went.\n\n[14]"), page(9, "12"), page(10, f"{EN_}\n{EN_}\n[14]"), page(4, "The regi-\nster of births was lost.\nAll is well.")]
+    rows += [page(8, "One line here.\nHe went.\n\n[14]"), page(11, "The session was here. All went on."), page(9, "12"), page(10, f"{EN_}\n{EN_}\n[14]"), page(4, "The regi-\nster of births was lost.\nAll is well.")]
     got = sorted(tuple(r) for r in SC.found(readings(spark, rows + corpus() + EDGE)).filter("reading_id < 100").collect())
     assert got == [(1, "running_header"), (2, "running_header"), (3, "page_number"), (3, "running_header"), (4, "hyphen_break"), (5, "misread_characters"), (8, "page_number")]
     clean = {r["reading_id"]: r["clean_text"] for r in SC.paragraphs(readings(spark, rows + corpus() + EDGE)).select("reading_id", "clean_text").collect()}
@@ -486,6 +502,21 @@ def test_residue(text, kinds):
     assert RS.residue(text) == kinds
 
 
+@pytest.mark.parametrize(
+    ("piece", "kind"),
+    [("HTTP 503 Service Unavailable\nTry again later.", "error"), ("Traceback (most recent call last):\n  File \"a.py\", line 1\nValueError: x", "error"), ("Please enable JavaScript to view this page.", "script"), ("Held at: [INSERT SHELFMARK]", "placeholder"), ("Hier steht ein Blindtext, er wird noch ersetzt.", "filler")],
+)
+@pytest.mark.parametrize("size", [0, 300, 5_000, 50_000])
+def test_residue_anywhere_in_a_text_of_any_length(piece, kind, size):
+    page = "\n\n".join([EN_] * (size // len(EN_) + 1)) if size else ""
+    assert RS.residue(f"{page}\n\n{piece}\n\n{page}") == [kind] and RS.residue(f"{page}\n\n{page}") == []
+
+
+def test_messages_that_are_spoken_about():
+    for text in (f"{EN_}\n\nThe page then shows:\n\nHTTP 503 Service Unavailable", f"{EN_}\n\n```\nTraceback (most recent call last):\n  x\n```\n\n{EN_}", f"{EN_}\n\n404\n\n405\n\n{EN_}", f"{EN_}\n\nAccess to the tower was denied to the surveyor."):
+        assert RS.residue(text) == []
+
+
 def test_p10_rows(spark):
     df = spark.createDataFrame([(1, "Dear ${name},", "r"), (1, "Dear ${name},", "r"), (2, None, "r"), (3, EN_, None), (4, "", "r")], "doc_id long, text string, residue string")
     assert ids(RS.found(df), "doc_id") == [1] and RS.found(df.limit(0)).count() == 0
