@@ -23,6 +23,7 @@ QUERIES: dict[str, Query] = {
     "p4_by_source": lambda s, d: truncation.by_source(_t(s, d, "readings")),
     "p7_found": lambda s, d: scans.found(_t(s, d, "readings")),
     "p7_paragraphs": lambda s, d: scans.paragraphs(_t(s, d, "readings").select("reading_id", "job_id", "page_number", "result_format", "content")).select("reading_id", "clean_text"),
+    "p7_pages": lambda s, d: scans.page_texts(_t(s, d, "page_results")),
     "p8_ids": lambda s, d: tokenize.encode(_t(s, d, "documents").select("doc_id", "text")).select("doc_id", "ids"),
     "p9_mix": lambda s, d: mixing.mix(_t(s, d, "documents"), _t(s, d, "mix_targets")),
     "p9_shares": lambda s, d: mixing.shares(_t(s, d, "documents"), _t(s, d, "mix_targets")),

@@ -100,6 +100,16 @@ _CHECK = re.compile(r"(?i)checking (?:your|the) browser|verify(?:ing)? (?:that )
 # Substrings without which no pattern of a kind can match: cheap to look for in long texts.
 _MARKS = ("{", "}", "@@", "%", "$", "#", "[", "<", "__", "&lt;")
 _PHRASES = ("goes here", "sample text", "replace this", "nan of nan", "undefined", "todo", "tbd", "fixme", "xx/xx", "xx.xx", "xx-xx", "dd/", "mm/", "yyyy", "dd.", "mm.", "dd-", "mm-", " nan", " null")
+_STEMS = (
+    "not found", "could not", "cannot", "can not", "unavailable", "denied", "forbidden", "unauthori", "bad request", "bad gateway", "gateway time", "time out", "timeout", "timed", "did not answer", "does not answer", "does not respond",
+    "rate limit", "too many", "server error", "service error", "quota", "went wrong", "oops", "connection ", "session has expired", "overloaded", "maintenance", "moved permanently", "no longer available", "not available", "introuvable", "refusé",
+    "interdit", "indisponible", "erreur", "délai", "ne répond pas", "mauvaise requête", "no encontrad", "denegado", "prohibido", "no disponible", "tiempo de espera", "no se pudo", "no responde", "solicitud", "nicht gefunden", "nicht verfügbar",
+    "verweigert", "verboten", "konnte nicht", "antwortet nicht", "zeitüberschreitung", "fehlgeschlagen", "nicht erreichbar", "ungültige anfrage", "nie znaleziono", "brak dostępu", "odmowa", "niedostępn", "przekroczono", "nie odpowiada",
+    "nieprawidłowe", "błąd", "nie można", "не найден", "запрещ", "недоступ", "не отвечает", "ошибк", "не удалось", "превышен", "не знайдено", "заборонен", "помилк", "не відповідає", "не вдалося", "доступ",
+)
+_STARTS = re.compile(r"(?mi)^[^\w\n]*(?:<[^>\n]+>[^\w\n]*)*(?:[45]\d\d\b|http|error|status|erreur|fehler|błąd|ошибка|помилка|código|code|err\b)")
+_TRACES = ("Traceback", 'File "', "Error: ", "Exception: ", '"error', '"status"', '"code"', "Exception in thread", "Segmentation fault", "Error opening", "Failed loading", "Fatal error", "Warning: ")
+_FILLER_NAMES = ("blindtext", "platzhaltertext", "fülltext", " text", "faux", "texte ", "texto ", "tekst ", "текст")
 _CHECKED = ("browser", "human", "robot", "captcha", "traffic", "браузер", "navigateur", "przegląd", "navegador")
 
 
@@ -146,7 +156,7 @@ def filler(text: str) -> bool:
     first = _WORD.search(low)
     if first and all(m[0] == first[0] for m in _WORD.finditer(low)) and len(_WORD.findall(low)) >= 4:
         return True
-    for m in _NAMED_FILLER.finditer(text):
+    for m in _NAMED_FILLER.finditer(text) if any(x in low for x in _FILLER_NAMES) else ():
         start, end = _block(text, m.start())
         block = text[start:end].strip()
         if len(_ENDS.findall(block)) <= 2 and _NAMED_FILLER.search(_QUOTED.sub(" ", block)) and not _EXPLAINS.search(block):
@@ -167,28 +177,37 @@ def _block(text: str, at: int) -> tuple[int, int]:
 _CODE_FIRST = re.compile(rf"(?i)^\W*(?:<[^>]+>\W*)*(?:{_ERROR_WORD}\s*:?\s*)?(?:4\d\d|5\d\d)\b")
 
 
+def _may_be_error(text: str) -> bool:
+    """Whether an error message could stand in the text: a cheap screen before the patterns."""
+    low = text.lower()
+    return any(x in low for x in _STEMS) or bool(_STARTS.search(text))
+
+
 def _message(lines: list[str]) -> tuple[float, bool, bool]:
     """(share of the characters in lines of error messages, whether one names a code, whether any is an error)."""
+    errors = [x for x in lines if len(x) <= MESSAGE_LINE and _may_be_error(x) and _ERROR_LINE.match(x)]
+    if not errors:
+        return 0.0, False, False
     total = sum(map(len, lines))
-    errors = [x for x in lines if len(x) <= MESSAGE_LINE and _ERROR_LINE.match(x)]
     bad = sum(len(x) for x in lines if len(x) <= MESSAGE_LINE and (_ERROR_LINE.match(x) or _AFTER.search(x)))
-    return (bad / total if total else 0.0), any(_CODE_FIRST.match(x) for x in errors), bool(errors)
+    return bad / total, any(_CODE_FIRST.match(x) for x in errors), bool(errors)
 
 
 def error_page(text: str) -> bool:
     """Whether a block of the text is an error message of its own, or messages are the better part of the text."""
-    lines = [x.strip() for x in text.split("\n") if x.strip()]
-    if not lines:
+    hard = any(x in text for x in _TRACES) and bool(_HARD.search(text))
+    if not hard and not _may_be_error(text):
         return False
+    lines = [x.strip() for x in text.split("\n") if x.strip()]
     share, coded, errors = _message(lines)
     if errors and share >= 0.5:
         return True
-    if _HARD.search(text):
+    if hard:
         # a trace in a fence is an example, unless it is the text's better part
         fenced = sum(len(m[0]) for m in _FENCE.finditer(text) if _HARD.search(m[0].strip("`~ \n")))
         if fenced >= 0.5 * len(text):
             return True
-    elif not (coded or any(x[:1].isdigit() or _CODE_FIRST.match(x) for x in lines)):
+    elif not coded:
         return False
     before = ""
     for block in _BLOCK.split(_FENCE.sub("\n\n", text)):

@@ -665,3 +665,19 @@ def paragraphs(df: DataFrame, text: str = "content") -> DataFrame:
     out = df.join(known, F.col("reading_id").cast("bigint") == F.col("__id"), "left")
     cleaned = udf(F.when(prose, F.col(text)), F.col("__running"), F.col("__fixes"), F.col("__kept"))
     return out.withColumn("clean_text", F.coalesce(cleaned, F.col(text))).drop("__running", "__fixes", "__kept", "__id")
+
+
+def page_texts(pages: DataFrame) -> DataFrame:
+    """``job_id``, ``page_id`` and the selected text of each page (``page_results``) as continuous paragraphs, null where none was selected; rows delivered twice count once."""
+    text = F.col("selected_output.text")
+    one = pages.select("job_id", "page_id", "page_number", text.alias("content")).dropDuplicates(["job_id", "page_id"])
+    # tables and JSON keep their lines
+    fmt = F.when(text_is_prose(F.col("content")), "text").otherwise("table")
+    keyed = one.withColumn("reading_id", F.xxhash64("job_id", "page_id")).withColumn("result_format", fmt)
+    return paragraphs(keyed).select("job_id", "page_id", "clean_text")
+
+
+def text_is_prose(text):
+    """Column: whether a text without a format is no JSON, table or rows of comma-separated values."""
+    first = F.regexp_extract(F.coalesce(text, F.lit("")), r"^\s*([^\n]*)", 1)
+    return ~(first.rlike(r"^[\[{|]") | (first.rlike(r"^[^\s,]+(?:,[^\s,]+)+$") & text.rlike(r"\n[^\n]*,[^\n]*")))
