@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirespark.operators import drift, nested
-from quirespark.plans import evidence, files, geometry, ledger, quality, report, tabular
+from quirespark.plans import evidence, files, geometry, ledger, quality, report, signals, tabular
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -50,6 +50,6 @@ ORACLES: dict = {
  UNION ALL SELECT producer, file_no, 'added', '', path FROM came c WHERE NOT EXISTS (SELECT 1 FROM renamed r WHERE r.producer = c.producer AND r.file_no = c.file_no AND r.new_field = c.path)
  UNION ALL SELECT n.producer, n.file_no, 'type_changed', n.path, n.path FROM now n JOIN was w USING (producer, file_no, path) WHERE n.type <> w.type""",
 }
-for _m in (quality, tabular, ledger, geometry, files, evidence, report):
+for _m in (quality, tabular, ledger, geometry, files, evidence, report, signals):
     QUERIES.update(_m.QUERIES)
     ORACLES.update(_m.ORACLES)

@@ -6,10 +6,11 @@ pair of pages and never per pair of tables.
 
 Defined results
 * a null side: null comparison; two texts without tokens: ratio 1.
-* texts beyond ``MOST_TOKENS`` tokens are compared by their bags of tokens and
-  flagged ``by_bags`` (no spans), so that no pair is left out.
-* contested words of such texts: cut at runs of tokens that stand once in both,
-  and aligned piece by piece; a stretch without such a run is aligned as a whole.
+* texts beyond ``MOST_TOKENS`` tokens are cut at runs of tokens that stand once
+  in both, and aligned piece by piece; a stretch without such a run is aligned
+  as a whole, so that every pair has its ratio and spans at any length.
+* a run of two words or more that stands elsewhere in the other reading is
+  ``moved``: it is contested, but nothing settles it.
 * ties of alignment: the leftmost longest block first.
 """
 
@@ -57,29 +58,27 @@ def compare(left: str | None, right: str | None) -> dict | None:
     na, nb = Counter(t for t in a if t[0].isdigit()), Counter(t for t in b if t[0].isdigit())
     numbers = sorted(((na - nb) + (nb - na)).elements())
     if not a and not b:
-        return {"ratio": 1.0, "spans": [], "numbers": [], "by_bags": False}
-    if max(len(a), len(b)) > MOST_TOKENS:
-        common = sum((Counter(a) & Counter(b)).values())
-        return {"ratio": 2 * common / (len(a) + len(b)), "spans": [], "numbers": numbers[:MOST_SPANS], "by_bags": True}
-    m = difflib.SequenceMatcher(None, a, b, autojunk=False)
+        return {"ratio": 1.0, "spans": [], "numbers": []}
+    apart = differences(a, b)
+    equal = len(a) - sum(i2 - i for i, i2, _, _ in apart)
     spans = [
-        {"kind": tag, "left": " ".join(a[max(0, i - CONTEXT) : i2 + CONTEXT]), "right": " ".join(b[max(0, j - CONTEXT) : j2 + CONTEXT])}
-        for tag, i, i2, j, j2 in m.get_opcodes() if tag != "equal"
+        {"kind": "insert" if i == i2 else "delete" if j == j2 else "replace", "left": " ".join(a[max(0, i - CONTEXT) : i2 + CONTEXT]), "right": " ".join(b[max(0, j - CONTEXT) : j2 + CONTEXT])}
+        for i, i2, j, j2 in apart[:MOST_SPANS]
     ]
-    return {"ratio": m.ratio(), "spans": spans[:MOST_SPANS], "numbers": numbers[:MOST_SPANS], "by_bags": False}
+    return {"ratio": 2 * equal / (len(a) + len(b)), "spans": spans, "numbers": numbers[:MOST_SPANS]}
 
 
 _COMPARED = T.StructType([
     T.StructField("ratio", T.DoubleType()),
     T.StructField("spans", T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("left", T.StringType()), T.StructField("right", T.StringType())]))),
-    T.StructField("numbers", T.ArrayType(T.StringType())), T.StructField("by_bags", T.BooleanType()),
+    T.StructField("numbers", T.ArrayType(T.StringType())),
 ])
 _SPAN = pa.struct([("kind", pa.string()), ("left", pa.string()), ("right", pa.string())])
 
 
 @F.arrow_udf(_COMPARED)
 def compared(it: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    kind = pa.struct([("ratio", pa.float64()), ("spans", pa.list_(_SPAN)), ("numbers", pa.list_(pa.string())), ("by_bags", pa.bool_())])
+    kind = pa.struct([("ratio", pa.float64()), ("spans", pa.list_(_SPAN)), ("numbers", pa.list_(pa.string()))])
     for a, b in it:
         yield pa.array([compare(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], kind)
 
@@ -139,11 +138,18 @@ def contested(base: str | None, witness: str | None, known: frozenset[str] = fro
         return []
     a, b = tokens(base), tokens(witness)
     out, seen = [], Counter()
-    for i, i2, j, j2 in differences([t for t, _, _ in a], [t for t, _, _ in b]):
+    left, right = [t for t, _, _ in a], [t for t, _, _ in b]
+    apart = differences(left, right)
+    gone = {tuple(left[i:i2]) for i, i2, j, j2 in apart if j == j2 and i2 - i > 1}
+    come = {tuple(right[j:j2]) for i, i2, j, j2 in apart if i == i2 and j2 - j > 1}
+    moved = gone & come
+    for i, i2, j, j2 in apart:
         start = a[i][1] if i < len(a) else len(base)
         end = a[i2 - 1][2] if i2 > i else start
         mine, theirs = base[start:end], witness[b[j][1] : b[j2 - 1][2]] if j2 > j else ""
-        if any(c.isdigit() for c in mine + theirs):
+        if i == i2 and tuple(right[j:j2]) in moved or j == j2 and tuple(left[i:i2]) in moved:
+            kind, settled = "moved", None
+        elif any(c.isdigit() for c in mine + theirs):
             kind, settled = "number", None
         elif homoglyph(theirs, mine):
             kind, settled = "homoglyph", mine

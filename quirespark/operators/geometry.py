@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 GRID = 1_000_000
-BUCKET = 50_000
 
 
 def grid(value: Column, extent: Column) -> Column:
@@ -27,29 +26,39 @@ def grid(value: Column, extent: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(GRID), F.round(value.cast("double") / extent * GRID))).cast("int")
 
 
-def _centres(items: DataFrame) -> DataFrame:
-    return items.withColumn("cx", ((F.col("x0") + F.col("x1")) / 2).cast("double")).withColumn("cy", ((F.col("y0") + F.col("y1")) / 2).cast("double"))
+def _boxes_of(boxes: DataFrame, page: str, *more: str) -> DataFrame:
+    """A page's boxes as one array: as many as fit on a page."""
+    return boxes.groupBy(page).agg(F.collect_list(F.struct(*more, "x0", "y0", "x1", "y1")).alias("__boxes"))
 
 
 def assign_tiles(items: DataFrame, tiles: DataFrame, page: str = "page_id") -> DataFrame:
-    """Each item with the tile that holds its centre (null if none).
+    """Each item with the tile that holds its centre (null if none): one join on the page, whose tiles are one array.
 
     ``items``: page, item, x0, y0, x1, y1. ``tiles``: page, tile, x0, y0, x1, y1.
     """
-    c = _centres(items).withColumn("b", F.floor(F.least(F.col("cy"), F.lit(GRID - 1.0)) / BUCKET))
-    t = tiles.select(page, "tile", *[F.col(k).alias(f"t{k}") for k in ("x0", "y0", "x1", "y1")])
-    t = t.withColumn("b", F.explode(F.sequence(F.floor(F.col("ty0") / BUCKET), F.floor(F.least(F.col("ty1"), F.lit(GRID - 1)) / BUCKET))))
-    inside = lambda p, a, z: (F.col(p) >= F.col(a)) & ((F.col(p) < F.col(z)) | ((F.col(z) == GRID) & (F.col(p) == GRID)))
-    hit = c.join(t, [page, "b"]).filter(inside("cx", "tx0", "tx1") & inside("cy", "ty0", "ty1")).groupBy(page, "item").agg(F.min("tile").alias("tile"))
-    return items.join(hit, [page, "item"], "left")
+    inside = lambda p, a, z: (p >= a) & ((p < z) | ((z == GRID) & (p == GRID)))
+    cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
+    hit = F.filter("__boxes", lambda t: inside(cx, t["x0"], t["x1"]) & inside(cy, t["y0"], t["y1"]))
+    joined = items.join(_boxes_of(tiles, page, "tile"), page, "left")
+    return joined.withColumn("tile", F.array_min(F.transform(hit, lambda t: t["tile"]))).drop("__boxes")
+
+
+def crossings(items: DataFrame, tiles: DataFrame, height: int, page: str = "page_id") -> DataFrame:
+    """Items that cross an inner edge of a tile by more than a quarter of the line height: page, item, tiles they cross."""
+    least = height / 4
+    over = lambda a0, a1, b0, b1: F.least(a1, b1) - F.greatest(a0, b0)
+    joined = items.join(_boxes_of(tiles, page, "tile"), page)
+    across = lambda t: (over(F.col("x0"), F.col("x1"), t["x0"], t["x1"]) > least) & (over(F.col("y0"), F.col("y1"), t["y0"], t["y1"]) > least)
+    hit = F.array_sort(F.transform(F.filter("__boxes", across), lambda t: t["tile"]))
+    return joined.select(page, "item", hit.alias("tiles")).filter(F.size("tiles") > 1)
 
 
 def centres_inside(items: DataFrame, boxes: DataFrame, page: str = "page_id") -> DataFrame:
     """For each page the number of items and of those whose centre lies in any of the boxes, edges included."""
-    c = _centres(items).withColumn("b", F.floor(F.col("cy") / BUCKET))
-    t = boxes.select(page, *[F.col(k).alias(f"t{k}") for k in ("x0", "y0", "x1", "y1")]).withColumn("b", F.explode(F.sequence(F.floor(F.col("ty0") / BUCKET), F.floor(F.col("ty1") / BUCKET))))
-    hit = c.join(t, [page, "b"]).filter(F.col("cx").between(F.col("tx0"), F.col("tx1")) & F.col("cy").between(F.col("ty0"), F.col("ty1"))).select(page, "item").distinct().groupBy(page).agg(F.count("*").alias("inside"))
-    return items.groupBy(page).agg(F.count("*").alias("items")).join(hit, page, "left").fillna(0, ["inside"])
+    cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
+    hit = F.exists("__boxes", lambda t: cx.between(t["x0"], t["x1"]) & cy.between(t["y0"], t["y1"]))
+    joined = items.join(_boxes_of(boxes, page), page, "left")
+    return joined.groupBy(page).agg(F.count("*").alias("items"), F.count_if(F.coalesce(hit, F.lit(False))).alias("inside"))
 
 
 def partition_faults(tiles: DataFrame, page: str = "page_id") -> DataFrame:

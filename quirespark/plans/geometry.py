@@ -37,6 +37,11 @@ def tile_assignment(s: SparkSession, d: str) -> DataFrame:
     return G.assign_tiles(boxes(s, d), tiles(s, d)).select("page_id", "item", "tile")
 
 
+def tile_crossings(s: SparkSession, d: str) -> DataFrame:
+    """Boxes that lie across an edge between tiles, with the tiles."""
+    return G.crossings(boxes(s, d), tiles(s, d), 28_571).select("page_id", "item", F.array_join("tiles", ",").alias("tiles"))
+
+
 def tile_partition_check(s: SparkSession, d: str) -> DataFrame:
     return G.partition_faults(tiles(s, d))
 
@@ -72,11 +77,12 @@ def edition_text(s: SparkSession, d: str) -> DataFrame:
     return _pairs(s, d).select("job_id", "page_id", "stage", C.edition(F.col("ref"), C.contest("ref", "content")).alias("edition"))
 
 
-QUERIES = {f.__name__: f for f in (box_gaps, tile_assignment, tile_partition_check, centres_inside, line_height_median, reading_order, pairwise_agreement, contest_spans, edition_text)}
+QUERIES = {f.__name__: f for f in (box_gaps, tile_assignment, tile_crossings, tile_partition_check, centres_inside, line_height_median, reading_order, pairwise_agreement, contest_spans, edition_text)}
 _C = f"(SELECT *, (x0 + x1) / 2.0 AS cx, (y0 + y1) / 2.0 AS cy FROM {BOXES} b)"
 ORACLES = {
     "box_gaps": f"SELECT page_id, e AS gap_from, x0 AS gap_to, floor((e + x0) / 2.0)::BIGINT AS cut FROM (SELECT page_id, x0, max(x1) OVER (PARTITION BY page_id ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM {BOXES} b) q WHERE x0 - e > 50000",
     "tile_assignment": f"SELECT c.page_id, c.item, min(t.tile) AS tile FROM {_C} c LEFT JOIN {TILES} t ON c.page_id = t.page_id AND cx >= t.x0 AND (cx < t.x1 OR (t.x1 = 1000000 AND cx = 1000000)) AND cy >= t.y0 AND (cy < t.y1 OR (t.y1 = 1000000 AND cy = 1000000)) GROUP BY 1, 2",
+    "tile_crossings": f"SELECT page_id, item, string_agg(tile::VARCHAR, ',' ORDER BY tile) AS tiles FROM (SELECT c.page_id, c.item, t.tile FROM {_C} c JOIN {TILES} t ON c.page_id = t.page_id AND least(c.x1, t.x1) - greatest(c.x0, t.x0) > 28571 / 4.0 AND least(c.y1, t.y1) - greatest(c.y0, t.y0) > 28571 / 4.0) q GROUP BY 1, 2 HAVING count(*) > 1",
     "tile_partition_check": f"SELECT page_id, sum((x1 - x0)::BIGINT * (y1 - y0)) = 1000000000000 AS area_whole, bool_and(x0 >= 0 AND y0 >= 0 AND x1 <= 1000000 AND y1 <= 1000000 AND x0 < x1 AND y0 < y1) AS within, 0::BIGINT AS overlaps FROM {TILES} t GROUP BY 1",
     "centres_inside": f"SELECT page_id, count(*) AS items, count(*) FILTER (hit) AS inside FROM (SELECT c.page_id, c.item, bool_or(coalesce(cx BETWEEN o.x0 AND least(o.x1 + 90000, 1000000) AND cy BETWEEN o.y0 AND least(o.y1 + 90000, 1000000), false)) AS hit FROM {_C} c LEFT JOIN (SELECT * FROM {BOXES} b WHERE item % 2 = 1) o ON c.page_id = o.page_id GROUP BY 1, 2) q GROUP BY 1",
     "line_height_median": f"SELECT page_id, greatest(list_sort(list(y1 - y0))[len(list(y1 - y0)) // 2 + 1], 1) AS height FROM {BOXES} b GROUP BY 1",
