@@ -206,8 +206,10 @@ def natural_key(name: Column) -> Column:
     return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, 20, "0")).otherwise(p)), "")
 
 
-def page_range(expression: Column) -> Column:
-    """``1-3,7`` -> sorted distinct numbers."""
+def page_range(expression: Column, last: int = 1_000_000) -> Column:
+    """``1-3,7`` -> sorted distinct numbers; null if a bound is no number, out of order or beyond ``last``, so that nothing is spread out that no document has."""
     pieces = F.transform(F.split(expression, ","), lambda p: F.trim(p))
-    spans = F.transform(pieces, lambda p: F.sequence(F.split(p, "-")[0].cast("int"), F.element_at(F.split(p, "-"), -1).cast("int")))
-    return F.array_sort(F.array_distinct(F.flatten(spans)))
+    bounds = F.transform(pieces, lambda p: F.struct(F.split(p, "-")[0].try_cast("int").alias("a"), F.element_at(F.split(p, "-"), -1).try_cast("int").alias("b")))
+    good = F.forall(bounds, lambda x: x["a"].isNotNull() & x["b"].isNotNull() & (x["a"] >= 1) & (x["a"] <= x["b"]) & (x["b"] <= last))
+    spans = F.transform(bounds, lambda x: F.sequence(x["a"], x["b"]))
+    return F.when(good, F.array_sort(F.array_distinct(F.flatten(spans))))

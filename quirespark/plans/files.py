@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quirespark.plans.ledger import PAGES, pages
 from quirespark.sources import extractors as E
+from quirespark.sources import iiif as II
 from quirespark.sources import pages as P
 from quirespark.sources import sinks as K
 from quirespark.streaming import checkpoint as C
@@ -45,6 +46,19 @@ def iiif_canvases(s: SparkSession, d: str) -> DataFrame:
     return src.select("source_key", F.inline(P.iiif_canvases(three)))
 
 
+def image_requests(s: SparkSession, d: str) -> DataFrame:
+    """The largest image to ask for of each source, whose information documents are of four kinds: two interfaces, with and without limits, with listed sizes only."""
+    src = s.read.parquet(f"{d}/sources.parquet").select("source_key", (F.col("page_count") * 10).alias("w"), (F.col("page_count") * 7).alias("h"), (F.col("page_count") % 4).alias("kind"))
+    three, two = '"@context": "http://iiif.io/api/image/3/context.json"', '"@context": "http://iiif.io/api/image/2/context.json"'
+    size = F.concat(F.lit(', "width": '), F.col("w"), F.lit(', "height": '), F.col("h"))
+    half = lambda k: F.concat(F.lit('{"width": '), F.floor(F.col("w") / k), F.lit(', "height": '), F.floor(F.col("h") / k), F.lit("}"))
+    body = F.when(F.col("kind") == 0, F.concat(F.lit("{" + three), size)).otherwise(F.concat(F.lit("{" + two), size))
+    rest = F.when(F.col("kind") == 2, F.lit(', "profile": ["level1", {"maxWidth": 1000}]')).when(F.col("kind") == 3, F.concat(F.lit(', "profile": "level0", "maxWidth": 1500, "sizes": ['), half(2), F.lit(", "), half(4), F.lit("]"))).otherwise(F.lit(""))
+    info = II.image_info(F.concat(body, rest, F.lit("}")))
+    service = F.concat(F.lit("https://images.example/"), "source_key", F.lit("/"))
+    return src.select("source_key", II.image_request(service, info).alias("request"))
+
+
 def transcripts(s: SparkSession, d: str) -> DataFrame:
     t = K.transcripts(pages(s, d).select("job_id", "page_number", F.col("selected_output.text").alias("text")))
     return t.select("job_id", "n_pages", F.md5("transcript").alias("md5"))
@@ -82,8 +96,9 @@ def event_sessions(s: SparkSession, d: str) -> DataFrame:
     return C.sessions(s.read.parquet(f"{d}/events.parquet")).groupBy("user_id").agg(F.count("*").alias("n_sessions"), F.max("n").alias("longest"))
 
 
-QUERIES = {f.__name__: f for f in (page_split, word_confidence, alto_confidence, manifest_changes, iiif_canvases, transcripts, tei, inventory, extraction, checkpoint_states, event_windows, event_sessions)}
+QUERIES = {f.__name__: f for f in (page_split, word_confidence, alto_confidence, manifest_changes, iiif_canvases, image_requests, transcripts, tei, inventory, extraction, checkpoint_states, event_windows, event_sessions)}
 _SRC = r"(SELECT source_key AS name, regexp_extract(source_key, '_(\d+)_', 1)::INTEGER AS position, source_sha256 AS sha256 FROM sources)"
+_XML = r"replace(replace(replace(regexp_replace(coalesce({0}, ''), '[\x00-\x08\x0b\x0c\x0e-\x1f\x{{fffe}}\x{{ffff}}]', chr(65533), 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 ORACLES = {
     "page_split": r"SELECT doc_id, i AS page_number, length(p[i]) AS n_chars FROM (SELECT doc_id, p, unnest(generate_series(1, len(p))) AS i FROM (SELECT doc_id, CASE WHEN len(p) > 1 AND NOT regexp_matches(p[len(p)], '\S') THEN p[1:len(p) - 1] ELSE p END AS p FROM (SELECT doc_id, string_split(regexp_replace(text, '^\x{feff}', ''), chr(10) || chr(10)) AS p FROM documents WHERE text IS NOT NULL) q) q1) q2",
     "word_confidence": "SELECT l_orderkey, count(*) AS word_count, round(avg(c) / 100, 4) AS mean, min(c)::DOUBLE AS min, count(*) FILTER (c < 60) AS below_60_count, round(count(*) FILTER (c < 60)::DOUBLE / count(*), 4) AS below_60_ratio FROM (SELECT l_orderkey, floor(l_quantity)::INTEGER * 2 AS c FROM lineitem) q GROUP BY 1",
@@ -91,6 +106,9 @@ ORACLES = {
     "manifest_changes": f"SELECT name, CASE WHEN position % 10 = 4 THEN 'missing' WHEN position % 10 = 3 THEN 'added' WHEN position % 10 = 5 THEN 'changed' ELSE 'reordered' END AS change FROM {_SRC} s WHERE position % 10 IN (3, 4, 5, 6)",
     "iiif_canvases": "SELECT source_key, source_key || '/c' || i AS canvas, source_key || '/s' || i AS service FROM sources, (VALUES (1), (2)) v(i)",
     "transcripts": f"SELECT job_id, count(*) AS n_pages, md5(string_agg(coalesce(selected_output.text, ''), chr(12) ORDER BY page_number, coalesce(selected_output.text, ''))) AS md5 FROM {PAGES} p GROUP BY 1",
+    "tei": f"""SELECT job_id, '<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><fileDesc><titleStmt><title>' || {_XML.format('job_id')} || '</title></titleStmt></fileDesc></teiHeader><text><body>' || string_agg('<pb n="' || page_number || '"/><ab>' || {_XML.format('selected_output.text')} || '</ab>', '' ORDER BY page_number, {_XML.format('selected_output.text')}) || '</body></text></TEI>' AS tei FROM {PAGES} p GROUP BY job_id""",
+    "image_requests": """SELECT source_key, 'https://images.example/' || source_key || '/full/' || CASE kind WHEN 0 THEN 'max' WHEN 1 THEN 'full' WHEN 2 THEN CASE WHEN w <= 1000 THEN 'full' ELSE greatest(1, floor(w * (1000::DOUBLE / w)))::BIGINT || ',' END
+ ELSE CASE WHEN w <= 1500 THEN 'full' WHEN w // 2 <= 1500 THEN (w // 2) || ',' WHEN w // 4 <= 1500 THEN (w // 4) || ',' END END || '/0/default.jpg' AS request FROM (SELECT source_key, page_count * 10 AS w, page_count % 4 AS kind FROM sources) q""",
     "inventory": "SELECT doc_id, strlen(text) AS size, sha256(text) AS sha256 FROM documents WHERE text IS NOT NULL",
     "extraction": f"SELECT job_id || '/' || page_id AS page_id, length(coalesce(selected_output.text, '')) AS n_chars, 'text' AS format, NULL::VARCHAR AS error FROM {PAGES} p",
     "event_windows": "SELECT epoch(time_bucket(INTERVAL 1 HOUR, ts))::BIGINT AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2",

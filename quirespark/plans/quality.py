@@ -99,10 +99,10 @@ def repetition_lines(s: SparkSession, d: str) -> DataFrame:
 
 
 def repeated_page_text(s: SparkSession, d: str) -> DataFrame:
-    """Short texts that stand on three pages of a job or more, blanks aside."""
+    """Short texts that one adapter read on three pages or more, blanks aside."""
     key = F.trim(F.regexp_replace("content", r"\s+", " "))
-    short = raw(s, d).select("job_id", "page_number", key.alias("k")).filter((F.length("k") < 200) & F.col("k").rlike(r"[\p{L}\p{N}]"))
-    return short.groupBy("job_id", "k").agg(F.count_distinct("page_number").alias("n_pages")).filter("n_pages >= 3")
+    short = raw(s, d).select("adapter", "job_id", "page_id", key.alias("k")).filter((F.length("k") < 200) & F.col("k").rlike(r"[\p{L}\p{N}]"))
+    return short.groupBy("adapter", "k").agg(F.count_distinct("job_id", "page_id").alias("n_pages")).filter("n_pages >= 3")
 
 
 def markers(s: SparkSession, d: str) -> DataFrame:
@@ -206,10 +206,11 @@ ORACLES = {
     "route_pages": f"SELECT reading_id, page_type, CASE WHEN type_confidence IS NULL OR type_confidence < 0.65 THEN 'review' WHEN page_type = 'blank' THEN 'skip' WHEN page_type = 'table_likely' THEN 'extract_table' ELSE 'extract_text' END AS action FROM ({SQL_QUALITY}) z",
     "rule_lines": rf"SELECT reading_id, count(*) FILTER (regexp_matches(line, '^[ .·_\-=—–]+$') AND regexp_matches(line, '\S')) AS rule_lines, count(*) FILTER (regexp_matches(line, '\S')) AS full_lines FROM {_FULL} GROUP BY 1",
     "repetition_lines": rf"SELECT reading_id, max(n) AS most, sum(n)::BIGINT AS n_lines, max(n) >= greatest(20.0, 0.3 * sum(n)) AS is_loop FROM (SELECT reading_id, trim(line, ' ') AS line, count(*) AS n FROM {_FULL} WHERE regexp_matches(line, '\S') AND NOT regexp_matches(line, '^[ .·_\-=—–]+$') GROUP BY 1, 2) q3 GROUP BY 1",
-    "repeated_page_text": rf"SELECT job_id, k, count(DISTINCT page_number) AS n_pages FROM (SELECT job_id, page_number, trim(regexp_replace(content, '\s+', ' ', 'g'), ' ') AS k FROM {READS} q0) q1 WHERE length(k) < 200 AND regexp_matches(k, '[\p{{L}}\p{{N}}]') GROUP BY 1, 2 HAVING count(DISTINCT page_number) >= 3",
+    "repeated_page_text": rf"SELECT adapter, k, count(DISTINCT job_id || '/' || page_id) AS n_pages FROM (SELECT adapter, job_id, page_id, trim(regexp_replace(content, '\s+', ' ', 'g'), ' ') AS k FROM {READS} q0) q1 WHERE length(k) < 200 AND regexp_matches(k, '[\p{{L}}\p{{N}}]') GROUP BY 1, 2 HAVING count(DISTINCT job_id || '/' || page_id) >= 3",
     "instruction_markers": "SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN contains(lower(coalesce(text, '')), '{m}') THEN '{m}' END" for m in X.INSTRUCTION_MARKERS) + f"], lambda x: x IS NOT NULL), ';') AS markers, coalesce(regexp_matches(text, '{X.OMISSION}'), false) AS omission FROM documents WHERE len(list_filter([" + ", ".join(f"contains(lower(coalesce(text, '')), '{m}')" for m in X.INSTRUCTION_MARKERS) + f"], lambda x: x)) > 0 OR coalesce(regexp_matches(text, '{X.OMISSION}'), false)",
     "output_inflation": f"SELECT reading_id, ratio, (n - parent)::BIGINT AS delta, (n - parent) >= 1000 AND coalesce(ratio >= 4.0, true) AS inflated, coalesce(ratio < 0.5 OR ratio > 1.8, false) AS suspicious_delta FROM (SELECT r.reading_id, length(coalesce(r.content, '')) AS n, p.parent, CASE WHEN p.parent > 0 THEN round(length(coalesce(r.content, ''))::DOUBLE / p.parent, 4) END AS ratio FROM {READS} r JOIN (SELECT job_id, page_id, max(length(coalesce(content, ''))) AS parent FROM {READS} q WHERE stage = 'local_text' GROUP BY 1, 2) p USING (job_id, page_id) WHERE r.stage <> 'local_text') z",
     "orthography": rf"SELECT reading_id, {_YAT} AS yat_words, md5(regexp_replace(regexp_replace(translate(lower(content), 'ѣіѳѵ', 'еифи'), 'ъ([^\p{{L}}])', '\1', 'g'), 'ъ$', '')) AS modern_md5, length(regexp_replace(content, '(\p{{L}}\p{{M}}*)[-‐]\s*\n\s*(\p{{Ll}})', '\1\2', 'g')) AS rejoined_length, len(regexp_extract_all(content, '\P{{M}}[\p{{M}}\x{{200c}}\x{{200d}}]*')) AS graphemes FROM {READS} q WHERE result_format IN ('text', 'markdown') AND content IS NOT NULL",
     "letters_lost": f"SELECT reading_id, yat, best FROM (SELECT reading_id, yat, max(yat) OVER (PARTITION BY job_id, page_id) AS best FROM (SELECT reading_id, job_id, page_id, {_YAT} AS yat FROM {READS} q WHERE adapter <> 'vision') q1) q2 WHERE best >= 10 AND yat < 0.25 * best",
+    "scoring_clean": rf"SELECT doc_id, length(trim(regexp_replace(regexp_replace(regexp_replace(text, '\{{hw:([^}}]*)\}}', '\1', 'g'), '\[(\?|illegible)\]|\||\.{{3,}}|( \.){{3,}}', ' ', 'g'), '\s+', ' ', 'g'), ' ')) AS clean_length, md5(trim(regexp_replace(regexp_replace(text, '(?is)<think>.*?</think>', '', 'g'), '(?is)^.*?</think>|<think>.*$', '', 'g'), ' ')) AS thoughtless FROM documents WHERE text IS NOT NULL",
     "lexicon_roughness": rf"WITH per AS (SELECT reading_id, job_id, page_id, word, count(*) AS n FROM (SELECT reading_id, job_id, page_id, unnest(regexp_extract_all(lower(content), '\p{{L}}{{3,}}')) AS word FROM {READS} q WHERE result_format IN ('text', 'markdown')) q1 GROUP BY ALL), lex AS (SELECT word FROM (SELECT DISTINCT word, job_id, page_id FROM per) GROUP BY word HAVING count(*) >= 10) SELECT reading_id, sum(n)::BIGINT AS n_words, round(sum(CASE WHEN lex.word IS NULL THEN 0 ELSE n END)::DOUBLE / sum(n), 4) AS known_share FROM per LEFT JOIN lex USING (word) GROUP BY 1 HAVING sum(n) >= 20",
 }

@@ -64,11 +64,11 @@ def select_reading(s: SparkSession, d: str) -> DataFrame:
 
 
 def missing_pages(s: SparkSession, d: str) -> DataFrame:
-    """Pages between a job's first and last that have no reading."""
-    have = base(s, d, "job_id", "page_number").filter("page_number IS NOT NULL").select("job_id", "page_number").distinct()
-    span = have.groupBy("job_id").agg(F.min("page_number").alias("a"), F.max("page_number").alias("b"))
-    want = span.select("job_id", F.explode(F.sequence("a", "b")).alias("page_number"))
-    return want.join(have, ["job_id", "page_number"], "left_anti")
+    """Pages between a source's first and last that have no reading."""
+    have = base(s, d, "source_key", "page_number").filter("page_number IS NOT NULL").select("source_key", "page_number").distinct()
+    span = have.groupBy("source_key").agg(F.min("page_number").alias("a"), F.max("page_number").alias("b"))
+    want = span.select("source_key", F.explode(F.sequence("a", "b")).alias("page_number"))
+    return want.join(have, ["source_key", "page_number"], "left_anti")
 
 
 def changed_pages_top(s: SparkSession, d: str) -> DataFrame:
@@ -129,7 +129,7 @@ ORACLES = {
     "term_filter": "SELECT " + ", ".join(f"count(*) FILTER (regexp_matches(coalesce(content, ''), '{_term(t)}')) AS term_{i}" for i, t in enumerate(TERMS)) + f" FROM {BASE} b",
     "dispositions": "SELECT disposition, CASE " + " ".join(f"WHEN list_contains(r, '{h}') THEN '{h}'" for h in HOLDS) + f" END AS derived, count(*) AS n FROM (SELECT disposition, string_split(review_reasons, ';') AS r FROM {PAGES} p) q GROUP BY 1, 2",
     "select_reading": rf"SELECT job_id, page_id, reading_id, stage FROM (SELECT *, coalesce(len(warnings), 0) AS n, {_ORD} AS o FROM {BASE} b WHERE regexp_matches(coalesce(content, ''), '\S')) q QUALIFY row_number() OVER (PARTITION BY job_id, page_id ORDER BY n, CASE WHEN n = 0 THEN o ELSE 0 END, confidence DESC NULLS LAST, o, reading_id) = 1",
-    "missing_pages": f"SELECT job_id, page_number FROM (SELECT job_id, unnest(generate_series(min(page_number), max(page_number)))::INTEGER AS page_number FROM {BASE} b WHERE page_number IS NOT NULL GROUP BY 1) w WHERE (job_id, page_number) NOT IN (SELECT (job_id, page_number) FROM readings WHERE page_number IS NOT NULL)",
+    "missing_pages": f"SELECT w.source_key, w.page_number FROM (SELECT source_key, unnest(generate_series(min(page_number), max(page_number)))::INTEGER AS page_number FROM {BASE} b WHERE page_number IS NOT NULL GROUP BY 1) w ANTI JOIN readings r ON r.source_key = w.source_key AND r.page_number = w.page_number",
     "changed_pages_top": f"SELECT job_id, page_id, length_delta FROM {_CMP} c WHERE status = 'different' ORDER BY job_id, page_id LIMIT 50",
     "verify_readings": rf"""SELECT 'content_conflict' AS code, reading_id FROM readings GROUP BY reading_id HAVING count(DISTINCT content) > 1
  UNION ALL SELECT 'page_number_mismatch', reading_id FROM {BASE} b WHERE try_cast(regexp_extract(page_id, '(\d+)$', 1) AS INTEGER) <> page_number UNION ALL SELECT 'confidence_out_of_range', reading_id FROM {BASE} b WHERE confidence < 0 OR confidence > 1

@@ -174,12 +174,12 @@ def image_header(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 
 def image_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Page images of a folder in natural order of their names: page number, name, hash, size, density."""
-    f = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "length", F.sha2("content", 256).alias("sha256"), image_header("content").alias("h"))
+    """Page images of folders, each numbered in natural order of its names: folder, page number, name, hash, size, density."""
+    f = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("folder"), F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "length", F.sha2("content", 256).alias("sha256"), image_header("content").alias("h"))
     from pyspark.sql import Window as W
 
-    # one folder is one document: its pages are numbered in one window
-    return f.select(F.row_number().over(W.orderBy(natural_key(F.col("name")))).alias("page_number"), "name", "length", "sha256", "h.*")
+    # a folder is a document
+    return f.select("folder", F.row_number().over(W.partitionBy("folder").orderBy(natural_key(F.col("name")), "name")).alias("page_number"), "name", "length", "sha256", "h.*")
 
 
 def manifest_changes(recorded: DataFrame, current: DataFrame) -> DataFrame:

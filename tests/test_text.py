@@ -30,6 +30,7 @@ def test_rejoin_and_orthography(spark):
 
 def test_page_range_and_natural_key(spark):
     assert one(spark, "1-3, 7,2", X.page_range) == [1, 2, 3, 7]
+    assert [one(spark, x, X.page_range) for x in ("1-2000000000", "3-1", "x", "0-2", "")] == [None] * 5
     names = spark.createDataFrame([("p10.jpg",), ("p2.jpg",), ("p1.jpg",)], "n string")
     assert [r[0] for r in names.orderBy(X.natural_key(F.col("n"))).collect()] == ["p1.jpg", "p2.jpg", "p10.jpg"]
 
