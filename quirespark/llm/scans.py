@@ -8,7 +8,9 @@ candidate too. Viterbi decodes each line over the candidates, and the decoded
 path decides what was misread. The channel is estimated from the corpus by
 expectation-maximisation: the odd signs of all words with one such sign are
 read as every letter, or as nothing, that makes a word of the corpus, shared
-by the words' likelihoods. Look-ups go to the key range that holds them; a
+by the words' likelihoods. Letters read as others of the same script, or two as one, leave no
+odd sign: for the repair, rare words are read through a channel of shapes
+(``misread_shapes``), whose chances are learnt in the same way. Look-ups go to the key range that holds them; a
 page's lattice then brings all it needs.
 
 Running lines are the head and foot lines of a job that agree on three pages
@@ -48,6 +50,15 @@ from quirespark.llm.repetition import _NAMES, BIGRAM, GRAMS, WORD, WORD_BACKOFF,
 from quirespark.llm.truncation import _GAP, PAGE_NUMBER, closes, fold_word
 from quirespark.session import discard, stored
 
+# Shapes that engines take for each other, (read, printed); how often they do is learnt from the corpus.
+SHAPES = (
+    ("ii", "u"), ("ri", "n"), ("rn", "m"), ("rii", "m"), ("in", "m"), ("ni", "m"), ("iii", "m"), ("cl", "d"), ("li", "h"), ("vv", "w"), ("lc", "k"), ("c", "e"), ("e", "c"), ("l", "i"), ("i", "l"), ("h", "b"), ("b", "h"),
+    ("f", "s"), ("s", "f"), ("u", "n"), ("n", "u"), ("o", "a"), ("a", "o"), ("t", "f"), ("q", "g"), ("n", "ri"), ("m", "rn"), ("d", "cl"), ("u", "ii"), ("о", "с"), ("с", "о"), ("п", "н"), ("н", "п"), ("и", "н"), ("ш", "щ"), ("ь", "ъ"),
+)
+#: A word seen this often at most may be a misread form of one seen ``TIMES`` as often and ``KNOWN`` times.
+RARE, TIMES, KNOWN = 2, 20, 20
+#: Letters a word needs to be read otherwise by one shape, and by two.
+ONE_SHAPE, TWO_SHAPES = 5, 8
 MIN_WORDS = 3
 MIN_PAGES = 3
 EDGE_BANDS = 6
@@ -598,8 +609,65 @@ def noise(df: DataFrame) -> DataFrame:
     return found(df).groupBy("reading_id").agg(*[F.bool_or(F.col("noise") == k).alias(k) for k in KINDS])
 
 
-def clean(text: str | None, running: set[str], fixes: dict[str, str] | None = None, hyphened: frozenset[str] = frozenset()) -> str | None:
-    """The text as continuous paragraphs: running lines and page numbers gone, broken words joined (``hyphened`` compounds keep their hyphen), misread words decoded (``fixes``)."""
+def shape_ways(word: str) -> list[tuple[str, tuple[int, ...]]]:
+    """(other word, numbers of the shapes exchanged) for every exchange of one or two shapes of a word."""
+    if len(word) < ONE_SHAPE:
+        return []
+    places = [(i, k) for k, (read, _) in enumerate(SHAPES) for i in range(len(word) - len(read) + 1) if word.startswith(read, i)]
+    out: dict[str, tuple[int, ...]] = {}
+    for n, (i, k) in enumerate(places):
+        read, printed = SHAPES[k]
+        one = word[:i] + printed + word[i + len(read) :]
+        out.setdefault(one, (k,))
+        for j, m in places[n + 1 :] if len(word) >= TWO_SHAPES else ():
+            lo, hi = ((i, k), (j, m)) if i < j else ((j, m), (i, k))
+            if lo[0] + len(SHAPES[lo[1]][0]) <= hi[0]:
+                (x, kx), (y, ky) = lo, hi
+                out.setdefault(word[:x] + SHAPES[kx][1] + word[x + len(SHAPES[kx][0]) : y] + SHAPES[ky][1] + word[y + len(SHAPES[ky][0]) :], (k, m))
+    out.pop(word, None)
+    return list(out.items())
+
+
+def misread_shapes(prose: DataFrame, rounds: int = 2) -> DataFrame:
+    """``reading_id``, ``word``, ``printed`` of the rare words that the channel of shapes takes for well-known ones.
+
+    ``prose`` has ``reading_id`` and ``content``. Every word of the corpus is
+    counted once; a rare word stands in ``RARE`` readings at most, which its
+    count keeps. How often a shape is misread is learnt by
+    expectation-maximisation; the driver sees a row for each shape.
+    """
+    words = prose.select("reading_id", F.explode(F.regexp_extract_all("content", F.lit(r"(\p{L}{3,})"), 1)).alias("w"))
+    seen = words.groupBy(F.lower("w").alias("word")).agg(F.count("*").alias("n"), F.count_if(F.col("w") == F.lower("w")).alias("small"), F.min("reading_id").alias("a"), F.max("reading_id").alias("b"))
+    seen = stored(seen.filter((F.col("n") <= RARE) | (F.col("n") >= KNOWN)), "words")
+
+    def ways(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(w, other, list(by)) for w in b.column(0).to_pylist() for other, by in shape_ways(w)]
+            cols = list(zip(*rows, strict=True)) if rows else [(), (), ()]
+            yield pa.record_batch([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.list_(pa.int32()))], names=["word", "printed", "by"])
+
+    rare = seen.filter(F.col("n") <= RARE)
+    # names are no evidence: a known word is written small at least half of the time
+    known = seen.filter((F.col("n") >= KNOWN) & (2 * F.col("small") >= F.col("n"))).select(F.col("word").alias("printed"), F.col("n").alias("times"))
+    found = rare.select("word").mapInArrow(ways, "word string, printed string, by array<int>").join(known, "printed").join(rare, "word").filter(F.col("times") >= TIMES * F.col("n"))
+    found = stored(found.select("word", "printed", "by", "times", "a", "b"), "shapes")
+    chance = [1.0 / len(SHAPES)] * len(SHAPES)
+    for _ in range(rounds + 1):
+        table = F.array(*map(F.lit, chance))
+        weight = F.col("times") * F.aggregate("by", F.lit(1.0), lambda acc, k: acc * F.get(table, k))
+        shared = found.withColumn("w", weight).withColumn("share", F.col("w") / F.sum("w").over(W.partitionBy("word")))  # as many rows as a word has shapes, squared
+        counts = {r["k"]: r["c"] for r in shared.select(F.explode("by").alias("k"), "share").groupBy("k").agg(F.sum("share").alias("c")).collect()}
+        total = sum(counts.values()) + len(SHAPES)
+        chance = [(counts.get(k, 0.0) + 1.0) / total for k in range(len(SHAPES))]
+    best = shared.groupBy("word").agg(F.max(F.struct("w", "printed")).alias("best"), F.any_value("a").alias("a"), F.any_value("b").alias("b"))
+    return best.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("reading_id"), "word", F.col("best.printed").alias("printed"))
+
+
+_LETTERS3 = re.compile(rf"{_LETTER}{{3,}}")
+
+
+def clean(text: str | None, running: set[str], fixes: dict[str, str] | None = None, hyphened: frozenset[str] = frozenset(), printed: dict[str, str] | None = None) -> str | None:
+    """The text as continuous paragraphs: running lines and page numbers gone, broken words joined (``hyphened`` compounds keep their hyphen), misread words decoded (lines in ``fixes``, words in ``printed``)."""
     if not text or not text.strip():
         return text
     lines = text.split("\n")
@@ -635,7 +703,15 @@ def clean(text: str | None, running: set[str], fixes: dict[str, str] | None = No
                 text_ += (" " if text_ else "") + line.strip()
         if text_:
             paragraphs.append(text_)
-    return "\n\n".join(paragraphs)
+    out = "\n\n".join(paragraphs)
+    if printed:
+
+        def put(m: re.Match) -> str:
+            new = printed.get(m[0].lower())
+            return m[0] if new is None else new.capitalize() if m[0][0].isupper() else new
+
+        out = _LETTERS3.sub(put, out)
+    return out
 
 
 def paragraphs(df: DataFrame, text: str = "content") -> DataFrame:
@@ -653,18 +729,20 @@ def paragraphs(df: DataFrame, text: str = "content") -> DataFrame:
     marks = marks.groupBy("reading_id").agg(F.collect_set("norm").alias("__running"), F.collect_set("compound").alias("__kept"))  # as many as a page has
     odd = pages.filter(F.size("lines") > 0)
     fixed = decoded(odd, model, learn_channel(odd, model)).select("reading_id", F.col("fixes").alias("__fixes"))
-    known = marks.join(fixed, "reading_id", "full").withColumnRenamed("reading_id", "__id")
+    prose = df.filter(F.col("result_format").isin("text", "markdown")).select(F.col("reading_id").cast("bigint").alias("reading_id"), F.col(text).alias("content"))
+    shapes = misread_shapes(prose).groupBy("reading_id").agg(F.collect_list(F.struct("word", "printed")).alias("__printed"))  # a page's own words
+    known = marks.join(fixed, "reading_id", "full").join(shapes, "reading_id", "full").withColumnRenamed("reading_id", "__id")
 
     @F.arrow_udf(T.StringType())
     def udf(it: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         for cols in it:
             rows = zip(*[c.to_pylist() for c in cols], strict=True)
-            yield pa.array([clean(t, set(r or ()), {x["line"]: x["fixed"] for x in f or ()}, frozenset(k or ())) for t, r, f, k in rows], pa.string())
+            yield pa.array([clean(t, set(r or ()), {x["line"]: x["fixed"] for x in f or ()}, frozenset(k or ()), {x["word"]: x["printed"] for x in w or ()}) for t, r, f, k, w in rows], pa.string())
 
     prose = F.col("result_format").isin("text", "markdown")
     out = df.join(known, F.col("reading_id").cast("bigint") == F.col("__id"), "left")
-    cleaned = udf(F.when(prose, F.col(text)), F.col("__running"), F.col("__fixes"), F.col("__kept"))
-    return out.withColumn("clean_text", F.coalesce(cleaned, F.col(text))).drop("__running", "__fixes", "__kept", "__id")
+    cleaned = udf(F.when(prose, F.col(text)), F.col("__running"), F.col("__fixes"), F.col("__kept"), F.col("__printed"))
+    return out.withColumn("clean_text", F.coalesce(cleaned, F.col(text))).drop("__running", "__fixes", "__kept", "__printed", "__id")
 
 
 def page_texts(pages: DataFrame) -> DataFrame:

@@ -386,7 +386,20 @@ def test_channel_is_learnt_and_the_path_decides(spark):
     assert len(channel.readings(False, "7")) > 50  # no evidence: every letter alike
     got = {r["reading_id"]: (r["changed"], {x["line"]: x["fixed"] for x in r["fixes"]}) for r in SC.decoded(pages, model, channel).collect()}
     assert got[1] == (4, {"the l0wer t0wer": "the lower tower", "a l0wer par!sh": "a lower parish"})
-    assert got[2] == (2, {"the t0wer": "the tower", "the tow€r": "the tower"}) and "B2B" not in got[3][1] and "x9q7z 4th" not in got[3][1]
+    assert got[2] == (2, {"the t0wer": "the tower", "the tow€r": "the tower"}) and got[3][1] == {"the tow0er": "the tower", "x9q7z 4th": "x9q7z 4th"}  # no known word: it counts and keeps its signs
+
+
+def test_shapes_of_the_same_script_are_learnt(spark):
+    good = "Der Küster unterschrieb dawnej budowle derrière la halle, and the number was forwarded behind the customs house."
+    rows = [{"reading_id": i, "job_id": "j", "page_number": i, "result_format": "text", "content": good} for i in range(30)]
+    bad = ["The riumber was forwarcled behirid it.", "The nurnber was forwardcd behind it.", "Der Kiister uriterschrieb dcrrière la halle.", "The nutnber of Margate, an Ostler."]
+    rows += [{"reading_id": 100 + i, "job_id": "k", "page_number": i, "result_format": "text", "content": t} for i, t in enumerate(bad)]
+    df = readings(spark, rows + EDGE)
+    got = {(r["reading_id"], r["word"]): r["printed"] for r in SC.misread_shapes(df.select("reading_id", "content")).collect()}
+    assert got[100, "riumber"] == "number" and got[100, "forwarcled"] == "forwarded" and got[100, "behirid"] == "behind" and got[101, "nurnber"] == "number" and got[102, "dcrrière"] == "derrière"
+    assert not any(w in ("nutnber", "margate", "ostler", "number") for _, w in got)
+    clean = {r["reading_id"]: r["clean_text"] for r in SC.paragraphs(df).collect()}
+    assert clean[100] == "The number was forwarded behind it." and clean[103] == bad[3] and clean[5] == good and clean[900] is None
 
 
 def test_many_signs_and_long_compounds():
