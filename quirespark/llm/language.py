@@ -57,7 +57,9 @@ _MONTHS = "Januar Februar März April Mai Juni Juli August September Oktober Nov
 
 WORD = re.compile(r"[^\W\d_]+(?:[’'][^\W\d_]+)?")
 _JOIN = re.compile(r"[-­¬=‐‑]\n(?=[^\W\d_])")
-_END = re.compile(r"[.!?…][”“\"»)’.!?…]*\s+(?=[«„“\"(‘¿¡—–-]*\s*[^\W\d_a-zà-ÿа-яёіїєѣąćęłńśźż])")
+_END = re.compile(r"[.!?…][”“\"»)’.!?…]*\s+(?=[«„“\"(‘¿¡—–-]*\s*(?:[^\W\d_a-zà-ÿа-яёіїєѣąćęłńśźż]|\d{1,2}\s+[^\W\d_]))")
+# A sentence that begins with a number follows a whole word, no abbreviation.
+_BEFORE_NUMBER = re.compile(r"[^\W\d_]{4}[”“\"»)’]*$")
 # Abbreviations after which no sentence ends.
 _SHORT = re.compile(r"\b(?:Nr|No|fol|n|vol|Bd)$")
 _DATE = re.compile(r"\D?\d{1,2}\.\s+(?:" + "|".join(_MONTHS) + ")")
@@ -78,6 +80,8 @@ def sentences(text: str) -> list[list[str]]:
     out, at = [], 0
     for m in _END.finditer(text):
         k = m.start()
+        if text[m.end() : m.end() + 1].isdigit() and not _BEFORE_NUMBER.search(text, max(0, k - 8), k):
+            continue
         if text[k] == ".":
             before = text[max(0, k - 4) : k]
             if _SHORT.search(before) or (before[-1:].isdigit() and _DATE.match(text, max(0, k - 2), min(len(text), m.end() + 10))):

@@ -153,6 +153,11 @@ def test_mixture_by_em():
     assert LA.mixture(lik[:2])[1] == [0]
 
 
+def test_sentences_may_begin_with_a_number():
+    assert len(LA.sentences("Der Küster prüfte es in Falsinbüll. 7 марта 1873 года писарь подписал.")) == 2
+    assert len(LA.sentences("Der Küster prüfte Blatt Nr. 7 im Dorf.")) == 1 and len(LA.sentences("Писарь подписал лист с. 5 в городе.")) == 1
+
+
 def test_responsibilities_share_out_doubtful_sentences():
     lik = np.log(np.array([[0.9, 0.05], [0.9, 0.05], [0.4, 0.41], [0.02, 0.98]]))
     pi, keep = LA.mixture(lik, penalty=0.5)
