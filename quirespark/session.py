@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,7 +13,7 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder all executors share, from ``spark.checkpoint.dir``. Where that is unset a local session, as in tests, gets one of its own; a cluster has to name it."""
     given = spark.conf.get("spark.checkpoint.dir", "")
     if not given:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         given = "file://" + tempfile.mkdtemp(prefix="quirespark-")
         spark.conf.set("spark.checkpoint.dir", given)
