@@ -315,7 +315,7 @@ def found(df: DataFrame) -> DataFrame:
     langs = F.col("language.languages")
     return (
         identify_languages(prose, with_segments=False)
-        .filter((F.col("language.n_words") >= 10) & ((F.size(langs) > 1) | named_language(F.col("lang")).isNull() | (named_language(F.col("lang")) != langs[0])))
+        .filter((F.col("language.n_words") >= 10) & ((F.size(langs) > 1) | named_language(F.col("lang")).isNull() | (named_language(F.col("lang")) != F.get(langs, F.lit(0)))))
         .select("reading_id", F.explode(langs).alias("lang_code"))
         .distinct()
     )

@@ -171,6 +171,15 @@ def test_other_languages_are_rejected():
     assert out[0]["languages"] == [] and out[0]["segments"][0]["lang"] == "und" and out[1]["languages"] == ["en"]
 
 
+def test_p2_rows_of_texts_in_no_language(spark):
+    greek = "Ο γραμματέας της κάτω ενορίας αντέγραψε το μητρώο γεννήσεων κοντά στο πλοίο."
+    odd = [{"reading_id": 1, "lang": "eng", "content": greek}, {"reading_id": 2, "lang": None, "content": greek}, {"reading_id": 3, "lang": "ell", "content": greek}, {"reading_id": 4, "lang": "eng", "content": f"{DE_} {DE_}"}]
+    df = readings(spark, corpus() + [{"result_format": "text"} | r for r in odd])
+    told = LA.identify_languages(df.select("reading_id", "lang", "content")).filter("language.n_words >= 10 AND size(language.languages) = 0")
+    assert ids(told) == [1, 2, 3]
+    assert [(r["reading_id"], r["lang_code"]) for r in LA.found(df).collect() if r["reading_id"] < 100] == [(4, "de")]
+
+
 def test_held_out_accuracy():
     texts = [(t, LA.LANGUAGES.index(c)) for c, t in (("en", EN_), ("fr", FR_), ("de", DE_), ("ru", RU_), ("pl", PL_))]
     model = LA.fit([(t, LA.LANGUAGES[k]) for t, k in texts])
