@@ -1,11 +1,15 @@
 """Text cut off by field limits or in transfer.
 
-Method. A cut copy shares its beginning with the whole one, so near-copies are
-found by min-hash banding over the five-word shingles of the beginnings: bands
-of the first ``HEAD`` words, which a misread word leaves some of, and one band
-of the first ``START`` words, which copies cut very short still have. Exact
-copies are collapsed first; each band's members are compared with the longest
-of the band, in characters. A pair is verified by the shingles themselves
+Method. A cut copy shares words with the whole one, from its beginning on or,
+where a head is misread, left out or another, from further on. Near-copies are
+found by bands over the whole texts: each text's runs of ``RUN`` words, from its
+first word to its last, winnowed so that any ``RUN + SPAN - 1`` words on end that
+two texts share leave them a band in common. Two sorts of bands more serve short
+and often misread copies: min-hashes of the five-word shingles of the first
+``HEAD`` words, which a misread word leaves some of, and the first ``START``
+words, which copies cut very short still have. Exact copies are collapsed first;
+each band's members are compared with the longest of the band, in characters. A
+pair is verified by the shingles themselves
 (containment of 0.8) over the whole texts, then the shorter's end is aligned in
 the longer: if the longer goes on inside the word, sentence, row or value, the
 shorter is cut. A text that its longest copies don't verify meets all longer
@@ -28,6 +32,7 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -49,6 +54,10 @@ SHINGLE = 5
 #: Words of a text's beginning that are banded; words of its start that make a band of their own.
 HEAD, START = 24, 10
 BANDS, ROWS = 6, 3
+#: Words of a run; runs on end of which the one with the least hash makes a band.
+RUN, SPAN = 20, 8
+#: Characters of texts that are hashed at a time.
+BLOCK = 1 << 18
 #: Last characters of a text that a longer copy has to hold; windows of which their mark is made.
 TAIL, WINDOW = 40, 8
 #: A line without a closing mark is whole if this share of the lines that begin alike end there.
@@ -334,10 +343,96 @@ def min_hash(words: Words, texts: list[str | None]) -> np.ndarray:
     return keys
 
 
-_SCAN = "reading_id bigint, source_key string, result_format string, verdict string, key string, two string, one string, digest binary, length int, open boolean, bands array<bigint>, ends int, n bigint"
+_BASE = 0x9E3779B97F4A7C15
+_BLANK = re.compile(r"\s")
+
+
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """Whether a word may hold a character, by code point."""
+    return np.fromiter((chr(i).isalnum() for i in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+
+
+@lru_cache(maxsize=4)
+def _powers_of(base: int, n: int) -> np.ndarray:
+    x = np.full(n, base, np.uint64)
+    x[:1] = 1
+    return np.cumprod(x)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers modulo 2**64."""
+    return _powers_of(base, max(BLOCK, 1 << (n - 1).bit_length()))[:n]
+
+
+def _sums(values: np.ndarray, starts: np.ndarray | slice, ends: np.ndarray | slice) -> np.ndarray:
+    """Hash of each stretch of the values, whatever stands before it: its polynomial modulo 2**64."""
+    n = len(values)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(values * _powers(_BASE, n), out=total[1:])
+    return (total[ends] - total[starts]) * _powers(pow(_BASE, -1, 1 << 64), n + 1)[starts]
+
+
+def _blocks(texts: list[str | None]) -> Iterator[tuple[list[str], list[int]]]:
+    """(pieces, the text each is of): about ``BLOCK`` characters at a time, longer texts parted at a blank."""
+    pieces, of, size = [], [], 0
+    for i, t in enumerate(texts):
+        at = 0
+        while t and at < len(t):
+            blank = _BLANK.search(t, at + BLOCK) if len(t) - at > BLOCK else None
+            end = blank.start() if blank else len(t)
+            pieces.append(t[at:end].lower())
+            of.append(i)
+            size, at = size + end - at, end
+            if size >= BLOCK:
+                yield pieces, of
+                pieces, of, size = [], [], 0
+    if pieces:
+        yield pieces, of
+
+
+def _word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text) of each word of all texts, by arrays of all their characters."""
+    hashes, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for pieces, of in _blocks(texts):
+        c = np.frombuffer(("\n".join(pieces) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+        inside = np.concatenate([[False], _letters()[c]])  # a line end stands behind the last
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        starts, ends = edges[0::2], edges[1::2]
+        hashes.append(_mix(_sums(c, starts, ends), np.uint64(1)))
+        owners.append(np.array(of)[np.searchsorted(np.cumsum([len(x) + 1 for x in pieces]), starts, side="right")])
+    return np.concatenate(hashes), np.concatenate(owners)
+
+
+def runs(texts: list[str | None]) -> pa.ListArray:
+    """Band keys of whole texts: of each ``SPAN`` runs of ``RUN`` words on end the one with the least hash, of fewer runs all. Texts under ``RUN`` words have none."""
+    words, owner = _word_hashes(texts)
+    n = max(len(words) - RUN + 1, 0)
+    keys, of = np.zeros(0, np.uint64), owner[:n]
+    if n:
+        keys = _mix(_sums(words, slice(0, n), slice(RUN, n + RUN)), np.uint64(BANDS + 2))
+        same = owner[RUN - 1 :] == of
+        keys, of = keys[same], of[same]
+    few = np.bincount(of, minlength=len(texts))[of] < SPAN
+    short, short_of = keys[few], of[few]
+    keys, of = keys[~few], of[~few]
+    if len(keys):
+        least = np.lib.stride_tricks.sliding_window_view(keys, SPAN).min(axis=1)
+        same = of[SPAN - 1 :] == of[: len(least)]
+        keys, of = least[same], of[: len(least)][same]
+    keys, of = np.concatenate([keys, short]), np.concatenate([of, short_of])
+    order = np.lexsort((keys, of))
+    keys, of = keys[order], of[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])
+    ends = np.cumsum(np.bincount(of[new], minlength=len(texts)))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(keys[new].view(np.int64)))
+
+
+_SCAN = "reading_id bigint, source_key string, result_format string, verdict string, key string, two string, one string, digest binary, length int, open boolean, bands array<bigint>, runs array<bigint>, ends int, n bigint"
 _SCHEMA = pa.schema([
     ("reading_id", pa.int64()), ("source_key", pa.string()), ("result_format", pa.string()), ("verdict", pa.string()), ("key", pa.string()),
-    ("two", pa.string()), ("one", pa.string()), ("digest", pa.binary()), ("length", pa.int32()), ("open", pa.bool_()), ("bands", pa.list_(pa.int64())), ("ends", pa.int32()), ("n", pa.int64()),
+    ("two", pa.string()), ("one", pa.string()), ("digest", pa.binary()), ("length", pa.int32()), ("open", pa.bool_()), ("bands", pa.list_(pa.int64())), ("runs", pa.list_(pa.int64())), ("ends", pa.int32()), ("n", pa.int64()),
 ])
 
 
@@ -364,7 +459,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows(
             reading_id=b.column(0), source_key=b.column(1), result_format=b.column(3), verdict=[s[0] for s in states], key=[s[1] for s in states],
             two=[c[0] for c in close], one=[c[1] for c in close], digest=b.column(4), length=[len(_plain(t)) for t in texts],
-            open=[open_end(t, f) for t, f in zip(texts, fmts, strict=True)], bands=bands,
+            open=[open_end(t, f) for t, f in zip(texts, fmts, strict=True)], bands=bands, runs=runs(texts),
         )
         if len(stats) > 200_000:
             yield flush()
@@ -427,9 +522,12 @@ def verified(short: str, long: str, fmt: str | None = "text") -> str | None:
     end = at + len(tail)
     if at < 0:  # misread or spaced otherwise: the nearest stretch
         low = max(0, len(flat_a) - TAIL - len(flat_a) // 5 - TAIL)
-        edits, _, end = semiglobal(tail, flat_b[low : len(flat_a) + len(flat_a) // 5 + TAIL])
-        end += low
-        if edits > len(tail) // 5:
+        for low, high in ((low, len(flat_a) + len(flat_a) // 5 + TAIL), (0, len(flat_b))):  # elsewhere, if the beginnings differ
+            edits, _, end = semiglobal(tail, flat_b[low:high])
+            end += low
+            if edits <= len(tail) // 5:
+                break
+        else:
             return None
     return _goes_on(a, b, end, table) if end < len(b) else None
 
@@ -494,6 +592,13 @@ def _unending(asked: DataFrame, stats: DataFrame) -> DataFrame:
     return j.filter((p < CLOSING_SHARE) & told).select("two", F.lit(True).alias("unending"))
 
 
+def _likely(df: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``df`` without most of the rows whose digest isn't among the wanted ones, so that a join doesn't shuffle them: bits by hash are broadcast, 2**26 at most."""
+    word, bit = "shiftrightunsigned(xxhash64(digest), 44)", "cast(xxhash64(digest) & 63 as int)"
+    bits = wanted.groupBy(F.expr(word).alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, {bit}))").alias("bits"))
+    return df.withColumn("word", F.expr(word)).join(F.broadcast(bits), "word").filter(f"(shiftrightunsigned(bits, {bit}) & 1) = 1").drop("word", "bits")
+
+
 def truncation(df: DataFrame) -> DataFrame:
     """One row for each reading: ``reading_id``, ``source_key``, ``truncated``, ``evidence`` (``aligned``, ``closing``, ``terminality`` or null).
 
@@ -523,13 +628,19 @@ def truncation(df: DataFrame) -> DataFrame:
     asked = stored(ask.select("key", "two").distinct().join(begun, "key", "left").join(_unending(ask, counts), "two", "left"), "asked")
     # near-copies among distinct texts; those with an open end meet the longest of their band. Most bands hold one text,
     # or none with an open end: they are counted by their key alone, and only the members of the others are looked at
-    banded = scanned.select("digest", "length", "open", F.explode("bands").alias("band")).filter("band != 0")
-    shared = stored(banded.groupBy("band").agg(F.count("*").alias("n"), F.bool_or("open").alias("open")).filter("n > 1 AND open").select("band"), "shared-bands")
-    texts_of = stored(banded.join(shared, "band").groupBy("band", "digest").agg(F.first("length").alias("length"), F.first("open").alias("open")), "band-texts")
+    def shared(keys: str) -> DataFrame:
+        banded = scanned.select("digest", "length", "open", F.explode(keys).alias("band")).filter("band != 0")
+        # whether several texts have a band, not how often one was read; another hash for each band, so that no two texts are taken for one in all of theirs
+        counted = banded.withColumn("text", F.hash("digest", "band")).groupBy("band").agg(F.min("text").alias("a"), F.max("text").alias("b"), F.bool_or("open").alias("open"))
+        return banded.join(stored(counted.filter("a != b AND open").select("band"), f"shared-{keys}"), "band")
+
+    # runs that several texts share are few, so that they are looked at apart
+    texts_of = stored(shared("bands").union(shared("runs")).groupBy("band", "digest").agg(F.first("length").alias("length"), F.first("open").alias("open")), "band-texts")
     longest = texts_of.groupBy("band").agg(F.max(F.struct("length", "digest")).alias("top"), F.count("*").alias("n")).filter("n > 1").select("band", F.col("top.digest").alias("long"))
     members = stored(texts_of.join(longest, "band").select("band", "digest", "length", "open", "long"), "members")
     pairs = members.filter("open AND digest != long").select("digest", "long").distinct()
-    body = texts.select("digest", "content", "result_format").join(members.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.first("content").alias("content"), F.first("result_format").alias("fmt"))
+    # no semi-join, which the optimizer would put before the broadcast bits
+    body = _likely(texts.select("digest", "content", "result_format"), members).join(members.select("digest").distinct(), "digest").groupBy("digest").agg(F.first("content").alias("content"), F.first("result_format").alias("fmt"))
     body = stored(body, "bodies")
 
     def compared(pairs: DataFrame) -> DataFrame:

@@ -364,6 +364,45 @@ def test_cut_copies_meet_their_whole_ones(part):
     assert len(near) > 150 and np.mean([TR.align(a, b) == "cut" for a, b in near]) >= 0.9
 
 
+def test_runs_cover_whole_texts(monkeypatch):
+    rnd = random.Random(7)
+    vocabulary = [f"w{i}ä" for i in range(400)]
+    words = [rnd.choices(vocabulary, k=n) for n in (TR.RUN - 1, TR.RUN, TR.RUN + 4, 60, 900)]
+    texts = [None, "", " ", *(" ".join(w) for w in words), "x " * 50_000]
+    keys = TR.runs(texts).to_pylist()
+    assert [len(k) for k in keys[:6]] == [0, 0, 0, 0, 1, 5] and len(keys[-1]) == 1 and 140 < len(keys[7]) < 260
+    n = TR.RUN + TR.SPAN - 1
+    parts = [f"Other head {i}\n\n{' - '.join(words[-1][i : i + n]).upper()} and\x00an end" for i in range(900 - n + 1)]
+    assert all(set(k) & set(keys[7]) for k in TR.runs(parts).to_pylist())
+    monkeypatch.setattr(TR, "BLOCK", 64)
+    assert TR.runs(texts).to_pylist() == keys
+
+
+def test_likely_texts_hold_all_wanted_ones(spark):
+    df = spark.range(20_000).selectExpr("unhex(md5(string(id))) digest", "id")
+    wanted = df.filter("id % 40 = 7")
+    got = {r["id"] for r in TR._likely(df, wanted).collect()}
+    assert got >= set(range(7, 20_000, 40)) and len(got) < 600 and TR._likely(df, wanted.limit(0)).count() == 0
+
+
+def test_p4_copies_with_other_beginnings(spark):
+    """The beginning of the cut copy is another, is missing, or stands behind more words in the whole one; only the copy tells that it is cut."""
+    rnd = random.Random(8)
+    vocabulary = ["".join(rnd.choices("abcdefghiklmnoprstuvw", k=rnd.randint(5, 9))) for _ in range(3000)]
+    rows, want = [], []
+    for g in range(12):
+        lines = [",".join(rnd.choices(vocabulary, k=3)) for _ in range(60)]
+        other = [",".join(rnd.choices(vocabulary, k=3)) for _ in range(9)]
+        cut, whole = [(other + lines[9:], lines), (lines[9:], lines), (lines, other + lines)][g % 3]
+        rows += [{"content": "\n".join(whole)}, {"content": "\n".join(cut[:-2])[:-2]}]
+        want.append(len(rows))
+    df = readings(spark, [{"reading_id": i, "result_format": "csv"} | r for i, r in enumerate(rows, 1)])
+    assert ids(TR.truncation(df).filter("evidence = 'aligned'")) == want == ids(TR.found(df))
+    words = rnd.choices(vocabulary, k=120)
+    misread = " ".join([*words[:-3], words[-3][:-1] + "#", words[-2], words[-1][:-3]])
+    assert TR.verified(misread, f"{' '.join(rnd.choices(vocabulary, k=80))} {' '.join(words)} and more") == "cut"
+
+
 def test_closing_words_decide(spark):
     wrapped = [{"reading_id": 2000 + i, "result_format": "text", "content": f"The roll of the\nparish {w} was read\nby the clerk."} for i, w in enumerate("abcdefghijkl")]
     heads = [{"reading_id": 3000 + i, "result_format": "text", "content": f"The book of Marham\n\nThe {w} was read by the clerk.\n\nThe book of Marham"} for i, w in enumerate("abcdefghijkl")]
