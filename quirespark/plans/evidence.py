@@ -70,20 +70,24 @@ def lineage_depth(s: SparkSession, d: str) -> DataFrame:
     return parts.select("p_partkey", (F.length(F.bin("p_partkey")) - 1).cast("bigint").alias("depth"))
 
 
-def _lines(df: DataFrame, text: str, name: str) -> DataFrame:
-    return df.select("job_id", "page_id", F.posexplode(F.split(text, "\n")).alias(f"{name}_no", f"{name}_line")).filter(F.length(F.trim(f"{name}_line")) >= 3)
+def _line_pairs(s: SparkSession, d: str, raw: bool = False) -> DataFrame:
+    """A page's lines of its selected text beside those of its latest scan reading: a row a page, so that texts are shuffled and not their trigrams."""
+    keys = ["job_id", "page_id"]
+    page = s.read.parquet(f"{d}/page_results.parquet").select(*keys, "page_number", F.col("selected_output.text").alias("ref"))
+    ref = O.latest(page, keys, [F.asc_nulls_last("page_number")]).filter("ref IS NOT NULL")
+    scan = base(s, d, *keys, "stage", "extracted_at", F.when(F.col("stage") == "local_ocr", F.col("content")).alias("got")).filter("stage = 'local_ocr'")
+    last = O.latest(scan, keys, [F.desc("extracted_at"), F.desc("reading_id")]).filter("got IS NOT NULL")
+    return ref.select(*keys, "ref").join(last.select(*keys, "got"), keys).select(*keys, A.lines(F.col("ref"), raw).alias("ref"), A.lines(F.col("got"), raw).alias("got"))
 
 
 def trigram_candidates(s: SparkSession, d: str, k: int = 3) -> DataFrame:
     """For each line of a page's selected text, the lines of its latest scan reading that share most trigrams."""
-    ref = _lines(pages(s, d).select("job_id", "page_id", F.col("selected_output.text").alias("t")), "t", "ref")
-    last = O.latest(base(s, d, "job_id", "page_id", "stage", "extracted_at", "content").filter("stage = 'local_ocr'"), ["job_id", "page_id"], [F.desc("extracted_at"), F.desc("reading_id")])
-    got = _lines(last.select("job_id", "page_id", F.col("content").alias("t")), "t", "got")
-    a = ref.select("job_id", "page_id", "ref_no", F.explode(A.trigrams(F.col("ref_line"))).alias("g"))
-    b = got.select("job_id", "page_id", "got_no", F.explode(A.trigrams(F.col("got_line"))).alias("g"))
-    n = a.join(b, ["job_id", "page_id", "g"]).groupBy("job_id", "page_id", "ref_no", "got_no").agg(F.count("*").alias("shared"))
-    best = n.withColumn("rank", F.row_number().over(W.partitionBy("job_id", "page_id", "ref_no").orderBy(F.desc("shared"), "got_no")).cast("bigint"))
-    return best.filter(F.col("rank") <= k).select("job_id", "page_id", F.col("ref_no").cast("bigint").alias("ref_no"), F.col("got_no").cast("bigint").alias("got_no"), "shared", "rank")
+    best = _line_pairs(s, d).select("job_id", "page_id", A.nearest_lines(k)("ref", "got").alias("m"))
+    return best.select("job_id", "page_id", F.inline("m"))
+
+
+def _lines(df: DataFrame, text: str, name: str) -> DataFrame:
+    return df.select("job_id", "page_id", F.posexplode(F.split(text, "\n")).alias(f"{name}_no", f"{name}_line")).filter(F.length(F.trim(f"{name}_line")) >= 3)
 
 
 def matched_lines(s: SparkSession, d: str) -> DataFrame:
