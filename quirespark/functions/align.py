@@ -204,6 +204,48 @@ def semiglobal_match(it: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Arr
         yield pa.array([None if r is None else dict(zip(("edits", "start", "end"), r, strict=True)) for r in out], kind)
 
 
+def infix_edits(reference: str, window: str) -> int:
+    """The edits of ``semiglobal`` alone, for lines of any length: a column of its table as the bits of two integers."""
+    if not reference or reference in window:
+        return 0
+    at: dict[str, int] = {}
+    for i, ch in enumerate(reference):
+        at[ch] = at.get(ch, 0) | 1 << i
+    full, last = (1 << len(reference)) - 1, 1 << len(reference) - 1
+    up, down, edits = full, 0, len(reference)
+    least = edits
+    for ch in window:
+        same = at.get(ch, 0)
+        level = ((same & up) + up ^ up) | same
+        more, less = down | full & ~(level | up), up & level
+        if more & last:
+            edits += 1
+        elif less & last:
+            edits -= 1
+            least = min(least, edits)
+        more = more << 1 & full
+        up, down = less << 1 & full | full & ~(same | down | more), more & (same | down)
+    return least
+
+
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("ref_no", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("edits", T.IntegerType())])))
+def nearest_edits(it: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Of a page's ``lines`` of two texts, those of the first that share a trigram with one of the second: their length, and the edits to the nearest stretch of the line that shares most."""
+    kind = pa.struct([("ref_no", pa.int64()), ("n", pa.int32()), ("edits", pa.int32())])
+    for batch in it:
+        out = []
+        for a, b in _blocks(*batch):
+            ref, got, (i, j, _, _), n = _nearest(a, b, 1)
+            line = ref[2].take(pa.array(i))
+            edits = pa.array([infix_edits(x, y) for x, y in zip(line.to_pylist(), got[2].take(pa.array(j)).to_pylist(), strict=True)], pa.int32())
+            out.append(_listed(n, kind, ref[0].take(pa.array(i)), pc.utf8_length(line), edits))
+        yield pa.concat_arrays(out) if out else pa.array([], pa.list_(kind))
+
+
+# as above: once
+nearest_edits = nearest_edits.asNondeterministic()
+
+
 def distance(a: str | None, b: str | None) -> int | None:
     """Edit distance of two whole texts of any length: a column of the table as the bits of two integers (Myers, Hyyrö), exact."""
     if a is None or b is None:

@@ -86,19 +86,10 @@ def trigram_candidates(s: SparkSession, d: str, k: int = 3) -> DataFrame:
     return best.select("job_id", "page_id", F.inline("m"))
 
 
-def _lines(df: DataFrame, text: str, name: str) -> DataFrame:
-    return df.select("job_id", "page_id", F.posexplode(F.split(text, "\n")).alias(f"{name}_no", f"{name}_line")).filter(F.length(F.trim(f"{name}_line")) >= 3)
-
-
 def matched_lines(s: SparkSession, d: str) -> DataFrame:
     """The best candidate of each line, aligned: edits of the nearest stretch, and whether the line is missing (over half)."""
-    ref = _lines(pages(s, d).select("job_id", "page_id", F.col("selected_output.text").alias("t")), "t", "ref")
-    last = O.latest(base(s, d, "job_id", "page_id", "stage", "extracted_at", "content").filter("stage = 'local_ocr'"), ["job_id", "page_id"], [F.desc("extracted_at"), F.desc("reading_id")])
-    got = _lines(last.select("job_id", "page_id", F.col("content").alias("t")), "t", "got")
-    best = trigram_candidates(s, d, 1).select("job_id", "page_id", "ref_no", "got_no")
-    j = best.join(ref, ["job_id", "page_id", "ref_no"]).join(got, ["job_id", "page_id", "got_no"])
-    m = j.select("job_id", "page_id", "ref_no", F.length("ref_line").alias("n"), A.semiglobal_match("ref_line", "got_line").alias("m"))
-    return m.select("job_id", "page_id", "ref_no", F.col("m.edits").alias("edits"), (F.col("m.edits") * 2 > F.col("n")).alias("missing"))
+    best = _line_pairs(s, d, raw=True).select("job_id", "page_id", A.nearest_edits("ref", "got").alias("m"))
+    return best.select("job_id", "page_id", F.inline("m")).select("job_id", "page_id", "ref_no", "edits", (F.col("edits") * 2 > F.col("n")).alias("missing"))
 
 
 def numbers_found(s: SparkSession, d: str) -> DataFrame:

@@ -77,7 +77,20 @@ def test_candidates_of_odd_lines(spark, odd, k):
     assert got == sorted(x[:5] for x in expected(pages, scans, k)) and {x[0] for x in got} == {"twice", "odd", "many"}
 
 
-@pytest.mark.parametrize("query", [evidence.trigram_candidates])
+def test_matched_lines_of_odd_lines(spark, odd):
+    at, pages, scans = odd
+    got = sorted((r["page_id"], r["ref_no"], r["edits"], r["missing"]) for r in evidence.matched_lines(spark, at).collect())
+    want = sorted((p, i, e := brute(x, y), e * 2 > len(x)) for p, i, _, _, _, x, y in expected(pages, scans, 1))
+    assert got == want and any(r[2] for r in got)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab\U0001f600", max_size=80), st.text(alphabet="ab\U0001f600", max_size=90))
+def test_infix_edits(ref, win):
+    assert A.infix_edits(ref, win) == brute(ref, win) == A.semiglobal(ref, win)[0]
+
+
+@pytest.mark.parametrize("query", [evidence.trigram_candidates, evidence.matched_lines])
 def test_texts_are_shuffled_and_not_their_trigrams(spark, odd, query):
     plan = query(spark, odd[0])._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate explode" not in plan and "Generate posexplode" not in plan and plan.count("ArrowEvalPython") == 1
